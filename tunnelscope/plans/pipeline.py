@@ -1,0 +1,60 @@
+"""The detection run: sketch snapshots and flow keys in, events out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..config import PipelineConfig
+from ..operators.alarms import debounce
+from ..operators.classes import aggregate_classes
+from ..operators.minquery import min_query
+from ..operators.rolling import engineer
+from ..operators.scoring import decide, score
+from ..operators.tunnels import tunnel_features, tunnel_windows
+from ..schemas import EVENT_SCHEMA
+from ..session import cut
+from ..sources.windows import paired
+
+
+def tunnel_table(
+    sketch: DataFrame, keys: DataFrame, bins: DataFrame, config: PipelineConfig
+) -> DataFrame:
+    """Tunnel statistics per window, written once because the features read them several times."""
+    flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
+    return cut(tunnel_windows(flows, bins, config), "tunnels")
+
+
+def feature_table(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
+    """Tunnel features, written once: sums, runner-ups and medians each read a few columns."""
+    return cut(tunnel_features(tunnels, config), "features")
+
+
+def class_table(features: DataFrame, config: PipelineConfig) -> DataFrame:
+    """Class features, written once: series are counted before they are cut into blocks."""
+    return cut(aggregate_classes(features, config.feature_decimals), "classes")
+
+
+def detect(
+    sketch: DataFrame,
+    keys: DataFrame,
+    bins: DataFrame,
+    feat_cols: list[str],
+    model: dict,
+    config: PipelineConfig,
+) -> DataFrame:
+    """One event per (window, class)."""
+    tunnels = tunnel_table(sketch, keys, bins, config)
+    classes = class_table(feature_table(tunnels, config), config)
+    return events_from_classes(classes, feat_cols, model, config)
+
+
+def events_from_classes(
+    classes: DataFrame, feat_cols: list[str], model: dict, config: PipelineConfig
+) -> DataFrame:
+    """Engineer, score, decide and debounce."""
+    scored = decide(score(engineer(classes, config), feat_cols, model), config)
+    narrow = cut(scored.select("window", "qfi", "score", "thr", "pred"), "scored")
+    alarms = debounce(
+        narrow, config.debounce_k, config.debounce_h, config.slice_windows, config.block_rows
+    )
+    return alarms.select(*EVENT_SCHEMA.fieldNames())
