@@ -25,9 +25,21 @@ def _rows(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
+def _kind(type_name: str) -> str:
+    name = type_name.lower()
+    if name in ("int", "integer", "bigint", "smallint", "tinyint"):
+        return "whole"
+    return {"varchar": "string"}.get(name, name)
+
+
 def difference(spark_df, con, sql: str) -> str | None:
     """None if both results hold the same rows, else what differs."""
     theirs = con.execute(sql)
+    kinds = {d[0]: _kind(str(d[1])) for d in theirs.description}
+    ours = {f.name: _kind(f.dataType.simpleString()) for f in spark_df.schema.fields}
+    odd = {c: (k, kinds.get(c)) for c, k in ours.items() if c in kinds and k != kinds[c]}
+    if odd:
+        return f"types differ {odd}"
     names = [d[0] for d in theirs.description]
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(set(names) ^ set(spark_df.columns))}"

@@ -715,7 +715,7 @@ SELECT host_timestamp_ns // 1000000000 AS second, count(*) AS total, count(*) FI
 FROM cards GROUP BY ALL"""
     q["stream_stats_1s"] = q["postcard_stats_1s"]
     q["stream_alarms"] = q["debounce"]
-    q["stream_episodes"] = q["episodes"]
+    q["stream_detect"] = q["detect_events"]
 
     recursive = q.pop("debounce_inverting").replace("WITH RECURSIVE", "").strip()
     ranked = f'SELECT *, row_number() OVER (PARTITION BY qfi ORDER BY "window") AS rn FROM scored'

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import COLOR_RED, QFI_TO_QUEUE
-from ..functions import fields, hashing, series
+from ..functions import fields, hashing
 from ..functions import histogram as H
 from ..operators import alarms, classes, minquery, quality, rates, rolling, scoring, sketch, tunnels
 from ..operators import packets as pk
@@ -22,7 +22,9 @@ from ..plans import standin as S
 from ..plans.slices import previous_value
 from ..session import cut, scratch_path
 from ..sources import frames, injections, postcards, registers, settings, windows
-from ..streaming import jobs
+from ..streaming import alarms as stream_ops
+from ..streaming import detect as stream_detection
+from ..streaming.stats import stream_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -714,13 +716,16 @@ def qfi_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "qfi_bw_total"
 
 
+def _z(rows: int) -> Column:
+    return F.get(rolling.z_scores([_NAME], [_NAME], rows), F.lit(0))
+
+
 def _rolled(*names: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        features = rolling.roll_features(_NAME)
-        data = series_history(spark, sf_dir)
-        return rounded(
-            data.select("window", "qfi", *[features[f"{n}_{_NAME}"].alias(n) for n in names]), 6
+        data = series_history(spark, sf_dir).withColumn(
+            "r", F.get(rolling.roll_features([_NAME], [_NAME]), F.lit(0))
         )
+        return rounded(data.select("window", "qfi", *[f"r.{n}" for n in names]), 6)
 
     return run
 
@@ -729,32 +734,32 @@ REGISTRY["rolling_stats"] = _rolled(
     "roll3_med", "roll5_med", "roll9_med", "roll5_max", "roll5_std"
 )
 REGISTRY["delta_lag"] = _rolled("delta")
-REGISTRY["ewma"] = _rolled("ewma")
 REGISTRY["slope5"] = _rolled("slope5")
 
 
+@query
+def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    average = F.get(rolling.ewmas([_NAME], [_NAME]), F.lit(0))
+    return rounded(series_history(spark, sf_dir).select("window", "qfi", average.alias("ewma")), 6)
+
+
 @query
 def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = series_history(spark, sf_dir)
-    return rounded(data.select("window", "qfi", rolling.robust_z(_NAME, 21).alias("rz")), 6)
+    return rounded(data.select("window", "qfi", _z(21).alias("rz")), 6)
 
 
 @query
 def z_short_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short, long = rolling.robust_z(_NAME, 7), rolling.robust_z(_NAME, 21)
-    data = series_history(spark, sf_dir).select(
-        "window", "qfi", short.alias("zs"), long.alias("zl"), (short - long).alias("delta_sl")
-    )
-    return rounded(data, 6)
+    data = series_history(spark, sf_dir).select("window", "qfi", _z(7).alias("zs"), _z(21).alias("zl"))
+    return rounded(data.withColumn("delta_sl", F.col("zs") - F.col("zl")), 6)
 
 
 @query
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = rolling.with_history(
-        class_series(spark, sf_dir), CONFIG, [_NAME], ["qfi"]
-    ).withColumn("high", rolling.robust_z(_NAME, 21) >= 0.8)
-    frame = Window.partitionBy("qfi", "_block").orderBy("window").rowsBetween(-8, 0)
-    run = series.trailing_run(F.collect_list("high").over(frame))
+    data = class_series(spark, sf_dir)
+    history = rolling.with_history(data, CONFIG, [_NAME], ["qfi"]).withColumn("z", _z(21))
+    run = rolling.high_runs(F.col("z"), rolling.run_frame(["qfi"]))
     return history.withColumn("runlen", run).where("not _history").select("window", "qfi", "runlen")
 
 
@@ -919,3 +924,67 @@ def postcard_stats_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(
         F.unix_seconds("second").alias("second"), "total", "queued"
     )
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _run_stream(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything there is and read what it wrote."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    started = (
+        writer.option("path", out)
+        .option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_stats_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.timestamp_micros("ts_us").alias("ts")
+    depth = _postcard_fields()["queue_depth"].alias("queue_depth")
+    cards = scratch_path(spark, "postcards")
+    S.packets(spark, sf_dir).select(ts, depth).write.parquet(cards)
+    source = spark.readStream.schema("ts timestamp, queue_depth bigint").parquet(cards)
+    # The watermark never passes the last seconds of a finite input: a marker an hour later does.
+    marker = spark.read.parquet(cards).agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    marker.withColumn("queue_depth", F.lit(0).cast("bigint")).write.mode("append").parquet(cards)
+    stats = _run_stream(stream_stats(source), "stats")
+    return stats.select(F.unix_seconds("second").alias("second"), "total", "queued")
+
+
+def _scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "scored")
+    scored = scored_series(spark, sf_dir)
+    scored.write.parquet(folder)
+    return spark.readStream.schema(scored.schema).parquet(folder)
+
+
+@query
+def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stepped = stream_ops.stream_alarms(
+        _scored_stream(spark, sf_dir), CONFIG.debounce_k, CONFIG.debounce_h
+    )
+    events = _run_stream(stepped, "alarms")
+    return rounded(events.select("window", "qfi", "score", "thr", "pred", "debounced"))
+
+
+@query
+def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots, keys = scratch_path(spark, "cms"), scratch_path(spark, "keys")
+    windows.write_sketch(S.sketch(spark, sf_dir), snapshots)
+    windows.write_flow_keys(S.keys(spark, sf_dir), keys)
+    events = scratch_path(spark, "events")
+    job = stream_detection.DetectionStream(
+        keys, scratch_path(spark, "state"), events, S.bins(spark), S.FEAT_COLS, S.MODEL, CONFIG
+    )
+    # One batch takes every snapshot: files written together have no order among themselves.
+    source = stream_detection.read_sketch_stream(spark, snapshots, CONFIG, 1_000_000)
+    progress = scratch_path(spark, "progress")
+    job.start(source, progress).trigger(availableNow=True).start().awaitTermination()
+    return rounded(stream_detection.read_stream_events(spark, events).drop("batch"))

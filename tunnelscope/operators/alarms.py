@@ -19,12 +19,16 @@ def debounce(
     slice_windows: int = 4096,
     block_rows: int = 4096,
     keys: list[str] | None = None,
+    known: str | None = None,
 ) -> DataFrame:
     """Add ``debounced``: on after ``k`` positive rows in a row, off when score < thr * h.
 
     Each row either sets the alarm, resets it, or leaves it, so the state is the latest set or
     reset. Only with h > 1 can one row do both, depending on the state: it then inverts it, and the
     state is the latest set or reset, inverted as often as such rows followed it.
+
+    ``known`` names a column with the state of rows that were debounced in an earlier run; the
+    series goes on from there.
     """
     if k < 1:
         raise ValueError("debounce needs k >= 1")
@@ -38,19 +42,18 @@ def debounce(
         .withColumn("_reset", F.col("score") < F.col("thr") * h)
         .drop("_history")
     )
+    given = F.col(known) if known else F.lit(None).cast("int")
     if h <= 1:
-        event = F.when(F.col("_set"), 1).when(F.col("_reset"), 0)
+        event = F.coalesce(given, F.when(F.col("_set"), 1).when(F.col("_reset"), 0))
         state = latest_value(flagged, keys, ["window"], F.col("_block"), event, "debounced")
     else:
-        flip = F.col("_set") & F.col("_reset")
+        flip = F.col("_set") & F.col("_reset") & given.isNull()
         counted = running_total(
             flagged, keys, ["window"], F.col("_block"), F.when(flip, 1).otherwise(0), "_flips"
         )
         parity = F.col("_flips") % 2
-        event = F.when(
-            ~flip & (F.col("_set") | F.col("_reset")),
-            (F.col("_set").cast("int") + parity) % 2,
-        )
+        decided = F.coalesce(given, F.when(F.col("_set"), 1).when(F.col("_reset"), 0))
+        event = F.when(~flip, (decided + parity) % 2)
         state = latest_value(
             counted, keys, ["window"], F.col("_block"), event, "_base"
         ).withColumn("debounced", (F.coalesce("_base", F.lit(0)) + parity) % 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,12 @@ def base_columns(df: DataFrame) -> list[str]:
 def with_history(
     classes: DataFrame, config: PipelineConfig, base: list[str], keys: list[str]
 ) -> DataFrame:
-    """Add ``_recent`` (last rows of all ``base`` columns) and ``_long`` (of the rolled ones).
+    """Add ``_recent`` and ``_long``, the last rows of each row.
 
-    Two frames over one sort replace a window function per feature; each feature is then an
-    expression over a short array. A class's series is cut into blocks that carry their history.
+    Each is an array of rows, a row being the array of the ``base`` columns (``_long``: of the
+    rolled ones among them). Two frames over one sort replace a window function per feature, and a
+    feature is one expression over short arrays, however many columns it is computed for. A
+    class's series is cut into blocks that carry their history.
     """
     blocks = history_blocks(
         classes,
@@ -52,37 +56,72 @@ def with_history(
     rolled = [c for c in ROLL_KEYS if c in base]
     return blocks.withColumns(
         {
-            "_recent": F.collect_list(F.struct(*base)).over(order.rowsBetween(1 - Z_LONG_ROWS, 0)),
-            "_long": F.collect_list(F.struct(*rolled)).over(order.rowsBetween(1 - EWMA_ROWS, 0)),
+            "_recent": F.collect_list(F.array(*base)).over(order.rowsBetween(1 - Z_LONG_ROWS, 0)),
+            "_long": F.collect_list(F.array(*rolled)).over(order.rowsBetween(1 - EWMA_ROWS, 0)),
         }
     )
 
 
-def recent(name: str) -> Column:
-    return F.transform("_recent", lambda row: row[name])
+def _per_column(
+    names: list[str], columns: list[str], feature: Callable[[Column], Column]
+) -> Column:
+    """Array of ``feature`` for each of ``names``, given its position in ``columns``."""
+    return F.transform(F.array(*[F.lit(columns.index(n)) for n in names]), feature)
+
+
+def _past(rows: str, position: Column) -> Column:
+    return F.transform(rows, lambda row: F.get(row, position))
+
+
+def z_scores(names: list[str], base: list[str], rows: int) -> Column:
+    """Robust z-score of the current value against the last ``rows`` rows, per column."""
+
+    def feature(position: Column) -> Column:
+        past = _past("_recent", position)
+        current = F.get(F.array(*base), position)
+        return series.robust_z(series.finite_only(past), current, rows)
+
+    return _per_column(names, base, feature)
 
 
-def robust_z(name: str, rows: int) -> Column:
-    return series.robust_z(series.finite_only(recent(name)), F.col(name), rows)
+ROLL_FEATURES: dict[str, Callable[[Column], Column]] = {
+    "roll3_med": lambda past: series.median(series.last_rows(past, 3)),
+    "roll5_med": lambda past: series.median(series.last_rows(past, 5)),
+    "roll9_med": lambda past: series.median(series.last_rows(past, 9)),
+    "roll5_max": lambda past: F.array_max(series.last_rows(past, 5)),
+    "roll5_std": lambda past: series.std_pop(series.last_rows(past, 5)),
+    "delta": lambda past: F.coalesce(
+        F.get(past, F.size(past) - 1) - F.get(past, F.size(past) - 2), F.lit(0.0)
+    ),
+    "slope5": lambda past: series.slope(series.last_rows(past, 5)),
+}
+
+
+def roll_features(names: list[str], base: list[str]) -> Column:
+    """Rolling medians, maximum, deviation, delta and slope: one struct per column."""
+
+    def feature(position: Column) -> Column:
+        return series.bind(
+            _past("_recent", position),
+            lambda past: F.struct(*[fn(past).alias(n) for n, fn in ROLL_FEATURES.items()]),
+        )
+
+    return _per_column(names, base, feature)
+
+
+def ewmas(names: list[str], base: list[str]) -> Column:
+    """Exponential average per column."""
+    rolled = [c for c in ROLL_KEYS if c in base]
+    return _per_column(names, rolled, lambda position: series.ewma(_past("_long", position)))
 
 
-def roll_features(name: str) -> dict[str, Column]:
-    """Rolling medians, maximum, deviation, delta, EWMA and slope of one column."""
+def high_runs(z: Column, frame) -> Column:
+    """Length of the run of rows, up to this one, whose z-score is high; capped."""
+    return series.trailing_run(F.collect_list(z >= RUN_THRESHOLD).over(frame))
 
-    def last(k: int) -> Column:
-        return series.last_rows(recent(name), k)
 
-    before = F.when(F.size("_recent") >= 2, F.get(recent(name), F.size("_recent") - 2))
-    return {
-        f"roll3_med_{name}": series.median(last(3)),
-        f"roll5_med_{name}": series.median(last(5)),
-        f"roll9_med_{name}": series.median(last(9)),
-        f"roll5_max_{name}": F.array_max(last(5)),
-        f"roll5_std_{name}": series.std_pop(last(5)),
-        f"delta_{name}": F.col(name) - F.coalesce(before, F.col(name)),
-        f"ewma_{name}": series.ewma(F.transform("_long", lambda row: row[name])),
-        f"slope5_{name}": series.slope(last(5)),
-    }
+def run_frame(keys: list[str]):
+    return Window.partitionBy(*keys, "_block").orderBy("window").rowsBetween(1 - RUN_CAP, 0)
 
 
 def engineer(
@@ -96,26 +135,30 @@ def engineer(
     keys = keys or ["qfi"]
     base = base_columns(classes)
     history = with_history(classes, config, base, keys)
-    long_z = {f"zL_{n}": robust_z(n, Z_LONG_ROWS) for n in Z_KEYS}
-    frame = (
-        Window.partitionBy(*keys, "_block").orderBy("window").rowsBetween(1 - RUN_CAP, 0)
+    scored = history.withColumn("_z", z_scores(base, base, Z_LONG_ROWS))
+    long_z = {n: F.get("_z", F.lit(base.index(n))) for n in Z_KEYS}
+    frame = run_frame(keys)
+    runs = {f"_run_{n}": high_runs(c, frame) for n, c in long_z.items()}
+    own = (
+        scored.withColumns(runs)
+        .where(~F.col("_history"))
+        .withColumns(
+            {
+                "_zs": z_scores(Z_KEYS, base, Z_SHORT_ROWS),
+                "_roll": roll_features(ROLL_KEYS, base),
+                "_ewma": ewmas(ROLL_KEYS, base),
+            }
+        )
     )
-    runs = {
-        f"runlen_hi_{n}": series.trailing_run(
-            F.collect_list(F.col(f"zL_{n}") >= RUN_THRESHOLD).over(frame)
-        ).cast("double")
-        for n in Z_KEYS
-    }
-    own = history.withColumns(long_z).withColumns(runs).where(~F.col("_history"))
-    out: dict[str, Column] = {}
-    for name in base:
-        out[f"rz_{name}"] = F.col(f"zL_{name}") if name in Z_KEYS else robust_z(name, Z_LONG_ROWS)
-    for name in ROLL_KEYS:
-        out.update(roll_features(name))
-    for name in Z_KEYS:
-        short = robust_z(name, Z_SHORT_ROWS)
+    out: dict[str, Column] = {f"rz_{n}": F.get("_z", F.lit(i)) for i, n in enumerate(base)}
+    for i, name in enumerate(ROLL_KEYS):
+        rolled = F.get("_roll", F.lit(i))
+        out.update({f"{f}_{name}": rolled[f] for f in ROLL_FEATURES})
+        out[f"ewma_{name}"] = F.get("_ewma", F.lit(i))
+    for i, name in enumerate(Z_KEYS):
+        short = F.get("_zs", F.lit(i))
         out[f"zS_{name}"] = short
-        out[f"zL_{name}"] = F.col(f"zL_{name}")
-        out[f"deltaSL_{name}"] = short - F.col(f"zL_{name}")
-        out[f"runlen_hi_{name}"] = F.col(f"runlen_hi_{name}")
+        out[f"zL_{name}"] = long_z[name]
+        out[f"deltaSL_{name}"] = short - long_z[name]
+        out[f"runlen_hi_{name}"] = F.col(f"_run_{name}").cast("double")
     return own.select("window", *keys, *base, *[c.alias(n) for n, c in out.items()])

@@ -113,20 +113,20 @@ def bucket_gaps(
     packets: DataFrame,
     geometry: SketchGeometry,
     window_us: int,
-    slices_per_window: int = 4,
+    slices_per_window: int = 1,
 ) -> DataFrame:
     """Inter-arrival time of each forwarded packet in each bucket it is hashed to.
 
     The previous packet is that of the bucket, whichever flow it belongs to, and may lie in an
     earlier window; before the first packet the register holds 0. Each bucket's series is split by
-    time slice. The last tick of a slice comes from sums per flow, so only the per-packet rows
-    themselves are copied to the hash rows.
+    window, or into ``slices_per_window`` parts of each where one bucket fills a window. The last
+    tick of a slice comes from one row per flow, so only the per-packet rows themselves are copied
+    to the hash rows.
     """
     slim = _numbered(packets).where(_forwarded()).select(
         *FLOW, *ORDER, switch_tick(F.col("ingress_tstamp_ns")).alias("tick"),
         _slice_of(slices_per_window, window_us).alias("_slice"),
     )
-    position = F.struct(*ORDER)
     per_flow = slim.groupBy("qid", "teid", "qfi", "_slice").agg(
         F.max(F.struct(*ORDER, "tick")).alias("_at")
     )
@@ -148,7 +148,7 @@ def iat_histogram(
     bins: DataFrame,
     geometry: SketchGeometry,
     window_us: int,
-    slices_per_window: int = 4,
+    slices_per_window: int = 1,
 ) -> DataFrame:
     """Inter-arrival bins per cell."""
     gaps = bucket_gaps(packets, geometry, window_us, slices_per_window)
@@ -171,7 +171,7 @@ def build(
     bins: DataFrame,
     geometry: SketchGeometry,
     window_us: int,
-    slices_per_window: int = 4,
+    slices_per_window: int = 1,
 ) -> DataFrame:
     """Complete sketch: one row per (window, queue, hash row, bucket) that saw a packet.
 

@@ -1,0 +1,71 @@
+"""Debouncing and episode tracking on a stream of scored rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT = (
+    "qfi int, window int, score double, thr double, pred int, debounced int, late int, "
+    "transition string, start_win int, peak_score double, duration bigint"
+)
+# Last window, positive rows in a row, alarm, and the open episode.
+STATE = "last int, run int, alarm int, start_win int, peak double, duration bigint"
+
+
+def stream_alarms(scored: DataFrame, k: int = 1, h: float = 1.0) -> DataFrame:
+    """Events with their alarm state, and the episode on rows that end one.
+
+    The state per class is six numbers. Rows of a micro-batch are stepped in window order. A row
+    that is not later than one already stepped is passed on with ``late`` = 1 and changes nothing.
+    """
+    if k < 1:
+        raise ValueError("debounce needs k >= 1")
+
+    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        last, run, alarm, start, peak, duration = (
+            state.get if state.exists else (-(2**31), 0, 0, -1, 0.0, 0)
+        )
+        rows = pd.concat(list(batches)).sort_values("window", kind="stable")
+        out = []
+        for row in rows.itertuples(index=False):
+            event = (key[0], row.window, row.score, row.thr, row.pred)
+            if row.window <= last:
+                out.append((*event, None, 1, None, None, None, None))
+                continue
+            last, before = row.window, alarm
+            run = min(run + 1, k) if row.pred == 1 else 0
+            if alarm == 0:
+                alarm = int(run >= k)
+            elif row.score < row.thr * h:
+                alarm = 0
+            transition, episode = None, (None, None, None)
+            if alarm and not before:
+                transition, start, peak, duration = "start", row.window, row.score, 1
+            elif alarm:
+                peak, duration = max(peak, row.score), duration + 1
+            elif before:
+                transition, episode = "end", (start, peak, duration)
+            out.append((*event, alarm, 0, transition, *episode))
+        state.update((last, run, alarm, start, peak, duration))
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
+        frame = pd.DataFrame(out, columns=names)
+        whole = ["debounced", "start_win", "duration"]
+        yield frame.astype({c: "Int64" for c in whole})
+
+    narrow = scored.select("qfi", "window", "score", "thr", "pred")
+    return narrow.groupBy("qfi").applyInPandasWithState(
+        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def closed_episodes(stepped: DataFrame) -> DataFrame:
+    """Episodes that ended on the stream."""
+    return stepped.where(F.col("transition") == "end").select(
+        "qfi", "start_win", (F.col("window") - 1).alias("end_win"), "peak_score", "duration"
+    )
