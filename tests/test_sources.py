@@ -8,6 +8,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tunnelscope.config import SketchGeometry
+from tunnelscope.operators.minquery import min_query
 from tunnelscope.operators.rates import counter_rates
 from tunnelscope.plans import standin as S
 from tunnelscope.session import small_side
@@ -75,10 +76,31 @@ def test_folded(spark):
 
 def test_snapshots_with_missing_measures(spark, tmp_path):
     df = spark.createDataFrame([("0", 1, 2, 9, "x")], "qid string, row int, bucket int, lat0 int, pkt_cnt string")
-    df.coalesce(1).write.parquet(str(tmp_path / "window_12.parquet"))
-    df.coalesce(1).write.parquet(str(tmp_path / "other.parquet"))
-    (row,) = windows.read_sketch(spark, str(tmp_path), SketchGeometry(1, 8, 1, 1)).collect()
-    assert (row.window, row.qid, row.lat0, row.iat0, row.pkt_cnt, row.byte_cnt) == (12, 0, 9, 0, 0, 0)
+    df.coalesce(1).write.parquet(str(tmp_path / "mixed" / "window_12.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "mixed" / "other.parquet"))
+    (row,) = windows.read_sketch(spark, str(tmp_path / "mixed")).collect()
+    assert (row.window, row.qid, row.lat0, row.pkt_cnt, row.byte_cnt) == (12, 0, 9, 0, 0)
+    known = df.select(F.lit(0).alias("qid"), "row", "bucket", "lat0")
+    known.coalesce(1).write.parquet(str(tmp_path / "known" / "window_7.parquet"))
+    (row,) = windows.read_sketch(spark, str(tmp_path / "known"), SketchGeometry(1, 8, 1, 1)).collect()
+    assert (row.window, row.qid, row.lat0, row.iat0, row.pkt_cnt, row.byte_cnt) == (7, 0, 9, 0, 0, 0)
+
+
+def test_compacted_sketch_is_not_shuffled(spark, tmp_path):
+    geometry = SketchGeometry(depth=3, width=16)
+    keys = S.keys(spark, SMALL)
+    sketch = S.sketch(spark, SMALL)
+    windows.save_compacted(sketch, "compacted_cells", 8, str(tmp_path / "cells"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = min_query(spark.table("compacted_cells"), keys, geometry)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        plain = min_query(sketch, keys, geometry)
+        assert plan.count("Exchange") < plain._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        assert stored.exceptAll(plain).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE compacted_cells")
 
 
 def test_flow_key_files(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def min_query(
 ) -> DataFrame:
     """Estimate of every measure for every flow: its smallest counter over the hash rows.
 
-    A cell that is not in the sketch counts 0. ``sketch`` holds each cell once (a register dump
+    A cell that is not in the sketch counts 0, so cells that never counted anything, most of a
+    register dump, are left out before the join. ``sketch`` holds each cell once (a register dump
     does) and comes from ``clean_sketch``. The rows of one flow are brought together by
     (tunnel, class, window slice): later sums per tunnel and window need no further shuffle, and a
     tunnel that never goes away is still spread over its slices.
@@ -65,7 +68,8 @@ def min_query(
         .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(geometry.depth - 1))))
         .withColumn("bucket", cms_bucket(F.col("teid"), F.col("qfi"), F.col("row"), geometry.width))
     )
-    found = probes.join(sketch, ["window", "qid", "row", "bucket"], "left")
+    used = reduce(lambda a, b: a | b, [F.col(m) != 0 for m in geometry.measures])
+    found = probes.join(sketch.where(used), ["window", "qid", "row", "bucket"], "left")
     zero = F.lit(0).cast("bigint")
     return (
         found.withColumn("slice", F.floor(F.col("window") / slice_windows).cast("int"))

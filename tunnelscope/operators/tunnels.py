@@ -149,9 +149,14 @@ def _ratio(part: Column, whole: Column) -> Column:
 def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     """The 14 features of each (window, class, tunnel).
 
+    Thresholds and class totals are worked out without the histograms, which are then joined once.
     ``tunnels`` is read several times: pass a table written with ``session.cut``.
     """
-    with_thresholds = rolling_thresholds(tunnels, config)
+    narrow = rolling_thresholds(tunnels.drop("queues"), config)
+    totals = class_color_totals(tunnels)
+    with_queues = narrow.join(totals, ["window", "qfi"]).join(
+        tunnels.select(*TUNNEL, "queues"), TUNNEL
+    )
 
     def queue_mean(fraction) -> Column:
         hit = F.aggregate(
@@ -165,7 +170,7 @@ def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     )
     under = queue_mean(lambda q: H.below_fraction(q["iat"], q["iat_edges"], F.col("thr_iat_us")))
     rates = traffic_rates(config)
-    return with_thresholds.join(class_color_totals(tunnels), ["window", "qfi"]).select(
+    return with_queues.select(
         "window",
         "qfi",
         "teid",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SketchGeometry
 from ..functions.fields import window_number
 from ..operators.minquery import clean_flow_keys, clean_sketch
-from ..schemas import EVENT_SCHEMA, FLOW_KEY_SCHEMA
+from ..schemas import EVENT_SCHEMA, FLOW_KEY_SCHEMA, sketch_schema
 
 # Spark hides the name of a file it reads in this metadata field.
 FILE_PATH = "_metadata.file_path"
@@ -40,13 +40,16 @@ def geometry_of(df: DataFrame, depth: int, width: int) -> SketchGeometry:
 def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | None = None) -> DataFrame:
     """All snapshots of a folder in one scan; the window number comes from the file name.
 
-    Without a ``geometry`` the schema is merged from the files.
+    A known ``geometry`` fixes the schema, so no file has to be opened for planning. Without it the
+    schemas of all files are merged: for folders of mixed or unknown files.
     """
     reader = spark.read.option("recursiveFileLookup", True)
-    raw = reader.option("mergeSchema", True).parquet(folder)
+    if geometry:
+        raw = reader.schema(sketch_schema(geometry)).parquet(folder)
+    else:
+        raw = reader.option("mergeSchema", True).parquet(folder)
     numbered = raw.withColumn("window", window_number(F.col(FILE_PATH)))
-    shape = geometry or geometry_of(raw, 1, 1)
-    return clean_sketch(numbered.where(F.col("window") >= 0), shape)
+    return clean_sketch(numbered.where(F.col("window") >= 0), geometry or geometry_of(raw, 1, 1))
 
 
 def read_flow_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +80,18 @@ def write_flow_keys(keys: DataFrame, folder: str) -> None:
     named.repartition("file").write.partitionBy("file").option("header", True).csv(folder)
 
 
+def save_compacted(sketch: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Many snapshot files as one table, bucketed by cell.
+
+    Flow queries on such a table do not shuffle it again, and read a few large files.
+    """
+    cell = ["window", "qid", "row", "bucket"]
+    writer = sketch.repartition(buckets, *cell).write.bucketBy(buckets, *cell).sortBy(*cell)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def duplicate_cells(sketch: DataFrame) -> DataFrame:
     """Cells that a snapshot holds more than once; a register dump has none."""
     cell = ["window", "qid", "row", "bucket"]
