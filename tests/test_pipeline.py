@@ -28,12 +28,12 @@ def packets(spark):
 
 @pytest.fixture(scope="module")
 def built(spark, packets):
-    return cut(sketch.build(packets, S.bins(spark), S.CONFIG.geometry, S.WINDOW_US), "sketch")
+    return cut(sketch.build(packets, S.BINS, S.CONFIG.geometry, S.SLICE_US), "sketch")
 
 
-@pytest.mark.parametrize("slices", [4, 7])
-def test_sketch_does_not_depend_on_slices(spark, packets, built, slices):
-    again = sketch.build(packets, S.bins(spark), S.CONFIG.geometry, S.WINDOW_US, slices)
+@pytest.mark.parametrize("slice_us", [S.WINDOW_US // 7, S.WINDOW_US, 3 * S.WINDOW_US + 11])
+def test_sketch_does_not_depend_on_slices(packets, built, slice_us):
+    again = sketch.build(packets, S.BINS, S.CONFIG.geometry, slice_us)
     assert rows(again) == rows(built)
 
 
@@ -59,7 +59,7 @@ def test_estimates_are_never_below_the_truth(spark, packets, built):
     # A wide sketch has no collisions and gives the exact counts.
     wide = SketchGeometry(depth=4, width=4096)
     exact = minquery.min_query(
-        sketch.build(packets, S.bins(spark), wide, S.WINDOW_US), sketch.flow_keys(packets), wide
+        sketch.build(packets, S.BINS, wide, S.WINDOW_US), sketch.flow_keys(packets), wide
     ).join(truth, ["window", "teid", "qfi", "qid"])
     assert exact.where("pkt_cnt <> true_pkts OR byte_cnt <> true_bytes").count() == 0
 
@@ -86,7 +86,7 @@ def test_unknown_queue_keeps_the_row(spark, built):
     keys = spark.createDataFrame([(0, 0, 0, 8)], "window int, teid bigint, qfi int, qid int")
     table = cut(
         tunnels.tunnel_windows(
-            minquery.min_query(built, keys, S.CONFIG.geometry), S.bins(spark), S.CONFIG
+            minquery.min_query(built, keys, S.CONFIG.geometry), S.BINS, S.CONFIG
         ),
         "tunnels",
     )
@@ -121,7 +121,7 @@ def test_class_features_by_hand(spark):
 
 @pytest.fixture(scope="module")
 def class_table(spark, packets, built):
-    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.bins(spark), S.CONFIG)
+    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
     return pipeline.class_table(pipeline.feature_table(table, S.CONFIG), S.CONFIG)
 
 
@@ -140,7 +140,7 @@ def test_engineered_columns_and_blocks(class_table):
 
 
 def test_tunnel_features_do_not_depend_on_blocks(spark, packets, built):
-    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.bins(spark), S.CONFIG)
+    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
     small = dataclasses.replace(S.CONFIG, block_rows=3, slice_windows=10)
     assert rows(tunnels.tunnel_features(table, small)) == rows(tunnels.tunnel_features(table, S.CONFIG))
 
@@ -222,7 +222,7 @@ def test_one_hot_tunnel(spark):
         "ingress_tstamp_ns", F.col("ts_us") * 1000
     )
     geometry = SketchGeometry(depth=4, width=32)
-    bins = same_bins(spark, S.LAT_EDGES, S.IAT_EDGES, 8)
-    one, many = (rows(sketch.build(packets, bins, geometry, 1_000_000, n)) for n in (1, 16))
+    bins = same_bins(S.LAT_EDGES, S.IAT_EDGES, 8)
+    one, many = (rows(sketch.build(packets, bins, geometry, us)) for us in (10**12, 50_000))
     assert one == many
     assert sum(r[sorted(["bucket", "qid", "row", "window", *geometry.measures]).index("pkt_cnt")] for r in one) == 4 * n

@@ -25,8 +25,8 @@ GOOD = {"latency_us": [1.0, 2.0], "iat_us": [3.0, 4.0, 5.0]}
 
 def test_bins_file(spark, tmp_path):
     path = write(tmp_path / "bins.json", {"bins": {"0": GOOD, "7": GOOD}})
-    got = {r.qid: (r.lat_edges, r.iat_edges) for r in settings.read_bins(spark, path).collect()}
-    assert got == {0: ([1, 2], [3, 4, 5]), 7: ([1, 2], [3, 4, 5])}
+    got = settings.read_bins(spark, path)
+    assert got.lat == {0: (1, 2), 7: (1, 2)} and got.iat == {0: (3, 4, 5), 7: (3, 4, 5)}
 
 
 @pytest.mark.parametrize(

@@ -16,14 +16,14 @@ from tunnelscope.streaming.detect import DetectionStream, read_sketch_stream, re
 def test_detection_in_batches(spark):
     sketch, keys = S.sketch(spark, SMALL), S.keys(spark, SMALL).cache()
     sketch = sketch.where("window < 60 AND window <> 31").cache()
-    batch = pipeline.detect(sketch, keys, S.bins(spark), S.FEAT_COLS, S.MODEL, S.CONFIG)
+    batch = pipeline.detect(sketch, keys, S.BINS, S.FEAT_COLS, S.MODEL, S.CONFIG)
     want = {(r.window, r.qfi): (r.score, r.pred, r.debounced) for r in batch.collect()}
 
     snapshots, key_files = scratch_path(spark, "cms"), scratch_path(spark, "keys")
     windows.write_flow_keys(keys, key_files)
     events, progress = scratch_path(spark, "events"), scratch_path(spark, "progress")
     job = DetectionStream(
-        key_files, scratch_path(spark, "state"), events, S.bins(spark), S.FEAT_COLS, S.MODEL, S.CONFIG
+        key_files, scratch_path(spark, "state"), events, S.BINS, S.FEAT_COLS, S.MODEL, S.CONFIG
     )
     for n, (lo, hi) in enumerate(((0, 3), (3, 40), (40, 60))):
         part = sketch.where(F.col("window").between(lo, hi - 1))

@@ -133,7 +133,7 @@ def light_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = sketch.build(S.packets(spark, sf_dir), S.bins(spark), GEOMETRY, S.WINDOW_US)
+    built = sketch.build(S.packets(spark, sf_dir), S.BINS, GEOMETRY, S.SLICE_US)
     folder = scratch_path(spark, "cms")
     windows.write_sketch(built, folder)
     return windows.read_sketch(spark, folder, GEOMETRY)
@@ -505,7 +505,7 @@ def policing_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drop_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = S.packets(spark, sf_dir).select("packet_id", "ts_us", "teid", "qfi", "meter_color")
-    return pk.drop_running_count(sent, S.WINDOW_US).select("packet_id", "flow_idx", "drop_count")
+    return pk.drop_running_count(sent, S.SLICE_US).select("packet_id", "flow_idx", "drop_count")
 
 
 @query
@@ -539,17 +539,17 @@ def sketch_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sketch_lat_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.latency_histogram(S.packets(spark, sf_dir), S.bins(spark), GEOMETRY)
+    return sketch.latency_histogram(S.packets(spark, sf_dir), S.BINS, GEOMETRY)
 
 
 @query
 def sketch_iat_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.iat_histogram(S.packets(spark, sf_dir), S.bins(spark), GEOMETRY, S.WINDOW_US)
+    return sketch.iat_histogram(S.packets(spark, sf_dir), S.BINS, GEOMETRY, S.SLICE_US)
 
 
 @query
 def iat_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = sketch.bucket_gaps(S.packets(spark, sf_dir), GEOMETRY, S.WINDOW_US)
+    gaps = sketch.bucket_gaps(S.packets(spark, sf_dir), GEOMETRY, S.SLICE_US)
     return gaps.select("packet_id", "qid", "row", "bucket", "iat")
 
 
@@ -667,7 +667,7 @@ def rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def teid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = S.sketch(spark, sf_dir)
-    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.bins(spark), CONFIG)
+    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
     return rounded(tunnels.tunnel_features(table, CONFIG))
 
 
@@ -702,7 +702,7 @@ def qfi_color_bw_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _full_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = S.sketch(spark, sf_dir)
-    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.bins(spark), CONFIG)
+    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
     return pipeline.class_table(pipeline.feature_table(table, CONFIG), CONFIG)
 
 
@@ -847,7 +847,7 @@ def debounce_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.detect(
-        S.sketch(spark, sf_dir), S.keys(spark, sf_dir), S.bins(spark), S.FEAT_COLS, S.MODEL, CONFIG
+        S.sketch(spark, sf_dir), S.keys(spark, sf_dir), S.BINS, S.FEAT_COLS, S.MODEL, CONFIG
     )
 
 
@@ -981,7 +981,7 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows.write_flow_keys(S.keys(spark, sf_dir), keys)
     events = scratch_path(spark, "events")
     job = stream_detection.DetectionStream(
-        keys, scratch_path(spark, "state"), events, S.bins(spark), S.FEAT_COLS, S.MODEL, CONFIG
+        keys, scratch_path(spark, "state"), events, S.BINS, S.FEAT_COLS, S.MODEL, CONFIG
     )
     # One batch takes every snapshot: files written together have no order among themselves.
     source = stream_detection.read_sketch_stream(spark, snapshots, CONFIG, 1_000_000)

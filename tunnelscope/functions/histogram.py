@@ -29,19 +29,27 @@ def total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n)
 
 
-def _bins(counts: Column, edges: Column) -> Column:
-    """One struct per bin; ``hi`` is null for the open bin."""
-    return F.transform(
+def bins(counts: Column, edges: Column) -> Column:
+    """One struct per bin: count ``n``, limits ``lo`` and ``hi``; ``hi`` is null for the open bin.
+
+    The array is empty if there are no edges, which makes every function below answer 0.
+    """
+    cells = F.transform(
         counts,
         lambda n, i: F.struct(
             n.cast("double").alias("n"),
-            F.when(i > 0, F.coalesce(F.get(edges, i - 1), F.lit(0.0))).otherwise(0.0).alias("lo"),
+            F.coalesce(F.get(edges, i - 1), F.lit(0.0)).alias("lo"),
             F.get(edges, i).alias("hi"),
         ),
     )
+    return F.filter(cells, lambda _b: F.size(edges) > 0)
 
 
-def quantile(counts: Column, edges: Column, q: float) -> Column:
+def _total_of(binned: Column) -> Column:
+    return F.aggregate(binned, F.lit(0.0), lambda acc, b: acc + b["n"])
+
+
+def quantile_of(binned: Column, q: float) -> Column:
     """Linear interpolation inside the bin where the cumulative count first reaches the target.
 
     The open last bin answers with the last edge; an empty histogram with 0.
@@ -49,56 +57,53 @@ def quantile(counts: Column, edges: Column, q: float) -> Column:
     share = min(max(q, 0.0), 1.0)
     start = F.struct(
         F.lit(0.0).alias("seen"),
-        (total(counts) * share).alias("target"),
+        (_total_of(binned) * share).alias("target"),
         F.lit(None).cast("double").alias("value"),
     )
 
     def step(acc: Column, b: Column) -> Column:
-        seen = acc["seen"] + b["n"]
-        within = F.least(F.greatest((acc["target"] - acc["seen"]) / b["n"], F.lit(0.0)), F.lit(1.0))
+        missing = acc["target"] - acc["seen"]
+        within = F.least(F.greatest(missing / b["n"], F.lit(0.0)), F.lit(1.0))
         inside = F.when((b["n"] > 0) & (b["hi"] > b["lo"]), b["lo"] + within * (b["hi"] - b["lo"]))
-        found = F.when(seen >= acc["target"], F.coalesce(inside, b["lo"]))
+        found = F.when(b["n"] >= missing, F.coalesce(inside, b["lo"]))
         return F.struct(
-            seen.alias("seen"),
+            (acc["seen"] + b["n"]).alias("seen"),
             acc["target"].alias("target"),
             F.coalesce(acc["value"], found).alias("value"),
         )
 
-    answer = F.aggregate(_bins(counts, edges), start, step, lambda acc: acc["value"])
-    return F.when((total(counts) > 0) & (F.size(edges) > 0), answer).otherwise(0.0)
-
+    answer = F.aggregate(binned, start, step, lambda acc: F.when(acc["seen"] > 0, acc["value"]))
+    return F.coalesce(answer, F.lit(0.0))
 
-def tail_fraction(counts: Column, n_bins: int) -> Column:
-    """Share of packets in the last ``n_bins`` bins."""
-    n = F.greatest(F.least(F.lit(n_bins), F.size(counts)), F.lit(1))
-    part = total(F.slice(counts, F.size(counts) - n + 1, n))
-    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)
 
-
-def head_fraction(counts: Column, n_bins: int) -> Column:
-    """Share of packets in the first ``n_bins`` bins."""
-    part = total(F.slice(counts, F.lit(1), F.lit(max(n_bins, 1))))
-    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)
+def _share_of(binned: Column, weight) -> Column:
+    """Weighted share of the packets: ``weight`` says how much of a bin counts."""
+    start = F.struct(F.lit(0.0).alias("hit"), F.lit(0.0).alias("all"))
+    return F.aggregate(
+        binned,
+        start,
+        lambda acc, b: F.struct(
+            (acc["hit"] + b["n"] * weight(b)).alias("hit"), (acc["all"] + b["n"]).alias("all")
+        ),
+        lambda acc: F.when(acc["all"] > 0, acc["hit"] / acc["all"]).otherwise(0.0),
+    )
 
 
-def _weighted(counts: Column, edges: Column, threshold: Column, weight) -> Column:
-    hit = F.aggregate(_bins(counts, edges), F.lit(0.0), lambda acc, b: acc + b["n"] * weight(b))
-    finite = ~F.isnan(threshold) & (F.abs(threshold) < F.lit(float("inf")))
-    ok = (total(counts) > 0) & (F.size(edges) > 0) & finite
-    return F.when(ok, hit / total(counts)).otherwise(0.0)
+def _if_finite(threshold: Column, share: Column) -> Column:
+    return F.when(F.abs(threshold) < F.lit(float("inf")), share).otherwise(0.0)
 
 
-def exceed_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+def exceed_of(binned: Column, threshold: Column) -> Column:
     """Share above the threshold; the open bin counts only if it starts at or above it."""
 
     def weight(b: Column) -> Column:
         partial = (b["hi"] - threshold) / (b["hi"] - b["lo"])
         return F.when(b["lo"] >= threshold, 1.0).when(b["hi"] > threshold, partial).otherwise(0.0)
 
-    return _weighted(counts, edges, threshold, weight)
+    return _if_finite(threshold, _share_of(binned, weight))
 
 
-def below_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+def below_of(binned: Column, threshold: Column) -> Column:
     """Share below the threshold; the open bin never counts."""
 
     def weight(b: Column) -> Column:
@@ -109,4 +114,29 @@ def below_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
             .otherwise(0.0)
         )
 
-    return _weighted(counts, edges, threshold, weight)
+    return _if_finite(threshold, _share_of(binned, weight))
+
+
+def quantile(counts: Column, edges: Column, q: float) -> Column:
+    return quantile_of(bins(counts, edges), q)
+
+
+def exceed_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+    return exceed_of(bins(counts, edges), threshold)
+
+
+def below_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+    return below_of(bins(counts, edges), threshold)
+
+
+def tail_fraction(counts: Column, n_bins: int) -> Column:
+    """Share of packets in the last ``n_bins`` bins."""
+    n = F.greatest(F.least(F.lit(n_bins), F.size(counts)), F.lit(1))
+    part = total(F.slice(counts, F.size(counts) - n + 1, n))
+    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)
+
+
+def head_fraction(counts: Column, n_bins: int) -> Column:
+    """Share of packets in the first ``n_bins`` bins."""
+    part = total(F.slice(counts, F.lit(1), F.lit(max(n_bins, 1))))
+    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)

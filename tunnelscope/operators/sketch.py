@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COLOR_GREEN, COLOR_RED, COUNTERS, SketchGeometry
+from ..config import COLOR_GREEN, COLOR_RED, COUNTERS, BinEdges, SketchGeometry
 from ..functions.fields import iat_q16, latency_q16, register_queue, switch_tick
 from ..functions.hashing import cms_bucket
 from ..functions.histogram import bin_index
 from ..plans.slices import previous_value
-from ..session import small_side
 
 FLOW = ["window", "qid", "teid", "qfi"]
 CELL = ["window", "qid", "row", "bucket"]
@@ -68,19 +67,17 @@ def colors(packets: DataFrame, geometry: SketchGeometry) -> DataFrame:
     return _to_cells(per_flow, geometry, ["green_cnt", "yellow_cnt"])
 
 
-def _with_latency_bin(packets: DataFrame, bins: DataFrame, geometry: SketchGeometry) -> DataFrame:
-    edges = small_side(bins.select("qid", "lat_edges"))
+def _with_latency_bin(packets: DataFrame, edges: BinEdges, geometry: SketchGeometry) -> DataFrame:
     value = latency_q16(F.col("hop_latency_ns"))
-    binned = bin_index(value, F.col("lat_edges"), geometry.lat_bins - 1)
+    binned = bin_index(value, F.col("_edges"), geometry.lat_bins - 1)
     return (
         _numbered(packets)
-        .join(edges, "qid", "left")
+        .withColumn("_edges", edges.latency("qid"))
         # A queue without installed ranges misses, and a latency miss counts in the last bin.
         .withColumn(
-            "lat_bin",
-            F.when(F.col("lat_edges").isNull(), geometry.lat_bins - 1).otherwise(binned),
+            "lat_bin", F.when(F.col("_edges").isNull(), geometry.lat_bins - 1).otherwise(binned)
         )
-        .drop("lat_edges")
+        .drop("_edges")
     )
 
 
@@ -92,40 +89,31 @@ def _latency_counts(geometry: SketchGeometry) -> list[Column]:
 
 
 def latency_histogram(
-    packets: DataFrame, bins: DataFrame, geometry: SketchGeometry
+    packets: DataFrame, edges: BinEdges, geometry: SketchGeometry
 ) -> DataFrame:
     """Latency bins per cell."""
     per_flow = (
-        _with_latency_bin(packets.where(_forwarded()), bins, geometry)
+        _with_latency_bin(packets.where(_forwarded()), edges, geometry)
         .groupBy(*FLOW)
         .agg(*_latency_counts(geometry))
     )
     return _to_cells(per_flow, geometry, geometry.lat_columns)
 
 
-def _slice_of(slices_per_window: int, window_us: int) -> Column:
-    """Slice number that grows with time and never crosses a window edge."""
-    part = F.floor(F.pmod(F.col("ts_us"), F.lit(window_us)) * slices_per_window / window_us)
-    return F.col("window").cast("bigint") * slices_per_window + part
-
-
-def bucket_gaps(
-    packets: DataFrame,
-    geometry: SketchGeometry,
-    window_us: int,
-    slices_per_window: int = 1,
-) -> DataFrame:
+def bucket_gaps(packets: DataFrame, geometry: SketchGeometry, slice_us: int) -> DataFrame:
     """Inter-arrival time of each forwarded packet in each bucket it is hashed to.
 
     The previous packet is that of the bucket, whichever flow it belongs to, and may lie in an
-    earlier window; before the first packet the register holds 0. Each bucket's series is split by
-    window, or into ``slices_per_window`` parts of each where one bucket fills a window. The last
-    tick of a slice comes from one row per flow, so only the per-packet rows themselves are copied
-    to the hash rows.
+    earlier window; before the first packet the register holds 0. Each bucket's series is split
+    into time slices of ``slice_us``, so a bucket with a large part of all packets is many units of
+    work. The last tick of a slice comes from one row per flow, so only the per-packet rows
+    themselves are copied to the hash rows.
     """
     slim = _numbered(packets).where(_forwarded()).select(
-        *FLOW, *ORDER, switch_tick(F.col("ingress_tstamp_ns")).alias("tick"),
-        _slice_of(slices_per_window, window_us).alias("_slice"),
+        *FLOW,
+        *ORDER,
+        switch_tick(F.col("ingress_tstamp_ns")).alias("tick"),
+        F.floor(F.col("ts_us") / slice_us).alias("_slice"),
     )
     per_flow = slim.groupBy("qid", "teid", "qfi", "_slice").agg(
         F.max(F.struct(*ORDER, "tick")).alias("_at")
@@ -135,31 +123,32 @@ def bucket_gaps(
         .groupBy("qid", "row", "bucket", "_slice")
         .agg(F.max("_at")["tick"].alias("_last"))
     )
-    spread = _spread(slim, geometry)
     linked = previous_value(
-        spread, ["qid", "row", "bucket"], ORDER, F.col("_slice"), "tick", "previous", last
+        _spread(slim, geometry),
+        ["qid", "row", "bucket"],
+        ORDER,
+        F.col("_slice"),
+        "tick",
+        "previous",
+        last,
     )
     gap = iat_q16(F.col("tick"), F.coalesce("previous", F.lit(0)))
     return linked.withColumn("iat", gap).drop("previous")
 
 
 def iat_histogram(
-    packets: DataFrame,
-    bins: DataFrame,
-    geometry: SketchGeometry,
-    window_us: int,
-    slices_per_window: int = 1,
+    packets: DataFrame, edges: BinEdges, geometry: SketchGeometry, slice_us: int
 ) -> DataFrame:
     """Inter-arrival bins per cell."""
-    gaps = bucket_gaps(packets, geometry, window_us, slices_per_window)
-    binned = bin_index(F.col("iat"), F.col("iat_edges"), geometry.iat_bins - 1)
+    binned = bin_index(F.col("iat"), F.col("_edges"), geometry.iat_bins - 1)
     # A queue without installed ranges misses, and an inter-arrival miss counts in the first bin.
     counts = [
         _count(F.coalesce("iat_bin", F.lit(0)) == i).alias(c)
         for i, c in enumerate(geometry.iat_columns)
     ]
     return (
-        gaps.join(small_side(bins.select("qid", "iat_edges")), "qid", "left")
+        bucket_gaps(packets, geometry, slice_us)
+        .withColumn("_edges", edges.arrival("qid"))
         .withColumn("iat_bin", binned)
         .groupBy(*CELL)
         .agg(*counts)
@@ -167,21 +156,18 @@ def iat_histogram(
 
 
 def build(
-    packets: DataFrame,
-    bins: DataFrame,
-    geometry: SketchGeometry,
-    window_us: int,
-    slices_per_window: int = 1,
+    packets: DataFrame, edges: BinEdges, geometry: SketchGeometry, slice_us: int
 ) -> DataFrame:
     """Complete sketch: one row per (window, queue, hash row, bucket) that saw a packet.
 
     Dropped packets count only in ``drop_cnt``. All additive measures share one pass over the
-    packets; the inter-arrival bins are added by a union and a final sum per cell.
+    packets; the inter-arrival bins are added by a union and a final sum per cell. ``slice_us`` is
+    the time slice of ``bucket_gaps``, such as the length of a window.
     """
     green = F.col("meter_color") == COLOR_GREEN
     forwarded = _forwarded()
     per_flow = (
-        _with_latency_bin(packets, bins, geometry)
+        _with_latency_bin(packets, edges, geometry)
         .groupBy(*FLOW)
         .agg(
             *_latency_counts(geometry),
@@ -193,7 +179,7 @@ def build(
         )
     )
     additive = _to_cells(per_flow, geometry, geometry.lat_columns + COUNTERS)
-    gaps = iat_histogram(packets, bins, geometry, window_us, slices_per_window)
+    gaps = iat_histogram(packets, edges, geometry, slice_us)
     both = additive.unionByName(gaps, allowMissingColumns=True)
     sums = [F.coalesce(F.sum(m), F.lit(0).cast("bigint")).alias(m) for m in geometry.measures]
     return both.groupBy(*CELL).agg(*sums)

@@ -6,83 +6,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
+    COUNTERS,
     IAT_HEAD_BINS,
     IAT_THRESHOLD_Q,
     LATENCY_TAIL_BINS,
     LATENCY_THRESHOLD_Q,
     THRESHOLD_LOOKBACK,
+    BinEdges,
     PipelineConfig,
 )
 from ..functions import histogram as H
 from ..functions import series
 from ..plans.slices import history_blocks
-from ..session import small_side
 
 TUNNEL = ["window", "qfi", "teid"]
 
-# Weighted means over a tunnel's queues.
-QUEUE_STATS = {
-    "lat_p50_ms": lambda lat, iat, le, ie: H.quantile(lat, le, 0.50) / 1000,
-    "lat_p95_ms": lambda lat, iat, le, ie: H.quantile(lat, le, 0.95) / 1000,
-    "lat_tail_frac": lambda lat, iat, le, ie: H.tail_fraction(lat, LATENCY_TAIL_BINS),
-    "iat_p10_us": lambda lat, iat, le, ie: H.quantile(iat, ie, 0.10),
-    "iat_p50_us": lambda lat, iat, le, ie: H.quantile(iat, ie, 0.50),
-    "iat_head_frac": lambda lat, iat, le, ie: H.head_fraction(iat, IAT_HEAD_BINS),
-}
+STATS = ["lat_p50_ms", "lat_p95_ms", "lat_tail_frac", "iat_p10_us", "iat_p50_us", "iat_head_frac"]
+
+
+def queue_stats() -> dict[str, Column]:
+    """Statistics of one queue's histograms."""
+    return {
+        "lat_p50_ms": H.quantile_of(F.col("lat_bins"), 0.50) / 1000,
+        "lat_p95_ms": H.quantile_of(F.col("lat_bins"), 0.95) / 1000,
+        "lat_tail_frac": H.tail_fraction(F.col("lat"), LATENCY_TAIL_BINS),
+        "iat_p10_us": H.quantile_of(F.col("iat_bins"), 0.10),
+        "iat_p50_us": H.quantile_of(F.col("iat_bins"), 0.50),
+        "iat_head_frac": H.head_fraction(F.col("iat"), IAT_HEAD_BINS),
+    }
 
 
 def color_packets() -> Column:
     return F.col("green_cnt") + F.col("yellow_cnt") + F.col("drop_cnt")
 
 
-def per_queue(recon: DataFrame, bins: DataFrame, config: PipelineConfig) -> DataFrame:
-    """Flow estimates with folded histograms, the queue's edges and the flow's weight.
+def per_queue(recon: DataFrame, edges: BinEdges, config: PipelineConfig) -> DataFrame:
+    """Flow estimates with folded histograms, with and without bin limits, and the flow's weight.
 
     The weight is the packet count, or the latency bins' sum if that is not positive.
     """
     geometry = config.geometry
-    lat = F.array(*geometry.lat_columns)
-    iat = F.array(*geometry.iat_columns)
+    lat, iat = F.col("lat"), F.col("iat")
+    weight = F.when(F.col("pkt_cnt") > 0, F.col("pkt_cnt").cast("double")).otherwise(H.total(lat))
     return (
-        recon.join(small_side(bins), "qid", "left")
-        .withColumns({"lat": lat, "iat": iat})
+        recon.withColumns({"lat": F.array(*geometry.lat_columns), "iat": F.array(*geometry.iat_columns)})
+        .withColumns(
+            {
+                "_lat_edges": H.usable_edges(edges.latency("qid"), lat),
+                "_iat_edges": H.usable_edges(edges.arrival("qid"), iat),
+                "weight": weight,
+            }
+        )
         .withColumns(
             {
-                "lat_edges": H.usable_edges(F.col("lat_edges"), F.col("lat")),
-                "iat_edges": H.usable_edges(F.col("iat_edges"), F.col("iat")),
-                "weight": F.when(F.col("pkt_cnt") > 0, F.col("pkt_cnt").cast("double")).otherwise(
-                    H.total(F.col("lat"))
-                ),
+                "lat_bins": H.bins(lat, F.col("_lat_edges")),
+                "iat_bins": H.bins(iat, F.col("_iat_edges")),
             }
         )
-        .drop(*geometry.lat_columns, *geometry.iat_columns)
+        .drop(*geometry.lat_columns, *geometry.iat_columns, "_lat_edges", "_iat_edges")
     )
 
 
-def tunnel_windows(recon: DataFrame, bins: DataFrame, config: PipelineConfig) -> DataFrame:
+def tunnel_windows(recon: DataFrame, edges: BinEdges, config: PipelineConfig) -> DataFrame:
     """One row per (window, class, tunnel): counters, queue-weighted statistics, usable queues.
 
     Statistics of the queues are averaged; their bins are never added. ``queues`` keeps the
     histograms of queues with traffic, at most one entry per queue of the switch.
     """
-    inputs = [F.col(c) for c in ("lat", "iat", "lat_edges", "iat_edges")]
-    stats = {name: F.when(F.col("weight") > 0, fn(*inputs)) for name, fn in QUEUE_STATS.items()}
-    usable = F.when(
-        F.col("weight") > 0,
-        F.struct("qid", "weight", "lat", "iat", "lat_edges", "iat_edges"),
-    )
+    usable = F.when(F.col("weight") > 0, F.struct("qid", "weight", "lat_bins", "iat_bins"))
     weight = F.when(F.col("weight") > 0, F.col("weight"))
-    counters = ["pkt_cnt", "byte_cnt", "green_cnt", "yellow_cnt", "drop_cnt"]
+    means = [F.coalesce(F.sum(F.col(s) * weight) / F.sum(weight), F.lit(0.0)).alias(s) for s in STATS]
     return (
-        per_queue(recon, bins, config)
-        .withColumns(stats)
+        per_queue(recon, edges, config)
+        .withColumns(queue_stats())
         .groupBy("slice", *TUNNEL)
         .agg(
-            *[F.sum(c).alias(c) for c in counters],
-            *[
-                F.coalesce(F.sum(F.col(s) * weight) / F.sum(weight), F.lit(0.0)).alias(s)
-                for s in QUEUE_STATS
-            ],
+            *[F.sum(c).alias(c) for c in COUNTERS],
+            *means,
             F.sort_array(F.collect_list(usable)).alias("queues"),
         )
     )
@@ -165,10 +165,8 @@ def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
         whole = F.aggregate("queues", F.lit(0.0), lambda acc, q: acc + q["weight"])
         return F.when(F.size("queues") > 0, hit / whole).otherwise(0.0)
 
-    over = queue_mean(
-        lambda q: H.exceed_fraction(q["lat"], q["lat_edges"], F.col("thr_lat_ms") * 1000)
-    )
-    under = queue_mean(lambda q: H.below_fraction(q["iat"], q["iat_edges"], F.col("thr_iat_us")))
+    over = queue_mean(lambda q: H.exceed_of(q["lat_bins"], F.col("thr_lat_ms") * 1000))
+    under = queue_mean(lambda q: H.below_of(q["iat_bins"], F.col("thr_iat_us")))
     rates = traffic_rates(config)
     return with_queues.select(
         "window",

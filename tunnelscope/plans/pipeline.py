@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..config import PipelineConfig
+from ..config import BinEdges, PipelineConfig
 from ..operators.alarms import debounce
 from ..operators.classes import aggregate_classes
 from ..operators.minquery import min_query
@@ -17,11 +17,11 @@ from ..sources.windows import paired
 
 
 def tunnel_table(
-    sketch: DataFrame, keys: DataFrame, bins: DataFrame, config: PipelineConfig
+    sketch: DataFrame, keys: DataFrame, edges: BinEdges, config: PipelineConfig
 ) -> DataFrame:
     """Tunnel statistics per window, written once because the features read them several times."""
     flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
-    return cut(tunnel_windows(flows, bins, config), "tunnels")
+    return cut(tunnel_windows(flows, edges, config), "tunnels")
 
 
 def feature_table(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
@@ -37,13 +37,13 @@ def class_table(features: DataFrame, config: PipelineConfig) -> DataFrame:
 def detect(
     sketch: DataFrame,
     keys: DataFrame,
-    bins: DataFrame,
+    edges: BinEdges,
     feat_cols: list[str],
     model: dict,
     config: PipelineConfig,
 ) -> DataFrame:
     """One event per (window, class)."""
-    tunnels = tunnel_table(sketch, keys, bins, config)
+    tunnels = tunnel_table(sketch, keys, edges, config)
     classes = class_table(feature_table(tunnels, config), config)
     return events_from_classes(classes, feat_cols, model, config)
 

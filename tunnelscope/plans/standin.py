@@ -99,13 +99,14 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bins(spark: SparkSession) -> DataFrame:
-    return same_bins(spark, LAT_EDGES, IAT_EDGES, QIDS_PER_SWITCH)
+BINS = same_bins(LAT_EDGES, IAT_EDGES, QIDS_PER_SWITCH)
+# A window of stand-in packets is nearly empty, so a slice spans several.
+SLICE_US = 15 * WINDOW_US
 
 
 def sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete sketch of the packets, written once."""
-    built = build(packets(spark, sf_dir), bins(spark), CONFIG.geometry, WINDOW_US)
+    built = build(packets(spark, sf_dir), BINS, CONFIG.geometry, SLICE_US)
     return cut(built, "sketch")
 
 

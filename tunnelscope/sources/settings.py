@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PipelineConfig, SketchGeometry
+from ..config import BinEdges, PipelineConfig, SketchGeometry
 from ..schemas import BINS_SCHEMA, BUNDLE_SCHEMA
 
 
+# Edges are looked up in a literal; a switch has 8 queues.
+MAX_QUEUES = 256
+
+
 def bins_from_json(text: Column) -> Column:
     return F.from_json(text, BINS_SCHEMA, {"mode": "FAILFAST"})
 
@@ -61,27 +65,27 @@ def bin_problems(table: DataFrame) -> DataFrame:
     )
 
 
-def read_bins(spark: SparkSession, path: str) -> DataFrame:
-    """Edge table (qid, lat_edges, iat_edges) of a settings file; ValueError if it breaks a rule."""
+def read_bins(spark: SparkSession, path: str) -> BinEdges:
+    """Edges of a settings file; ValueError if it breaks a rule."""
     raw = spark.read.schema(BINS_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
     table = bins_table(raw)
-    broken = bin_problems(table).limit(20).toPandas()
-    if len(broken):
-        raise ValueError(f"bad bin edges in {path}: {broken.to_dict('records')}")
-    if not table.limit(1).count():
+    broken = bin_problems(table).limit(20).collect()
+    if broken:
+        raise ValueError(f"bad bin edges in {path}: {[tuple(r) for r in broken]}")
+    rows = table.limit(MAX_QUEUES + 1).collect()
+    if not rows:
         raise ValueError(f"{path} has no 'bins' object with queue entries")
-    return table.drop("qid_text")
+    if len(rows) > MAX_QUEUES:
+        raise ValueError(f"{path} names more than {MAX_QUEUES} queues")
+    return BinEdges(
+        {r.qid: tuple(r.lat_edges) for r in rows}, {r.qid: tuple(r.iat_edges) for r in rows}
+    )
 
 
-def same_bins(
-    spark: SparkSession, lat_edges: list[float], iat_edges: list[float], queues: int
-) -> DataFrame:
-    """Edge table that gives all queues the same edges."""
-    return spark.range(queues).select(
-        F.col("id").cast("int").alias("qid"),
-        F.array(*[F.lit(float(e)) for e in lat_edges]).alias("lat_edges"),
-        F.array(*[F.lit(float(e)) for e in iat_edges]).alias("iat_edges"),
-    )
+def same_bins(lat_edges: list[float], iat_edges: list[float], queues: int) -> BinEdges:
+    """The same edges for all queues."""
+    lat, iat = (tuple(float(e) for e in es) for es in (lat_edges, iat_edges))
+    return BinEdges({q: lat for q in range(queues)}, {q: iat for q in range(queues)})
 
 
 def bundle_from_json(text: Column) -> Column:

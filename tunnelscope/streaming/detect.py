@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..config import EWMA_ROWS, THRESHOLD_LOOKBACK, PipelineConfig
+from ..config import EWMA_ROWS, THRESHOLD_LOOKBACK, BinEdges, PipelineConfig
 from ..operators.alarms import debounce
 from ..operators.classes import aggregate_classes
 from ..operators.minquery import clean_sketch, min_query
@@ -47,7 +47,7 @@ class DetectionStream:
         keys_folder: str,
         state_folder: str,
         events_folder: str,
-        bins: DataFrame,
+        edges: BinEdges,
         feat_cols: list[str],
         model: dict,
         config: PipelineConfig,
@@ -55,7 +55,7 @@ class DetectionStream:
         self.keys_folder = keys_folder
         self.state_folder = state_folder.rstrip("/")
         self.events_folder = events_folder.rstrip("/")
-        self.bins = bins
+        self.edges = edges
         self.feat_cols = feat_cols
         self.model = model
         self.config = config
@@ -97,7 +97,7 @@ class DetectionStream:
         keys = read_flow_keys(spark, self.keys_folder)
         flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
 
-        fresh = cut(tunnel_windows(flows, self.bins, config), "tunnels")
+        fresh = cut(tunnel_windows(flows, self.edges, config), "tunnels")
         tunnels = cut(self._joined("tunnels", fresh, batch_id), "tunnels").drop("_new")
         self._keep_tail(tunnels, "tunnels", ["qfi", "teid"], THRESHOLD_LOOKBACK, batch_id)
         features = cut(self._new_windows(tunnel_features(tunnels, config), fresh), "features")
