@@ -13,11 +13,12 @@ from tunnelscope.functions import histogram as H
 
 
 def value(spark, column):
+    column = F.expr(column) if isinstance(column, str) else column
     return spark.range(1).select(column.alias("v")).head().v
 
 
 def array(*xs):
-    return F.array(*[F.lit(float(x)) for x in xs])
+    return f"array({', '.join(f'{float(x)!r}D' for x in xs)})"
 
 
 COUNTS, EDGES = (0, 4, 4, 2), (10, 20, 40)
@@ -32,13 +33,13 @@ COUNTS, EDGES = (0, 4, 4, 2), (10, 20, 40)
         (lambda c, e: H.tail_fraction(c, 2), 0.6),
         (lambda c, e: H.head_fraction(c, 2), 0.4),
         (lambda c, e: H.tail_fraction(c, 0), 0.2),
-        (lambda c, e: H.exceed_fraction(c, e, F.lit(30.0)), 0.4),
-        (lambda c, e: H.below_fraction(c, e, F.lit(30.0)), 0.6),
-        (lambda c, e: H.exceed_fraction(c, e, F.lit(0.0)), 1.0),
-        (lambda c, e: H.below_fraction(c, e, F.lit(0.0)), 0.0),
-        (lambda c, e: H.exceed_fraction(c, e, F.lit(50.0)), 0.0),
-        (lambda c, e: H.below_fraction(c, e, F.lit(50.0)), 0.8),
-        (lambda c, e: H.exceed_fraction(c, e, F.lit(float("inf"))), 0.0),
+        (lambda c, e: H.exceed_fraction(c, e, "30.0D"), 0.4),
+        (lambda c, e: H.below_fraction(c, e, "30.0D"), 0.6),
+        (lambda c, e: H.exceed_fraction(c, e, "0.0D"), 1.0),
+        (lambda c, e: H.below_fraction(c, e, "0.0D"), 0.0),
+        (lambda c, e: H.exceed_fraction(c, e, "50.0D"), 0.0),
+        (lambda c, e: H.below_fraction(c, e, "50.0D"), 0.8),
+        (lambda c, e: H.exceed_fraction(c, e, "DOUBLE('Infinity')"), 0.0),
     ],
 )
 def test_histogram(spark, fn, expected):
@@ -46,21 +47,21 @@ def test_histogram(spark, fn, expected):
 
 
 def test_empty_histogram_and_missing_edges(spark):
-    zeros, none = array(0, 0, 0, 0), F.array().cast("array<double>")
+    zeros, none = array(0, 0, 0, 0), "CAST(array() AS ARRAY<DOUBLE>)"
     assert value(spark, H.quantile(zeros, array(*EDGES), 0.5)) == 0.0
     assert value(spark, H.quantile(array(*COUNTS), none, 0.5)) == 0.0
-    assert value(spark, H.exceed_fraction(array(*COUNTS), none, F.lit(1.0))) == 0.0
+    assert value(spark, H.exceed_fraction(array(*COUNTS), none, "1D")) == 0.0
     assert value(spark, H.usable_edges(array(1, 2, 3, 4, 5), array(*COUNTS))) == [1, 2, 3]
 
 
 def test_bin_index(spark):
     for v, b in ((0, 0), (9, 0), (10, 1), (39, 2), (40, 3), (99, 3)):
-        assert value(spark, H.bin_index(F.lit(v), array(*EDGES), 3)) == b
+        assert value(spark, H.bin_index(str(v), array(*EDGES), 3)) == b
 
 
 @pytest.mark.parametrize("row, crc", list(enumerate([2979898411, 2059499406, 4233430304, 923391621])))
 def test_crc_of_known_flow(spark, row, crc):
-    assert value(spark, hashing.flow_crc(F.lit(57), F.lit(8), F.lit(row))) == crc
+    assert value(spark, hashing.flow_crc("57", "8", str(row))) == crc
 
 
 def test_crc_of_random_flows(spark):
@@ -68,7 +69,7 @@ def test_crc_of_random_flows(spark):
     flows = [(rng.randrange(2**32), rng.randrange(256), rng.randrange(4)) for _ in range(200)]
     flows += [(0, 0, 0), (2**32 - 1, 255, 3)]
     df = spark.createDataFrame(flows, "teid bigint, qfi int, row int")
-    got = df.select("*", hashing.flow_crc(F.col("teid"), F.col("qfi"), F.col("row")).alias("c"))
+    got = df.select("*", hashing.flow_crc("teid", "qfi", "row").alias("c"))
     for r in got.collect():
         assert r.c == binascii.crc32(bytes([r.row]) + struct.pack("!IB", r.teid, r.qfi))
 
@@ -83,15 +84,15 @@ def test_series(spark):
     assert value(spark, series.std_pop(xs)) == pytest.approx(math.sqrt(2))
     assert value(spark, series.percentile(xs, 0.95)) == pytest.approx(3.8)
     # median 2, MAD 1
-    assert value(spark, series.robust_z(xs, F.lit(3.0), 21)) == pytest.approx(1 / 1.4826)
-    assert value(spark, series.robust_z(array(1, 2, 3, 4), F.lit(4.0), 21)) == 0.0
-    flat = series.robust_z(array(1, 1, 1, 1, 2), F.lit(2.0), 21)
+    assert value(spark, series.robust_z(xs, "3.0D", 21)) == pytest.approx(1 / 1.4826)
+    assert value(spark, series.robust_z(array(1, 2, 3, 4), "4.0D", 21)) == 0.0
+    flat = series.robust_z(array(1, 1, 1, 1, 2), "2.0D", 21)
     assert value(spark, flat) == pytest.approx(1 / 1.4826e-6)
 
 
 @pytest.mark.parametrize("flags, run", [("001", 1), ("111", 3), ("110", 0), ("0", 0), ("1", 1)])
 def test_trailing_run(spark, flags, run):
-    assert value(spark, series.trailing_run(F.array(*[F.lit(f == "1") for f in flags]))) == run
+    assert value(spark, series.trailing_run(f"array({', '.join(str(f == '1') for f in flags)})")) == run
 
 
 @pytest.mark.parametrize(

@@ -40,7 +40,7 @@ def query(fn: Query) -> Query:
 def rounded(df: DataFrame, decimals: int = 9) -> DataFrame:
     """All doubles rounded for output."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: fields.fixed(F.col(c), decimals) for c in doubles})
+    return df.withColumns({c: fields.fixed(c, decimals) for c in doubles})
 
 
 # --- light inputs --------------------------------------------------------------------------------
@@ -84,9 +84,8 @@ def exact_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency bins per (window, class) of all packets."""
     edges = F.array(*[F.lit(float(e)) for e in S.LAT_EDGES])
     value = fields.latency_q16(F.col("hop_latency_ns"))
-    binned = S.packets(spark, sf_dir).withColumn(
-        "b", H.bin_index(value, edges, len(S.LAT_EDGES))
-    )
+    sent = S.packets(spark, sf_dir).withColumns({"v": value, "edges": edges})
+    binned = sent.withColumn("b", F.expr(H.bin_index("v", "edges", len(S.LAT_EDGES))))
     counts = [F.count_if(F.col("b") == i).cast("bigint") for i in range(len(S.LAT_EDGES) + 1)]
     return (
         binned.groupBy("window", "qfi")
@@ -562,12 +561,12 @@ def sketch_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cms_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = S.packets(spark, sf_dir).select("teid", "qfi").distinct()
     rows = flows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    args = F.col("teid"), F.col("qfi"), F.col("row")
+    args = "teid", "qfi", "row"
     return rows.select(
         "teid",
         "qfi",
         "row",
-        F.lower(hashing.flow_key_hex(F.col("teid"), F.col("qfi"))).alias("key_hex"),
+        F.lower(F.expr(hashing.flow_key_hex("teid", "qfi"))).alias("key_hex"),
         hashing.flow_crc(*args).alias("crc"),
         hashing.cms_bucket(*args, 512).alias("bucket"),
     )
@@ -596,13 +595,11 @@ def first_n_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- histograms ----------------------------------------------------------------------------------
 
 
-def _hist(**outputs: Callable[[Column, Column], Column]) -> Query:
+def _hist(**outputs: Callable[[str, str], str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = exact_histograms(spark, sf_dir)
-        c, e = F.col("counts"), F.col("edges")
-        return rounded(
-            data.select("window", "qfi", *[fn(c, e).alias(n) for n, fn in outputs.items()])
-        )
+        columns = [F.expr(fn("counts", "edges")).alias(n) for n, fn in outputs.items()]
+        return rounded(data.select("window", "qfi", *columns))
 
     return run
 
@@ -616,14 +613,14 @@ REGISTRY["hist_tail_head"] = _hist(
     tail=lambda c, e: H.tail_fraction(c, 2), head=lambda c, e: H.head_fraction(c, 2)
 )
 REGISTRY["hist_exceed"] = _hist(
-    cold=lambda c, e: H.exceed_fraction(c, e, F.lit(0.0)),
-    mid=lambda c, e: H.exceed_fraction(c, e, F.lit(3000.0)),
-    top=lambda c, e: H.exceed_fraction(c, e, F.lit(40000.0)),
+    cold=lambda c, e: H.exceed_fraction(c, e, "0D"),
+    mid=lambda c, e: H.exceed_fraction(c, e, "3000D"),
+    top=lambda c, e: H.exceed_fraction(c, e, "40000D"),
 )
 REGISTRY["hist_below"] = _hist(
-    cold=lambda c, e: H.below_fraction(c, e, F.lit(0.0)),
-    mid=lambda c, e: H.below_fraction(c, e, F.lit(3000.0)),
-    top=lambda c, e: H.below_fraction(c, e, F.lit(40000.0)),
+    cold=lambda c, e: H.below_fraction(c, e, "0D"),
+    mid=lambda c, e: H.below_fraction(c, e, "3000D"),
+    top=lambda c, e: H.below_fraction(c, e, "40000D"),
 )
 
 
@@ -759,8 +756,8 @@ def z_short_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = class_series(spark, sf_dir)
     history = rolling.with_history(data, CONFIG, [_NAME], ["qfi"]).withColumn("z", _z(21))
-    run = rolling.high_runs(F.col("z"), rolling.run_frame(["qfi"]))
-    return history.withColumn("runlen", run).where("not _history").select("window", "qfi", "runlen")
+    runs = rolling.high_runs(history, {"runlen": "z"}, ["qfi"])
+    return runs.where("not _history").select("window", "qfi", "runlen")
 
 
 @query

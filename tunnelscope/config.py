@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # They must equal the published pipeline for its results to be reproduced.
 DEFAULT_DEPTH = 4
 DEFAULT_WIDTH = 512
@@ -61,23 +58,23 @@ class SketchGeometry:
 
 @dataclass(frozen=True)
 class BinEdges:
-    """Histogram edges per queue: one entry per queue of a switch."""
+    """Histogram edges per queue: one entry per queue of a switch. Lookups are SQL text."""
 
     lat: dict[int, tuple[float, ...]]
     iat: dict[int, tuple[float, ...]]
 
-    def latency(self, qid: str) -> Column:
+    def latency(self, qid: str) -> str:
         """Latency edges of the queue in column ``qid``, null for an unknown queue."""
         return self._lookup(self.lat, qid)
 
-    def arrival(self, qid: str) -> Column:
+    def arrival(self, qid: str) -> str:
         """Inter-arrival edges of the queue in column ``qid``, null for an unknown queue."""
         return self._lookup(self.iat, qid)
 
     @staticmethod
-    def _lookup(edges: dict[int, tuple[float, ...]], qid: str) -> Column:
+    def _lookup(edges: dict[int, tuple[float, ...]], qid: str) -> str:
         entries = [f"{q}, array({', '.join(f'{e!r}D' for e in es)})" for q, es in edges.items()]
-        return F.expr(f"try_element_at(map({', '.join(entries)}), CAST({qid} AS INT))")
+        return f"try_element_at(map({', '.join(entries)}), CAST({qid} AS INT))"
 
 
 COUNTERS = ["pkt_cnt", "byte_cnt", "green_cnt", "yellow_cnt", "drop_cnt"]

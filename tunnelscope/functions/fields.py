@@ -123,11 +123,11 @@ def finite_or_zero(value: Column) -> Column:
     return F.when(bad, 0.0).otherwise(number)
 
 
-def fixed(value: Column, decimals: int) -> Column:
+def fixed(column: str, decimals: int) -> Column:
     """Round half up in binary arithmetic, so that other engines can repeat it bit by bit.
 
     Values too large to have that many decimals in a double stay as they are.
     """
-    scale = float(10**decimals)
-    rounded = F.floor(value * scale + 0.5).cast("double") / scale
-    return F.when(F.abs(value) < 9e15 / scale, rounded).otherwise(value)
+    scale = f"{float(10**decimals)!r}D"
+    rounded = f"CAST(floor({column} * {scale} + 0.5D) AS DOUBLE) / {scale}"
+    return F.expr(f"IF(abs({column}) < 9e15D / {scale}, {rounded}, {column})")

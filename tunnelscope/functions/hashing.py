@@ -14,19 +14,19 @@ def valid_flow_key(teid: Column, qfi: Column) -> Column:
     return teid.between(0, MAX_TEID) & qfi.between(0, MAX_QFI)
 
 
-def flow_key_hex(teid: Column, qfi: Column, row: Column | None = None) -> Column:
-    """Hex text of ``[row byte] tunnel id (4 bytes, big endian) class (1 byte)``."""
-    packed = F.shiftleft(teid.cast("bigint"), 8) + qfi.cast("bigint")
+def flow_key_hex(teid: str, qfi: str, row: str | None = None) -> str:
+    """Hex text of ``[row byte] tunnel id (4 bytes, big endian) class (1 byte)``, as SQL text."""
+    packed = f"shiftleft(CAST({teid} AS BIGINT), 8) + {qfi}"
     if row is None:
-        return F.lpad(F.hex(packed), 10, "0")
-    return F.lpad(F.hex(F.shiftleft(row.cast("bigint"), 40) + packed), 12, "0")
+        return f"lpad(hex({packed}), 10, '0')"
+    return f"lpad(hex(shiftleft(CAST({row} AS BIGINT), 40) + {packed}), 12, '0')"
 
 
-def flow_crc(teid: Column, qfi: Column, row: Column) -> Column:
+def flow_crc(teid: str, qfi: str, row: str) -> Column:
     """CRC-32 of the row byte followed by the flow key bytes."""
-    return F.crc32(F.unhex(flow_key_hex(teid, qfi, row)))
+    return F.expr(f"crc32(unhex({flow_key_hex(teid, qfi, row)}))")
 
 
-def cms_bucket(teid: Column, qfi: Column, row: Column, width: int) -> Column:
+def cms_bucket(teid: str, qfi: str, row: str, width: int) -> Column:
     """Bucket of a flow in one hash row."""
-    return F.pmod(flow_crc(teid, qfi, row), F.lit(width).cast("bigint")).cast("int")
+    return F.expr(f"CAST(pmod(crc32(unhex({flow_key_hex(teid, qfi, row)})), {width}L) AS INT)")

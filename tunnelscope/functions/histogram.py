@@ -1,142 +1,105 @@
 """Functions over histogram arrays: counts per bin, upper edges of all bins but the open last one.
 
-All of them are Catalyst expressions; the arrays hold as many elements as a register has bins.
+They take and give SQL expression text, so that a nested formula reaches Spark in one parse. The arrays
+hold as many elements as a register has bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def bin_index(value: Column, edges: Column, n_edges: int) -> Column:
+def bin_index(value: str, edges: str, n_edges: int) -> str:
     """Bin of ``value``: the number of edges that are not above it.
 
     The number of edges is known from the sketch geometry, so this unrolls into plain
     comparisons that stay inside generated code.
     """
-    hits = [F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0) for i in range(n_edges)]
-    return sum(hits, F.lit(0))
+    hits = [f"IF({value} >= get({edges}, {i}), 1, 0)" for i in range(n_edges)]
+    return " + ".join(hits) if hits else "0"
 
 
-def usable_edges(edges: Column, counts: Column) -> Column:
+def usable_edges(edges: str, counts: str) -> str:
     """Edges of a queue, empty if the queue has none, cut to one fewer than the bins."""
-    known = F.coalesce(edges, F.array().cast("array<double>"))
-    return F.slice(known, F.lit(1), F.greatest(F.size(counts) - 1, F.lit(0)))
+    known = f"coalesce({edges}, CAST(array() AS ARRAY<DOUBLE>))"
+    return f"slice({known}, 1, greatest(size({counts}) - 1, 0))"
 
 
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n)
+def total(counts: str) -> str:
+    return f"aggregate({counts}, 0D, (acc, n) -> acc + n)"
 
 
-def bins(counts: Column, edges: Column) -> Column:
+def bins(counts: str, edges: str) -> str:
     """One struct per bin: count ``n``, limits ``lo`` and ``hi``; ``hi`` is null for the open bin.
 
     The array is empty if there are no edges, which makes every function below answer 0.
     """
-    cells = F.transform(
-        counts,
-        lambda n, i: F.struct(
-            n.cast("double").alias("n"),
-            F.coalesce(F.get(edges, i - 1), F.lit(0.0)).alias("lo"),
-            F.get(edges, i).alias("hi"),
-        ),
+    cell = (
+        f"named_struct('n', CAST(n AS DOUBLE), 'lo', coalesce(get({edges}, i - 1), 0D), "
+        f"'hi', get({edges}, i))"
     )
-    return F.filter(cells, lambda _b: F.size(edges) > 0)
-
+    return f"filter(transform({counts}, (n, i) -> {cell}), b -> size({edges}) > 0)"
 
-def _total_of(binned: Column) -> Column:
-    return F.aggregate(binned, F.lit(0.0), lambda acc, b: acc + b["n"])
 
-
-def quantile_of(binned: Column, q: float) -> Column:
+def quantile_of(binned: str, q: float) -> str:
     """Linear interpolation inside the bin where the cumulative count first reaches the target.
 
     The open last bin answers with the last edge; an empty histogram with 0.
     """
     share = min(max(q, 0.0), 1.0)
-    start = F.struct(
-        F.lit(0.0).alias("seen"),
-        (_total_of(binned) * share).alias("target"),
-        F.lit(None).cast("double").alias("value"),
-    )
-
-    def step(acc: Column, b: Column) -> Column:
-        missing = acc["target"] - acc["seen"]
-        within = F.least(F.greatest(missing / b["n"], F.lit(0.0)), F.lit(1.0))
-        inside = F.when((b["n"] > 0) & (b["hi"] > b["lo"]), b["lo"] + within * (b["hi"] - b["lo"]))
-        found = F.when(b["n"] >= missing, F.coalesce(inside, b["lo"]))
-        return F.struct(
-            (acc["seen"] + b["n"]).alias("seen"),
-            acc["target"].alias("target"),
-            F.coalesce(acc["value"], found).alias("value"),
-        )
-
-    answer = F.aggregate(binned, start, step, lambda acc: F.when(acc["seen"] > 0, acc["value"]))
-    return F.coalesce(answer, F.lit(0.0))
-
-
-def _share_of(binned: Column, weight) -> Column:
-    """Weighted share of the packets: ``weight`` says how much of a bin counts."""
-    start = F.struct(F.lit(0.0).alias("hit"), F.lit(0.0).alias("all"))
-    return F.aggregate(
-        binned,
-        start,
-        lambda acc, b: F.struct(
-            (acc["hit"] + b["n"] * weight(b)).alias("hit"), (acc["all"] + b["n"]).alias("all")
-        ),
-        lambda acc: F.when(acc["all"] > 0, acc["hit"] / acc["all"]).otherwise(0.0),
-    )
-
-
-def _if_finite(threshold: Column, share: Column) -> Column:
-    return F.when(F.abs(threshold) < F.lit(float("inf")), share).otherwise(0.0)
-
-
-def exceed_of(binned: Column, threshold: Column) -> Column:
+    target = f"aggregate({binned}, 0D, (t, b) -> t + b.n) * {share!r}D"
+    missing = "(acc.target - acc.seen)"
+    within = f"least(greatest({missing} / b.n, 0D), 1D)"
+    inside = f"IF(b.n > 0 AND b.hi > b.lo, b.lo + {within} * (b.hi - b.lo), b.lo)"
+    return f"""coalesce(aggregate({binned},
+        named_struct('seen', 0D, 'target', {target}, 'value', CAST(NULL AS DOUBLE)),
+        (acc, b) -> named_struct('seen', acc.seen + b.n, 'target', acc.target,
+            'value', coalesce(acc.value, IF(b.n >= {missing}, {inside}, NULL))),
+        acc -> IF(acc.seen > 0, acc.value, NULL)), 0D)"""
+
+
+def _share_of(binned: str, weight: str, threshold: str) -> str:
+    """Weighted share of the packets: ``weight`` says how much of a bin ``b`` counts."""
+    share = f"""aggregate({binned}, named_struct('hit', 0D, 'all', 0D),
+        (acc, b) -> named_struct('hit', acc.hit + b.n * {weight}, 'all', acc.all + b.n),
+        acc -> IF(acc.all > 0, acc.hit / acc.all, 0D))"""
+    return f"IF(abs({threshold}) < DOUBLE('Infinity'), {share}, 0D)"
+
+
+def exceed_of(binned: str, threshold: str) -> str:
     """Share above the threshold; the open bin counts only if it starts at or above it."""
-
-    def weight(b: Column) -> Column:
-        partial = (b["hi"] - threshold) / (b["hi"] - b["lo"])
-        return F.when(b["lo"] >= threshold, 1.0).when(b["hi"] > threshold, partial).otherwise(0.0)
-
-    return _if_finite(threshold, _share_of(binned, weight))
+    t = threshold
+    weight = f"CASE WHEN b.lo >= {t} THEN 1D WHEN b.hi > {t} THEN (b.hi - {t}) / (b.hi - b.lo) ELSE 0D END"
+    return _share_of(binned, weight, t)
 
 
-def below_of(binned: Column, threshold: Column) -> Column:
+def below_of(binned: str, threshold: str) -> str:
     """Share below the threshold; the open bin never counts."""
+    t = threshold
+    part = f"WHEN b.lo < {t} AND {t} < b.hi THEN ({t} - b.lo) / (b.hi - b.lo)"
+    return _share_of(binned, f"CASE WHEN b.hi <= {t} THEN 1D {part} ELSE 0D END", t)
 
-    def weight(b: Column) -> Column:
-        partial = (threshold - b["lo"]) / (b["hi"] - b["lo"])
-        return (
-            F.when(b["hi"] <= threshold, 1.0)
-            .when((b["lo"] < threshold) & (threshold < b["hi"]), partial)
-            .otherwise(0.0)
-        )
 
-    return _if_finite(threshold, _share_of(binned, weight))
-
-
-def quantile(counts: Column, edges: Column, q: float) -> Column:
+def quantile(counts: str, edges: str, q: float) -> str:
     return quantile_of(bins(counts, edges), q)
 
 
-def exceed_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+def exceed_fraction(counts: str, edges: str, threshold: str) -> str:
     return exceed_of(bins(counts, edges), threshold)
 
 
-def below_fraction(counts: Column, edges: Column, threshold: Column) -> Column:
+def below_fraction(counts: str, edges: str, threshold: str) -> str:
     return below_of(bins(counts, edges), threshold)
 
 
-def tail_fraction(counts: Column, n_bins: int) -> Column:
+def _part(part: str, counts: str) -> str:
+    return f"IF({total(counts)} > 0, {total(part)} / {total(counts)}, 0D)"
+
+
+def tail_fraction(counts: str, n_bins: int) -> str:
     """Share of packets in the last ``n_bins`` bins."""
-    n = F.greatest(F.least(F.lit(n_bins), F.size(counts)), F.lit(1))
-    part = total(F.slice(counts, F.size(counts) - n + 1, n))
-    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)
+    n = f"greatest(least({n_bins}, size({counts})), 1)"
+    return _part(f"slice({counts}, size({counts}) - {n} + 1, {n})", counts)
 
 
-def head_fraction(counts: Column, n_bins: int) -> Column:
+def head_fraction(counts: str, n_bins: int) -> str:
     """Share of packets in the first ``n_bins`` bins."""
-    part = total(F.slice(counts, F.lit(1), F.lit(max(n_bins, 1))))
-    return F.when(total(counts) > 0, part / total(counts)).otherwise(0.0)
+    return _part(f"slice({counts}, 1, {max(n_bins, 1)})", counts)

@@ -94,5 +94,5 @@ def aggregate_classes(features: DataFrame, decimals: int | None = 12) -> DataFra
     if decimals is None:
         return out.select(*CLASS, *[F.col(c).cast("double").alias(c) for c in names])
     return out.select(
-        *CLASS, *[fixed(F.col(c).cast("double"), decimals).alias(c) for c in names]
+        *CLASS, *[fixed(f"CAST({c} AS DOUBLE)", decimals).alias(c) for c in names]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +63,14 @@ def min_query(
     """
     probes = (
         distinct_flow_keys(keys)
-        .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(geometry.depth - 1))))
-        .withColumn("bucket", cms_bucket(F.col("teid"), F.col("qfi"), F.col("row"), geometry.width))
+        .withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
+        .withColumn("bucket", cms_bucket("teid", "qfi", "row", geometry.width))
     )
-    used = reduce(lambda a, b: a | b, [F.col(m) != 0 for m in geometry.measures])
+    used = " OR ".join(f"{m} <> 0" for m in geometry.measures)
     found = probes.join(sketch.where(used), ["window", "qid", "row", "bucket"], "left")
-    zero = F.lit(0).cast("bigint")
     return (
         found.withColumn("slice", F.floor(F.col("window") / slice_windows).cast("int"))
         .repartition("qfi", "teid", "slice")
         .groupBy("slice", *FLOW_KEY)
-        .agg(*[F.min(F.coalesce(m, zero)).alias(m) for m in geometry.measures])
+        .agg(*[F.expr(f"min(coalesce({m}, 0L)) AS {m}") for m in geometry.measures])
     )

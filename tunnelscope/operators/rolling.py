@@ -62,37 +62,34 @@ def with_history(
     )
 
 
-def _per_column(
-    names: list[str], columns: list[str], feature: Callable[[Column], Column]
-) -> Column:
-    """Array of ``feature`` for each of ``names``, given its position in ``columns``."""
-    return F.transform(F.array(*[F.lit(columns.index(n)) for n in names]), feature)
+def _per_column(names: list[str], columns: list[str], feature: Callable[[str], str]) -> Column:
+    """Array of ``feature`` for each of ``names``, given its position ``p`` in ``columns``."""
+    positions = ", ".join(str(columns.index(n)) for n in names)
+    return F.expr(f"transform(array({positions}), p -> {feature('p')})")
 
 
-def _past(rows: str, position: Column) -> Column:
-    return F.transform(rows, lambda row: F.get(row, position))
+def _past(rows: str, position: str) -> str:
+    return f"transform({rows}, row -> get(row, {position}))"
 
 
 def z_scores(names: list[str], base: list[str], rows: int) -> Column:
     """Robust z-score of the current value against the last ``rows`` rows, per column."""
+    now = f"array({', '.join(base)})"
 
-    def feature(position: Column) -> Column:
-        past = _past("_recent", position)
-        current = F.get(F.array(*base), position)
-        return series.robust_z(series.finite_only(past), current, rows)
+    def feature(position: str) -> str:
+        past = series.finite_only(_past("_recent", position))
+        return series.robust_z(past, f"get({now}, {position})", rows)
 
     return _per_column(names, base, feature)
 
 
-ROLL_FEATURES: dict[str, Callable[[Column], Column]] = {
+ROLL_FEATURES: dict[str, Callable[[str], str]] = {
     "roll3_med": lambda past: series.median(series.last_rows(past, 3)),
     "roll5_med": lambda past: series.median(series.last_rows(past, 5)),
     "roll9_med": lambda past: series.median(series.last_rows(past, 9)),
-    "roll5_max": lambda past: F.array_max(series.last_rows(past, 5)),
+    "roll5_max": lambda past: f"array_max({series.last_rows(past, 5)})",
     "roll5_std": lambda past: series.std_pop(series.last_rows(past, 5)),
-    "delta": lambda past: F.coalesce(
-        F.get(past, F.size(past) - 1) - F.get(past, F.size(past) - 2), F.lit(0.0)
-    ),
+    "delta": lambda past: f"coalesce(get({past}, size({past}) - 1) - get({past}, size({past}) - 2), 0D)",
     "slope5": lambda past: series.slope(series.last_rows(past, 5)),
 }
 
@@ -100,28 +97,26 @@ ROLL_FEATURES: dict[str, Callable[[Column], Column]] = {
 def roll_features(names: list[str], base: list[str]) -> Column:
     """Rolling medians, maximum, deviation, delta and slope: one struct per column."""
 
-    def feature(position: Column) -> Column:
-        return series.bind(
-            _past("_recent", position),
-            lambda past: F.struct(*[fn(past).alias(n) for n, fn in ROLL_FEATURES.items()]),
-        )
+    def all_features(past: str) -> str:
+        return f"named_struct({', '.join(f'{n!r}, {fn(past)}' for n, fn in ROLL_FEATURES.items())})"
 
-    return _per_column(names, base, feature)
+    return _per_column(names, base, lambda p: series.bind(_past("_recent", p), all_features))
 
 
 def ewmas(names: list[str], base: list[str]) -> Column:
     """Exponential average per column."""
     rolled = [c for c in ROLL_KEYS if c in base]
-    return _per_column(names, rolled, lambda position: series.ewma(_past("_long", position)))
-
-
-def high_runs(z: Column, frame) -> Column:
-    """Length of the run of rows, up to this one, whose z-score is high; capped."""
-    return series.trailing_run(F.collect_list(z >= RUN_THRESHOLD).over(frame))
+    return _per_column(names, rolled, lambda p: series.ewma(_past("_long", p)))
 
 
-def run_frame(keys: list[str]):
-    return Window.partitionBy(*keys, "_block").orderBy("window").rowsBetween(1 - RUN_CAP, 0)
+def high_runs(history: DataFrame, z: dict[str, str], keys: list[str]) -> DataFrame:
+    """Add, per name, the length of the run of rows up to this one whose z-score is high; capped."""
+    frame = (
+        Window.partitionBy(*keys, "_block").orderBy("window").rowsBetween(1 - RUN_CAP, 0)
+    )
+    flags = {n: F.collect_list(F.expr(f"{c} >= {RUN_THRESHOLD}D")).over(frame) for n, c in z.items()}
+    flagged = history.withColumns(flags)
+    return flagged.withColumns({n: F.expr(series.trailing_run(n)) for n in z})
 
 
 def engineer(
@@ -136,29 +131,22 @@ def engineer(
     base = base_columns(classes)
     history = with_history(classes, config, base, keys)
     scored = history.withColumn("_z", z_scores(base, base, Z_LONG_ROWS))
-    long_z = {n: F.get("_z", F.lit(base.index(n))) for n in Z_KEYS}
-    frame = run_frame(keys)
-    runs = {f"_run_{n}": high_runs(c, frame) for n, c in long_z.items()}
-    own = (
-        scored.withColumns(runs)
-        .where(~F.col("_history"))
-        .withColumns(
-            {
-                "_zs": z_scores(Z_KEYS, base, Z_SHORT_ROWS),
-                "_roll": roll_features(ROLL_KEYS, base),
-                "_ewma": ewmas(ROLL_KEYS, base),
-            }
-        )
+    long_z = {n: f"get(_z, {base.index(n)})" for n in Z_KEYS}
+    runs = high_runs(scored, {f"_run_{n}": z for n, z in long_z.items()}, keys)
+    own = runs.where(~F.col("_history")).withColumns(
+        {
+            "_zs": z_scores(Z_KEYS, base, Z_SHORT_ROWS),
+            "_roll": roll_features(ROLL_KEYS, base),
+            "_ewma": ewmas(ROLL_KEYS, base),
+        }
     )
-    out: dict[str, Column] = {f"rz_{n}": F.get("_z", F.lit(i)) for i, n in enumerate(base)}
+    out = {f"rz_{n}": f"get(_z, {i})" for i, n in enumerate(base)}
     for i, name in enumerate(ROLL_KEYS):
-        rolled = F.get("_roll", F.lit(i))
-        out.update({f"{f}_{name}": rolled[f] for f in ROLL_FEATURES})
-        out[f"ewma_{name}"] = F.get("_ewma", F.lit(i))
+        out.update({f"{f}_{name}": f"get(_roll, {i}).{f}" for f in ROLL_FEATURES})
+        out[f"ewma_{name}"] = f"get(_ewma, {i})"
     for i, name in enumerate(Z_KEYS):
-        short = F.get("_zs", F.lit(i))
-        out[f"zS_{name}"] = short
+        out[f"zS_{name}"] = f"get(_zs, {i})"
         out[f"zL_{name}"] = long_z[name]
-        out[f"deltaSL_{name}"] = short - long_z[name]
-        out[f"runlen_hi_{name}"] = F.col(f"_run_{name}").cast("double")
-    return own.select("window", *keys, *base, *[c.alias(n) for n, c in out.items()])
+        out[f"deltaSL_{name}"] = f"get(_zs, {i}) - {long_z[name]}"
+        out[f"runlen_hi_{name}"] = f"CAST(_run_{name} AS DOUBLE)"
+    return own.selectExpr("window", *keys, *base, *[f"{text} AS {n}" for n, text in out.items()])

@@ -30,10 +30,8 @@ def _numbered(packets: DataFrame) -> DataFrame:
 
 def _spread(flows: DataFrame, geometry: SketchGeometry) -> DataFrame:
     """One row per hash row, with the bucket the flow falls into."""
-    rows = flows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(geometry.depth - 1))))
-    return rows.withColumn(
-        "bucket", cms_bucket(F.col("teid"), F.col("qfi"), F.col("row"), geometry.width)
-    )
+    rows = flows.withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
+    return rows.withColumn("bucket", cms_bucket("teid", "qfi", "row", geometry.width))
 
 
 def _to_cells(per_flow: DataFrame, geometry: SketchGeometry, measures: list[str]) -> DataFrame:
@@ -69,21 +67,21 @@ def colors(packets: DataFrame, geometry: SketchGeometry) -> DataFrame:
 
 def _with_latency_bin(packets: DataFrame, edges: BinEdges, geometry: SketchGeometry) -> DataFrame:
     value = latency_q16(F.col("hop_latency_ns"))
-    binned = bin_index(value, F.col("_edges"), geometry.lat_bins - 1)
+    last = geometry.lat_bins - 1
+    binned = bin_index("_value", "_edges", last)
     return (
         _numbered(packets)
-        .withColumn("_edges", edges.latency("qid"))
+        .withColumns({"_edges": F.expr(edges.latency("qid")), "_value": value})
         # A queue without installed ranges misses, and a latency miss counts in the last bin.
-        .withColumn(
-            "lat_bin", F.when(F.col("_edges").isNull(), geometry.lat_bins - 1).otherwise(binned)
-        )
-        .drop("_edges")
+        .withColumn("lat_bin", F.expr(f"IF(_edges IS NULL, {last}, {binned})"))
+        .drop("_edges", "_value")
     )
 
 
 def _latency_counts(geometry: SketchGeometry) -> list[Column]:
+    kept = f"meter_color <> {COLOR_RED}"
     return [
-        _count(_forwarded() & (F.col("lat_bin") == i)).alias(c)
+        F.expr(f"count_if({kept} AND lat_bin = {i}) AS {c}")
         for i, c in enumerate(geometry.lat_columns)
     ]
 
@@ -140,16 +138,13 @@ def iat_histogram(
     packets: DataFrame, edges: BinEdges, geometry: SketchGeometry, slice_us: int
 ) -> DataFrame:
     """Inter-arrival bins per cell."""
-    binned = bin_index(F.col("iat"), F.col("_edges"), geometry.iat_bins - 1)
-    # A queue without installed ranges misses, and an inter-arrival miss counts in the first bin.
-    counts = [
-        _count(F.coalesce("iat_bin", F.lit(0)) == i).alias(c)
-        for i, c in enumerate(geometry.iat_columns)
-    ]
+    binned = bin_index("iat", "_edges", geometry.iat_bins - 1)
+    counts = [F.expr(f"count_if(iat_bin = {i}) AS {c}") for i, c in enumerate(geometry.iat_columns)]
     return (
         bucket_gaps(packets, geometry, slice_us)
-        .withColumn("_edges", edges.arrival("qid"))
-        .withColumn("iat_bin", binned)
+        .withColumn("_edges", F.expr(edges.arrival("qid")))
+        # A queue without installed ranges misses, and an inter-arrival miss counts in the first bin.
+        .withColumn("iat_bin", F.expr(f"IF(_edges IS NULL, 0, {binned})"))
         .groupBy(*CELL)
         .agg(*counts)
     )
@@ -164,24 +159,23 @@ def build(
     packets; the inter-arrival bins are added by a union and a final sum per cell. ``slice_us`` is
     the time slice of ``bucket_gaps``, such as the length of a window.
     """
-    green = F.col("meter_color") == COLOR_GREEN
-    forwarded = _forwarded()
+    kept = f"(meter_color <> {COLOR_RED})"
     per_flow = (
         _with_latency_bin(packets, edges, geometry)
         .groupBy(*FLOW)
         .agg(
             *_latency_counts(geometry),
-            _count(forwarded).alias("pkt_cnt"),
-            F.sum(F.when(forwarded, F.col("packet_length")).otherwise(0)).alias("byte_cnt"),
-            _count(forwarded & green).alias("green_cnt"),
-            _count(forwarded & ~green).alias("yellow_cnt"),
-            _count(~forwarded).alias("drop_cnt"),
+            F.expr(f"count_if({kept}) AS pkt_cnt"),
+            F.expr(f"sum(IF({kept}, packet_length, 0)) AS byte_cnt"),
+            F.expr(f"count_if({kept} AND meter_color = {COLOR_GREEN}) AS green_cnt"),
+            F.expr(f"count_if({kept} AND meter_color <> {COLOR_GREEN}) AS yellow_cnt"),
+            F.expr(f"count_if(NOT {kept}) AS drop_cnt"),
         )
     )
     additive = _to_cells(per_flow, geometry, geometry.lat_columns + COUNTERS)
     gaps = iat_histogram(packets, edges, geometry, slice_us)
     both = additive.unionByName(gaps, allowMissingColumns=True)
-    sums = [F.coalesce(F.sum(m), F.lit(0).cast("bigint")).alias(m) for m in geometry.measures]
+    sums = [F.expr(f"coalesce(sum({m}), 0L) AS {m}") for m in geometry.measures]
     return both.groupBy(*CELL).agg(*sums)
 
 

@@ -24,15 +24,15 @@ TUNNEL = ["window", "qfi", "teid"]
 STATS = ["lat_p50_ms", "lat_p95_ms", "lat_tail_frac", "iat_p10_us", "iat_p50_us", "iat_head_frac"]
 
 
-def queue_stats() -> dict[str, Column]:
+def queue_stats() -> dict[str, str]:
     """Statistics of one queue's histograms."""
     return {
-        "lat_p50_ms": H.quantile_of(F.col("lat_bins"), 0.50) / 1000,
-        "lat_p95_ms": H.quantile_of(F.col("lat_bins"), 0.95) / 1000,
-        "lat_tail_frac": H.tail_fraction(F.col("lat"), LATENCY_TAIL_BINS),
-        "iat_p10_us": H.quantile_of(F.col("iat_bins"), 0.10),
-        "iat_p50_us": H.quantile_of(F.col("iat_bins"), 0.50),
-        "iat_head_frac": H.head_fraction(F.col("iat"), IAT_HEAD_BINS),
+        "lat_p50_ms": H.quantile_of("lat_bins", 0.50) + " / 1000",
+        "lat_p95_ms": H.quantile_of("lat_bins", 0.95) + " / 1000",
+        "lat_tail_frac": H.tail_fraction("lat", LATENCY_TAIL_BINS),
+        "iat_p10_us": H.quantile_of("iat_bins", 0.10),
+        "iat_p50_us": H.quantile_of("iat_bins", 0.50),
+        "iat_head_frac": H.head_fraction("iat", IAT_HEAD_BINS),
     }
 
 
@@ -46,21 +46,20 @@ def per_queue(recon: DataFrame, edges: BinEdges, config: PipelineConfig) -> Data
     The weight is the packet count, or the latency bins' sum if that is not positive.
     """
     geometry = config.geometry
-    lat, iat = F.col("lat"), F.col("iat")
-    weight = F.when(F.col("pkt_cnt") > 0, F.col("pkt_cnt").cast("double")).otherwise(H.total(lat))
+    weight = f"IF(pkt_cnt > 0, CAST(pkt_cnt AS DOUBLE), {H.total('lat')})"
     return (
         recon.withColumns({"lat": F.array(*geometry.lat_columns), "iat": F.array(*geometry.iat_columns)})
         .withColumns(
             {
-                "_lat_edges": H.usable_edges(edges.latency("qid"), lat),
-                "_iat_edges": H.usable_edges(edges.arrival("qid"), iat),
-                "weight": weight,
+                "_lat_edges": F.expr(H.usable_edges(edges.latency("qid"), "lat")),
+                "_iat_edges": F.expr(H.usable_edges(edges.arrival("qid"), "iat")),
+                "weight": F.expr(weight),
             }
         )
         .withColumns(
             {
-                "lat_bins": H.bins(lat, F.col("_lat_edges")),
-                "iat_bins": H.bins(iat, F.col("_iat_edges")),
+                "lat_bins": F.expr(H.bins("lat", "_lat_edges")),
+                "iat_bins": F.expr(H.bins("iat", "_iat_edges")),
             }
         )
         .drop(*geometry.lat_columns, *geometry.iat_columns, "_lat_edges", "_iat_edges")
@@ -74,14 +73,16 @@ def tunnel_windows(recon: DataFrame, edges: BinEdges, config: PipelineConfig) ->
     histograms of queues with traffic, at most one entry per queue of the switch.
     """
     usable = F.when(F.col("weight") > 0, F.struct("qid", "weight", "lat_bins", "iat_bins"))
-    weight = F.when(F.col("weight") > 0, F.col("weight"))
-    means = [F.coalesce(F.sum(F.col(s) * weight) / F.sum(weight), F.lit(0.0)).alias(s) for s in STATS]
+    heavy = "FILTER (WHERE weight > 0)"
+    means = [
+        F.expr(f"coalesce(sum({s} * weight) {heavy} / sum(weight) {heavy}, 0D) AS {s}") for s in STATS
+    ]
     return (
         per_queue(recon, edges, config)
-        .withColumns(queue_stats())
+        .withColumns({name: F.expr(text) for name, text in queue_stats().items()})
         .groupBy("slice", *TUNNEL)
         .agg(
-            *[F.sum(c).alias(c) for c in COUNTERS],
+            *[F.expr(f"sum({c}) AS {c}") for c in COUNTERS],
             *means,
             F.sort_array(F.collect_list(usable)).alias("queues"),
         )
@@ -108,18 +109,23 @@ def rolling_thresholds(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     )
 
     def threshold(column: str, q: float) -> Column:
-        past = F.collect_list(column).over(earlier)
-        return F.coalesce(series.percentile(past, q), F.lit(0.0))
+        return F.expr(f"coalesce({series.percentile(column, q)}, 0D)")
 
     return (
         blocks.withColumns(
             {
-                "thr_lat_ms": threshold("lat_p95_ms", LATENCY_THRESHOLD_Q),
-                "thr_iat_us": threshold("iat_p10_us", IAT_THRESHOLD_Q),
+                "_lat": F.collect_list("lat_p95_ms").over(earlier),
+                "_iat": F.collect_list("iat_p10_us").over(earlier),
             }
         )
         .where(~F.col("_history"))
-        .drop("_block", "_history")
+        .withColumns(
+            {
+                "thr_lat_ms": threshold("_lat", LATENCY_THRESHOLD_Q),
+                "thr_iat_us": threshold("_iat", IAT_THRESHOLD_Q),
+            }
+        )
+        .drop("_block", "_history", "_lat", "_iat")
     )
 
 
@@ -158,15 +164,13 @@ def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
         tunnels.select(*TUNNEL, "queues"), TUNNEL
     )
 
-    def queue_mean(fraction) -> Column:
-        hit = F.aggregate(
-            "queues", F.lit(0.0), lambda acc, q: acc + q["weight"] * fraction(q)
-        )
-        whole = F.aggregate("queues", F.lit(0.0), lambda acc, q: acc + q["weight"])
-        return F.when(F.size("queues") > 0, hit / whole).otherwise(0.0)
+    def queue_mean(fraction: str) -> Column:
+        hit = f"aggregate(queues, 0D, (sum, q) -> sum + q.weight * {fraction})"
+        whole = "aggregate(queues, 0D, (sum, q) -> sum + q.weight)"
+        return F.expr(f"IF(size(queues) > 0, {hit} / {whole}, 0D)")
 
-    over = queue_mean(lambda q: H.exceed_of(q["lat_bins"], F.col("thr_lat_ms") * 1000))
-    under = queue_mean(lambda q: H.below_of(q["iat_bins"], F.col("thr_iat_us")))
+    over = queue_mean(H.exceed_of("q.lat_bins", "(thr_lat_ms * 1000)"))
+    under = queue_mean(H.below_of("q.iat_bins", "thr_iat_us"))
     rates = traffic_rates(config)
     return with_queues.select(
         "window",

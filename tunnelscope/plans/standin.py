@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import QIDS_PER_SWITCH, PipelineConfig, SketchGeometry
+from ..config import QIDS_PER_SWITCH, REQUEUE_QUEUE, PipelineConfig, SketchGeometry
 from ..functions.fields import MASK48
 from ..operators.packets import mapped_queue, policing_action
 from ..operators.sketch import build, flow_keys
@@ -70,31 +70,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def micros(column: str) -> F.Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    ts = F.col(column)
-    days = F.unix_date(F.to_date(ts)).cast("bigint")
-    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
-    seconds = F.extract(F.lit("SECOND"), ts)
-    return days * 86_400_000_000 + minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    days = f"CAST(unix_date(CAST({column} AS DATE)) AS BIGINT) * 86400000000"
+    minutes = f"CAST(hour({column}) * 60 + minute({column}) AS BIGINT) * 60000000"
+    seconds = f"CAST(extract(SECOND FROM {column}) * 1000000 AS BIGINT)"
+    return F.expr(f"{days} + {minutes} + {seconds}")
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per event."""
-    classes = F.create_map(*[F.lit(x) for pair in CLASS_OF_TYPE.items() for x in pair])
+    classes = " ".join(f"WHEN '{kind}' THEN {qfi}" for kind, qfi in CLASS_OF_TYPE.items())
     events = read(spark, sf_dir, "events").select(
         F.col("event_id").alias("packet_id"),
         micros("ts").alias("ts_us"),
-        (F.col("user_id") % 8).cast("bigint").alias("teid"),
-        classes[F.col("event_type")].cast("int").alias("qfi"),
-        F.floor(F.col("value") * 100000 + 0.5).cast("bigint").alias("hop_latency_ns"),
-        F.when(F.col("value") < 60, 0).when(F.col("value") < 150, 1).otherwise(3).alias("meter_color"),
-        (F.regexp_extract("props", r"(\d+)", 1).cast("bigint") * 13 + 64).alias("packet_length"),
+        F.expr("user_id % 8 AS teid"),
+        F.expr(f"CASE event_type {classes} END AS qfi"),
+        F.expr("floor(value * 100000D + 0.5D) AS hop_latency_ns"),
+        F.expr("CASE WHEN value < 60 THEN 0 WHEN value < 150 THEN 1 ELSE 3 END AS meter_color"),
+        F.expr(r"CAST(regexp_extract(props, r'(\d+)', 1) AS BIGINT) * 13 + 64 AS packet_length"),
     )
-    action = policing_action(F.col("meter_color"))
+    requeued = policing_action(F.col("meter_color")) == "requeue"
     return events.withColumns(
         {
-            "window": F.floor((F.col("ts_us") - FIRST_US) / WINDOW_US).cast("int"),
-            "egress_qid": F.when(action == "requeue", 7).otherwise(mapped_queue(F.col("qfi"))),
-            "ingress_tstamp_ns": F.expr("(ts_us * 1024) div 1000000").bitwiseAND(F.lit(MASK48)),
+            "window": F.expr(f"CAST(floor((ts_us - {FIRST_US}) / {WINDOW_US}) AS INT)"),
+            "egress_qid": F.when(requeued, REQUEUE_QUEUE).otherwise(mapped_queue(F.col("qfi"))),
+            "ingress_tstamp_ns": F.expr(f"((ts_us * 1024) div 1000000) & {MASK48}L"),
         }
     )
 
