@@ -220,14 +220,14 @@ def postcard_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Some payloads are cut one byte short and must disappear.
     cut_short = F.when(F.col("packet_id") % 50 == 7, F.substring(wire, 1, 30)).otherwise(wire)
     sent = S.packets(spark, sf_dir).select("packet_id", cut_short.alias("payload"))
-    return postcards.decode_wire(sent)
+    return postcards.decode_wire(cut(sent, "wire"))
 
 
 @query
 def postcard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = postcards.encode_record(_postcard_fields())
     stored = S.packets(spark, sf_dir).select("packet_id", record.alias("record"))
-    return postcards.decode_records(stored)
+    return postcards.decode_records(cut(stored, "records"))
 
 
 @query
@@ -236,7 +236,7 @@ def postcard_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         postcards.log_line(_postcard_fields())
     )
     lines = S.packets(spark, sf_dir).select("packet_id", line.alias("value"))
-    return postcards.parse_log(lines)
+    return postcards.parse_log(cut(lines, "log"))
 
 
 @query

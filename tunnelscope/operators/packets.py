@@ -113,7 +113,10 @@ def watchlist_filter(packets: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 
 def watchlist_counters(packets: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Packets and bytes per watchlist entry; an entry without a match counts 0."""
+    """Packets and bytes per watchlist entry; an entry without a match counts 0.
+
+    Entries should not overlap: a packet counts for each entry it matches.
+    """
     hits = (
         packets.join(small_side(watchlist), _watch_condition(packets, watchlist))
         .groupBy(watchlist["entry_id"])
