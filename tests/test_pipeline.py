@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tunnelscope.config import PipelineConfig, SketchGeometry
 from tunnelscope.operators import classes, minquery, rolling, scoring, sketch, tunnels
-from tunnelscope.plans import pipeline
+from tunnelscope.plans import detection
 from tunnelscope.plans import standin as S
 from tunnelscope.session import cut
 from tunnelscope.sources.settings import same_bins
@@ -121,8 +121,8 @@ def test_class_features_by_hand(spark):
 
 @pytest.fixture(scope="module")
 def class_table(spark, packets, built):
-    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
-    return pipeline.class_table(pipeline.feature_table(table, S.CONFIG), S.CONFIG)
+    table = detection.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
+    return detection.class_table(detection.feature_table(table, S.CONFIG), S.CONFIG)
 
 
 def test_class_invariants(class_table):
@@ -140,7 +140,7 @@ def test_engineered_columns_and_blocks(class_table):
 
 
 def test_tunnel_features_do_not_depend_on_blocks(spark, packets, built):
-    table = pipeline.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
+    table = detection.tunnel_table(built, sketch.flow_keys(packets), S.BINS, S.CONFIG)
     small = dataclasses.replace(S.CONFIG, block_rows=3, slice_windows=10)
     assert rows(tunnels.tunnel_features(table, small)) == rows(tunnels.tunnel_features(table, S.CONFIG))
 

@@ -5,7 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tunnelscope.operators import alarms
-from tunnelscope.plans import pipeline
+from tunnelscope.plans import detection
 from tunnelscope.plans import standin as S
 from tunnelscope.session import scratch_path
 from tunnelscope.sources import windows
@@ -16,7 +16,7 @@ from tunnelscope.streaming.detect import DetectionStream, read_sketch_stream, re
 def test_detection_in_batches(spark):
     sketch, keys = S.sketch(spark, SMALL), S.keys(spark, SMALL).cache()
     sketch = sketch.where("window < 60 AND window <> 31").cache()
-    batch = pipeline.detect(sketch, keys, S.BINS, S.FEAT_COLS, S.MODEL, S.CONFIG)
+    batch = detection.detect(sketch, keys, S.BINS, S.FEAT_COLS, S.MODEL, S.CONFIG)
     want = {(r.window, r.qfi): (r.score, r.pred, r.debounced) for r in batch.collect()}
 
     snapshots, key_files = scratch_path(spark, "cms"), scratch_path(spark, "keys")

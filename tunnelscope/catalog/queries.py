@@ -17,7 +17,7 @@ from ..functions import fields, hashing
 from ..functions import histogram as H
 from ..operators import alarms, classes, minquery, quality, rates, rolling, scoring, sketch, tunnels
 from ..operators import packets as pk
-from ..plans import pipeline
+from ..plans import detection
 from ..plans import standin as S
 from ..plans.slices import previous_value
 from ..session import cut, scratch_path
@@ -664,7 +664,7 @@ def rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def teid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = S.sketch(spark, sf_dir)
-    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
+    table = detection.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
     return rounded(tunnels.tunnel_features(table, CONFIG))
 
 
@@ -699,8 +699,8 @@ def qfi_color_bw_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _full_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = S.sketch(spark, sf_dir)
-    table = pipeline.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
-    return pipeline.class_table(pipeline.feature_table(table, CONFIG), CONFIG)
+    table = detection.tunnel_table(built, S.keys(spark, sf_dir), S.BINS, CONFIG)
+    return detection.class_table(detection.feature_table(table, CONFIG), CONFIG)
 
 
 @query
@@ -843,7 +843,7 @@ def debounce_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.detect(
+    return detection.detect(
         S.sketch(spark, sf_dir), S.keys(spark, sf_dir), S.BINS, S.FEAT_COLS, S.MODEL, CONFIG
     )
 

@@ -57,12 +57,14 @@ def min_query(
 
     A cell that is not in the sketch counts 0, so cells that never counted anything, most of a
     register dump, are left out before the join. ``sketch`` holds each cell once (a register dump
-    does) and comes from ``clean_sketch``. The rows of one flow are brought together by
+    does) and comes from ``clean_sketch``. Repeated keys need no shuffle of their own: the minimum
+    absorbs them. The rows of one flow are brought together by
     (tunnel, class, window slice): later sums per tunnel and window need no further shuffle, and a
     tunnel that never goes away is still spread over its slices.
     """
     probes = (
-        distinct_flow_keys(keys)
+        clean_flow_keys(keys)
+        .where("valid")
         .withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
         .withColumn("bucket", cms_bucket("teid", "qfi", "row", geometry.width))
     )
