@@ -226,3 +226,15 @@ def test_one_hot_tunnel(spark):
     one, many = (rows(sketch.build(packets, bins, geometry, us)) for us in (10**12, 50_000))
     assert one == many
     assert sum(r[sorted(["bucket", "qid", "row", "window", *geometry.measures]).index("pkt_cnt")] for r in one) == 4 * n
+
+
+def test_tunnel_sums_reuse_the_flow_shuffle(spark, packets, built):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flows = minquery.min_query(built, sketch.flow_keys(packets), S.CONFIG.geometry)
+        both = (flows, tunnels.tunnel_windows(flows, S.BINS, S.CONFIG))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in both]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning")
+    assert "CartesianProduct" not in plans[1] and "NestedLoop" not in plans[1]
