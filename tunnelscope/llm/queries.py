@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixture, sharding
+import public_tokenizers
+
+from ..session import scratch_path
+from . import mixture, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,3 +36,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document, equal texts together."""
     plan = sharding.shard_documents(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Content of a public tokenizer's file; read on the driver and sent to the workers."""
+    with open(public_tokenizers.path(name)) as f:
+        return f.read()
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all texts as bit-packed ids and reads them back."""
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), path, end_id=1)
+    return tokenfiles.document_digests(tokenfiles.read_token_files(spark, path))
