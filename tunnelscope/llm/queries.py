@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import mixture, sharding, tokenfiles
+from . import lexicon, mixture, sharding, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -50,3 +50,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenfiles.write_token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), path, end_id=1)
     return tokenfiles.document_digests(tokenfiles.read_token_files(spark, path))
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all texts through the lexicon and decodes them."""
+    return lexicon.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
