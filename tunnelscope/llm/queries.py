@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import lexicon, mixture, sharding, tokenfiles
+from . import chat, imatch, language, lexicon, mixture, sharding, tokenfiles, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -56,3 +56,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all texts through the lexicon and decodes them."""
     return lexicon.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best others of every hundredth vector."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+# The conversation that holds control strings of the template.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one hard one, and reads them back."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.round_trip(turns.unionByName(hard))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each text, learned from three quarters of the ids."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = language.learn_and_identify(docs)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edits."""
+    return imatch.fingerprints_of_edits(documents(spark, sf_dir))
