@@ -19,9 +19,9 @@ import regex
 from .buffers import IS_SPACE, Rolling, TextSlice, spans_of, text_slices
 
 # Bytes of text encoded at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Chunks a worker keeps the ids of; beyond that, chunks are encoded anew in each slice.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 600_000
 # Longer words are merged by the library, whose work doesn't grow with the square of the length.
 LONG_WORD = 200
 

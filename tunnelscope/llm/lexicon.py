@@ -21,11 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SLICE_BYTES, Encoder, Tokenizer, encoded
+from ..session import cut
+from .bpe import Encoder, Tokenizer, encoded
 from .buffers import Rolling, spans_of, text_slices
 
-# Words in the lexicon. A bound on the model, not on the corpus: all others are merged.
-LEXICON_WORDS = 1 << 16
+# A word is in the lexicon if at least one of this many words of the corpus is that word. So there are at most as many words in
+# it, whatever the corpus; all others are merged.
+LEXICON_SHARE = 1 << 18
+# Bytes of text whose words are counted at once.
+COUNT_BYTES = 1 << 21
 # Longer words are left to the rules; the walk takes as many steps as its longest word.
 LEXICON_BYTES = 40
 
@@ -120,36 +124,40 @@ class Transducer:
         return count, where, self.ids
 
 
-def frequent_words(docs: DataFrame, spec: str, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The chunks that occur most often in the column ``text`` of the whole table, in byte order.
+def frequent_words(docs: DataFrame, spec: str, share: int = LEXICON_SHARE) -> list[bytes]:
+    """The chunks that are at least one of ``share`` chunks of the column ``text`` in the whole table, in byte order.
 
-    Each task adds up its own chunks first. At most ``words`` rows reach the driver.
+    Each task adds up its own chunks first. At most ``share`` rows reach the driver.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value)
         for batch in batches:
-            for part in text_slices(batch.column(0), 4 * SLICE_BYTES):
+            for part in text_slices(batch.column(0), COUNT_BYTES):
                 starts, ends, _ = tokenizer.chunks(part)
                 if not len(starts):
                     continue
                 _, sample, n = np.unique(Rolling(part.data).spans(starts, ends), return_index=True, return_counts=True)
                 short = ends[sample] - starts[sample] <= LEXICON_BYTES
                 sample, n = sample[short], n[short]
-                a, lengths = starts[sample], ends[sample] - starts[sample]
-                flat = part.data[spans_of(a, lengths)]
+                # No chunk is empty: the empty one carries the number of all chunks.
+                a, lengths = starts[sample], np.append(ends[sample] - starts[sample], 0)
+                flat = part.data[spans_of(a, lengths[:-1])]
                 offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-                column = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([column, pa.array(n)], ["word", "n"])
+                column = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([column, pa.array(np.append(n, len(starts)))], ["word", "n"])
 
     counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "word binary, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return sorted(bytes(r["word"]) for r in top.collect())
+    # A word met once is in no lexicon: neither is it in the table of counts.
+    counts = cut(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1 OR octet_length(word) = 0"), "word-counts")
+    total = counts.filter("octet_length(word) = 0").agg(F.sum("n")).first()[0] or 0
+    found = counts.filter((F.octet_length("word") > 0) & (F.col("n") >= max(2.0, total / share)))
+    return sorted(bytes(r["word"]) for r in found.select("word").collect())
 
 
-def compiled_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS) -> bytes:
-    found = frequent_words(docs, spec, words)
+def compiled_lexicon(docs: DataFrame, spec: str, share: int = LEXICON_SHARE) -> bytes:
+    found = frequent_words(docs, spec, share)
     if not found:
         return compile_transducer([], [])
     lengths = np.array([len(w) for w in found], dtype=np.int64)
@@ -159,10 +167,10 @@ def compiled_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS) ->
     return compile_transducer(found, [ids[a : a + n] for a, n in zip(where, count, strict=True)])
 
 
-def encode_documents(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, into: str = "token_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, spec: str, share: int = LEXICON_SHARE, into: str = "token_ids") -> DataFrame:
     """``docs`` with a column ``into``: the ids of ``text`` as little-endian unsigned 32-bit integers."""
     context = docs.sparkSession.sparkContext
-    shared, compiled = context.broadcast(spec), context.broadcast(compiled_lexicon(docs, spec, words))
+    shared, compiled = context.broadcast(spec), context.broadcast(compiled_lexicon(docs, spec, share))
     kept = [c for c in docs.columns if c != into]
     at = kept.index("text")
 
@@ -201,9 +209,9 @@ def decode_documents(tokens: DataFrame, spec: str, ids: str = "token_ids", into:
     return tokens.select(*kept).mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, spec: str, words: int = LEXICON_WORDS) -> DataFrame:
+def round_trip_digests(docs: DataFrame, spec: str, share: int = LEXICON_SHARE) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the text that the ids decode to)."""
-    tokens = encode_documents(docs.select("doc_id", "text"), spec, words).select("doc_id", "token_ids")
+    tokens = encode_documents(docs.select("doc_id", "text"), spec, share).select("doc_id", "token_ids")
     out = decode_documents(tokens, spec)
     return out.select(
         "doc_id",
