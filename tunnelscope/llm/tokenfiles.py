@@ -139,7 +139,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return blocks.join(shards, "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
+    # The blocks themselves are not shuffled: there is one shard per partition of the write.
+    return blocks.join(F.broadcast(shards), "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
 def document_digests(blocks: DataFrame) -> DataFrame:
