@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import chat, imatch, language, lexicon, mixture, sharding, tokenfiles, topk
+from . import chat, imatch, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -88,3 +88,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edits."""
     return imatch.fingerprints_of_edits(documents(spark, sf_dir))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without its bytes in repeated strings of 400 bytes."""
+    return repeats.repeat_digests(documents(spark, sf_dir))
