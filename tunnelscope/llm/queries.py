@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import chat, imatch, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
+from . import chat, imatch, jaccard, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -94,3 +94,9 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each text without its bytes in repeated strings of 400 bytes."""
     return repeats.repeat_digests(documents(spark, sf_dir))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are at least 90 % alike."""
+    return jaccard.components_of(documents(spark, sf_dir), words=3, num=90, den=100)
