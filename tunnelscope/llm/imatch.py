@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     parts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = docs.select(F.percentile_approx("doc_id", parts, F.lit(10 * ranges))).first()[0] or []
     bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    rows = docs.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(-1)))
+    rows = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))))
     order = [F.col("doc_id").asc_nulls_first(), *[F.col(c) for c in columns]]
     own = F.struct(*columns)
     # The first row of each range: of its lowest doc_id, which few rows share.
