@@ -41,6 +41,13 @@ def test_encoding_and_decoding_equal_the_library(spark, rows):
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
 
 
+def test_encoded_column_decodes_to_the_text(spark, rows):
+    docs = table(spark, rows)
+    tokens = lexicon.encode_documents(docs, spec(BYTES), share=50)
+    assert tokens.columns == [*docs.columns, "token_ids"]
+    assert all(r["decoded"] == (r["text"] or "") for r in lexicon.decode_documents(tokens, spec(BYTES)).collect())
+
+
 def test_bytes_that_are_no_character_decode_as_the_library_does():
     library, own = Library.from_file(BYTES), Tokenizer(spec(BYTES))
     rng = random.Random(3)

@@ -11,6 +11,7 @@ gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import mmap
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -210,13 +211,27 @@ def decode_documents(tokens: DataFrame, spec: str, ids: str = "token_ids", into:
 
 
 def round_trip_digests(docs: DataFrame, spec: str, share: int = LEXICON_SHARE) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the text that the ids decode to)."""
-    tokens = encode_documents(docs.select("doc_id", "text"), spec, share).select("doc_id", "token_ids")
-    out = decode_documents(tokens, spec)
-    return out.select(
-        "doc_id",
-        F.floor(F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the text that the ids decode to).
 
+    Encoding and decoding share a worker, so no second one stands beside it with the ids of a batch.
+    """
+    context = docs.sparkSession.sparkContext
+    shared, compiled = context.broadcast(spec), context.broadcast(compiled_lexicon(docs, spec, share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(shared.value)
+        encoder = Encoder(tokenizer, Transducer(compiled.value))
+        for batch in batches:
+            for part, ids, rows in encoded(encoder, batch.column(1)):
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                spans = list(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
+                columns = [
+                    batch.column(0).slice(part.lo, len(part)),
+                    pa.array(np.diff(rows)),
+                    pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string()),
+                    pa.array([hashlib.sha256(decode(tokenizer, ids[a:b])).hexdigest() for a, b in spans], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields]))
