@@ -118,7 +118,7 @@ def test_field_wrapping(spark):
 
 
 def test_numeric_coercion(spark):
-    for text, key in (("12", 12), ("12.9", 12), ("-3", -3), ("x", -1), (None, -1), ("inf", -1)):
+    for text, key in (("12", 12), ("12.9", 12), ("-3", -3), ("x", -1), (None, -1), ("inf", -1), ("12d", -1), ("1e3", 1000), ("9007199254740993", 9007199254740993)):
         assert value(spark, fields.numeric_or(F.lit(text), -1)) == key
 
 

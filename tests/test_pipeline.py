@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import random
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tunnelscope.config import PipelineConfig, SketchGeometry
 from tunnelscope.operators import classes, minquery, rolling, scoring, sketch, tunnels
+from tunnelscope.plans.medians import grouped_medians
 from tunnelscope.plans import detection
 from tunnelscope.plans import standin as S
 from tunnelscope.session import cut
@@ -153,7 +155,7 @@ def test_rolling_by_hand(spark):
     got = history.select(
         "window",
         F.get(rolling.roll_features(name, name), F.lit(0)).alias("r"),
-        F.get(rolling.ewmas(name, name), F.lit(0)).alias("e"),
+        F.get("_ewma", F.lit(0)).alias("e"),
     ).orderBy("window").collect()
     assert [g.r.roll5_med for g in got] == [0, 1, 2, 1.5, 2, 2]
     assert [g.r.slope5 for g in got] == pytest.approx([0, 2, 2, 0.5, 0.5, -0.5])
@@ -161,6 +163,24 @@ def test_rolling_by_hand(spark):
     assert [g.e for g in got][:5] == pytest.approx([0, 0.6, 1.62, 1.434, 1.9038])
 
 
+def test_averages_never_forget(spark):
+    rng = random.Random(6)
+    xs = [1e9, *[0.0] * 140, *[rng.choice([0.0, rng.random(), 1e6]) for _ in range(900)]]
+    df = cut(spark.createDataFrame([(1, 2 * w, x) for w, x in enumerate(xs)], "qfi int, window int, qfi_bw_total double"), "series")
+    got = rolling.with_history(df, PipelineConfig(block_rows=50, slice_windows=64), ["qfi_bw_total"], ["qfi"]).where("not _history")
+    averages = [r[0] for r in got.orderBy("window").select(F.get("_ewma", F.lit(0))).collect()]
+    want = [xs[0]]
+    for x in xs[1:]:
+        want.append(0.3 * x + 0.7 * want[-1])
+    assert averages == pytest.approx(want, rel=1e-12)
+    assert averages[130] > 0
+
+
+def test_medians_leave_nulls_out(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 9.0, None, float("nan"))] + [("b", None)], "k string, v double")
+    assert {r.k: r.v for r in grouped_medians(df, ["k"], ["v"]).collect()} == {"a": 2.0}
+
+
 def test_expression_and_batch_scores_agree(class_table):
     df = rolling.engineer(class_table, S.CONFIG)
     a = scoring.score_by_expression(df, S.FEAT_COLS + ["absent"], S.MODEL)

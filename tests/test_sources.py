@@ -188,6 +188,29 @@ def test_counter_rates_are_cut_not_rounded(spark):
     df = spark.createDataFrame([("a", 1, 0, 0), ("a", 2, 249_999, 3), ("a", 3, 0, 1)], "iface string, n int, bytes bigint, packets bigint").withColumn("interval_s", F.lit(1))
     got = counter_rates(df, ["iface"], ["n"], F.col("n")).orderBy("n").collect()
     assert [(r.mbps, r.gbps, r.pkts) for r in got] == [(1.99, 0.001, 3), (-1.99, -0.001, -2)]
+    df = spark.createDataFrame([("a", 1, 0, 0), ("a", 2, 36_250, 3)], "iface string, n int, bytes bigint, packets bigint").withColumn("interval_s", F.lit(1))
+    assert counter_rates(df, ["iface"], ["n"], F.col("n")).head().mbps == 0.29
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string"])
+def test_snapshots_of_any_type(spark, tmp_path, kind):
+    rows = [(0, 1, 2, 9, 3), (0, 1, 2, 4, 8), (0, 0, 5, 7, None)]
+    df = spark.createDataFrame(rows, "qid bigint, row bigint, bucket bigint, lat0 bigint, pkt_cnt bigint")
+    for n in (7, 3, 12):
+        df.select(*[F.col(c).cast(kind).alias(c) for c in df.columns]).coalesce(1).write.parquet(str(tmp_path / f"window_{n}.parquet"))
+    read = windows.read_first_windows(spark, str(tmp_path), 2, SketchGeometry(2, 8, 1, 1))
+    assert {r.window for r in read.select("window").collect()} == {3, 7}
+    assert len(read.inputFiles()) == 2
+    last = windows.last_copy(read, "position").where("window = 3").collect()
+    assert {(r.qid, r.row, r.bucket, r.lat0, r.pkt_cnt) for r in last} == {(0, 1, 2, 4, 8), (0, 0, 5, 7, 0)}
+
+
+def test_pandas_snapshot(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"qid": [1], "row": [0], "bucket": [3], "lat0": [5.0], "pkt_cnt": ["12d"]}).to_parquet(tmp_path / "window_4.parquet")
+    (row,) = windows.read_sketch(spark, str(tmp_path), SketchGeometry(1, 8, 1, 1)).collect()
+    assert (row.window, row.qid, row.bucket, row.lat0, row.pkt_cnt) == (4, 1, 3, 5, 0)
 
 
 def test_small_side_checks_the_size(spark):

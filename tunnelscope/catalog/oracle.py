@@ -301,6 +301,9 @@ SELECT "window", qfi, CAST(sum(packet_length) AS DOUBLE) AS x,
 FROM packets GROUP BY "window", qfi"""
 
 
+WHOLE = '(PARTITION BY qfi ORDER BY "window" ROWS UNBOUNDED PRECEDING)'
+
+
 def frame(rows: int) -> str:
     return f'(PARTITION BY qfi ORDER BY "window" ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)'
 
@@ -324,7 +327,7 @@ def rolls(x: str) -> dict[str, str]:
         "roll5_max": f"max({x}) OVER {frame(5)}",
         "roll5_std": f"stddev_pop({x}) OVER {frame(5)}",
         "delta": f'{x} - coalesce(lag({x}) OVER (PARTITION BY qfi ORDER BY "window"), {x})',
-        "ewma": f"list_reduce(list({x}) OVER {frame(128)}, lambda a, v: 3e-1 * v + 7e-1 * a)",
+        "ewma": f"list_reduce(list({x}) OVER {WHOLE}, lambda a, v: 3e-1 * v + 7e-1 * a)",
         "slope5": f"CASE WHEN {n} < 2 THEN 0 ELSE regr_slope({x}, rn) OVER {frame(5)} END",
     }
 
@@ -498,25 +501,29 @@ SELECT packet_id, CASE WHEN qfi <> 5 THEN (CASE WHEN qfi = 3 THEN 6 ELSE 17 END)
   CASE WHEN qfi = 1 THEN 1 ELSE 0 END::BIGINT AS qfi FROM packets"""
     q["injection_log_parse"] = """
 SELECT source, CASE WHEN event_type = 'purchase' THEN 'teid_impersonation' ELSE 'start' END AS event, episode_id,
-  t0 AS ts_ns, CAST(CASE WHEN event_type <> 'purchase' THEN q END AS INTEGER) AS qfi,
+  t0 AS ts_ns, CAST(CASE WHEN event_type <> 'purchase' AND event_id % 11 <> 0 THEN q END AS INTEGER) AS qfi,
   CASE WHEN event_type <> 'purchase' THEN '0x' || a || ',0x' || b END AS teids,
   CASE WHEN event_type = 'purchase' THEN '0x' || a || ',0x' || b END AS victims FROM runs
 UNION ALL
 SELECT source, CASE WHEN event_type = 'purchase' THEN 'teid_impersonation_end' ELSE 'stop' END, episode_id,
   t0 + user_id * 1000000, NULL, NULL, NULL FROM runs WHERE event_type <> 'view'"""
-    # parse_log keeps source, block, duration_s, rc; a view run has no stop; user 0 stops at its start.
-    end = (
-        "t0 + CASE WHEN event_type = 'view' OR user_id = 0 THEN (user_id % 5 + 20) * 1000000000 "
-        "ELSE user_id * 1000000 END + 5000000 AS end_ns"
-    )
-    q["episode_labels"] = f"""
-SELECT 'congestion' AS anomaly_type, episode_id, t0 + 5000000 AS start_ns, {end}, CAST(q AS VARCHAR) AS qfis,
-  '0x' || a || ',0x' || b AS teids
-FROM runs WHERE event_type <> 'purchase' AND NOT (event_type = 'signup' AND event_id % 2 = 1)"""
+    # A view run has no stop and gets its planned duration; user 0 stops at its start, which an impersonation run may not.
+    # Every eleventh run names no class and has the one asked for.
+    planned, stopped = "(user_id % 5 + 20) * 1000000000", "user_id * 1000000"
+    asked = "event_id % 11 = 0"
+    burst = f"""t0 + 5000000 AS start_ns, t0 + CASE WHEN event_type = 'view' THEN {planned} ELSE {stopped} END + 5000000 AS end_ns,
+  CAST(CASE WHEN {asked} THEN user_id % 3 + 1 ELSE q END AS VARCHAR) AS qfis, '0x' || a || ',0x' || b AS teids,
+  '{{"duration_s":' || (user_id % 5 + 20) || '}}' AS params
+FROM runs WHERE event_type <> 'purchase'"""
+    q["episode_labels"] = f"SELECT 'congestion' AS anomaly_type, episode_id, {burst}"
+    q["episode_labels_burst"] = f"SELECT 'microburst' AS anomaly_type, source, {burst}"
     q["episode_labels_abuse"] = f"""
-SELECT 'policy_abuse' AS anomaly_type, source, t0 + 5000000 AS start_ns, {end},
-  CASE WHEN q = 5 THEN '5' WHEN q < 5 THEN q || ',5' ELSE '5,' || q END AS qfis,
-  '0x' || a || ',0x' || b AS teids
+SELECT 'policy_abuse' AS anomaly_type, source, t0 + 5000000 AS start_ns,
+  t0 + CASE WHEN user_id = 0 THEN {planned} ELSE {stopped} END + 5000000 AS end_ns,
+  CASE WHEN {asked} THEN CAST(user_id % 3 + 1 AS VARCHAR) WHEN q = 5 THEN '5' WHEN q < 5 THEN q || ',5' ELSE '5,' || q END AS qfis,
+  '0x' || a || ',0x' || b AS teids,
+  '{{"duration_s":' || (user_id % 5 + 20) || ',"victims":[{{"teid":"0x' || a || '",' || CASE WHEN {asked} THEN '' ELSE '"victim_qfi":5,' END
+    || '"fake_qfi":4}},{{"teid":"0x' || b || '",' || CASE WHEN {asked} THEN '' ELSE '"victim_qfi":' || q || ',' END || '"fake_qfi":6}}]}}' AS params
 FROM runs WHERE event_type = 'purchase'"""
     q["register_nonzero_topk"] = """
 SELECT CAST(bucket + qid * 16 AS INTEGER) AS "index",
@@ -524,8 +531,9 @@ SELECT CAST(bucket + qid * 16 AS INTEGER) AS "index",
   CAST(sum(green_cnt + yellow_cnt) AS BIGINT) AS total
 FROM cells WHERE "row" = 0 GROUP BY 1 ORDER BY total DESC, "index" LIMIT 20"""
     q["clean_values"] = """
-SELECT event_id, CASE WHEN event_type IN ('click', 'error', 'view') THEN -1 ELSE CAST(trunc(value) AS BIGINT) END AS key,
-  CASE WHEN event_type IN ('click', 'error', 'view') THEN 0 ELSE value END AS feature FROM events"""
+SELECT event_id, CASE WHEN bad THEN -1 WHEN event_id % 10 = 4 THEN 9007199254740993 + event_id ELSE CAST(trunc(value) AS BIGINT) END AS key,
+  CASE WHEN bad THEN 0 WHEN event_id % 10 = 4 THEN CAST(9007199254740993 + event_id AS DOUBLE) ELSE value END AS feature
+FROM (SELECT *, event_type IN ('click', 'error', 'view') OR event_id % 10 = 3 AS bad FROM events)"""
     q["postcard_qdepth_filter"] = (
         "SELECT packet_id, queue_depth, packet_length FROM cards WHERE queue_depth > 0"
     )
@@ -566,9 +574,9 @@ FROM (SELECT *, ((teid << 4) & 65535) | (qfi & 15) AS flow_idx FROM packets)"""
 SELECT packet_id % 16 AS dev_port, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes
 FROM packets GROUP BY 1"""
     q["counter_rates"] = """
-SELECT iface, "window", trunc(d * 8e0 / 2 / 1e6 * 100) / 100 AS mbps, trunc(d * 8e0 / 2 / 1e9 * 1000) / 1000 AS gbps, pkts
-FROM (SELECT qfi AS iface, "window", CAST(sum(packet_length) * 1000000 AS BIGINT)
-    - lag(CAST(sum(packet_length) * 1000000 AS BIGINT)) OVER w AS d, count(*) - lag(count(*)) OVER w AS pkts
+SELECT iface, "window", sign(d) * (abs(d) * 800 // 1000000) / 100e0 AS mbps, sign(d) * (abs(d) * 8000 // 1000000000) / 1000e0 AS gbps, pkts
+FROM (SELECT qfi AS iface, "window", CAST(sum(packet_length) AS BIGINT)
+    - lag(CAST(sum(packet_length) AS BIGINT)) OVER w AS d, count(*) - lag(count(*)) OVER w AS pkts
   FROM packets GROUP BY qfi, "window" WINDOW w AS (PARTITION BY qfi ORDER BY "window"))
 WHERE d IS NOT NULL"""
     cell = '"window", qid, "row", bucket'

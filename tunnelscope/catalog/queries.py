@@ -135,7 +135,7 @@ def scan_sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = sketch.build(S.packets(spark, sf_dir), S.BINS, GEOMETRY, S.SLICE_US)
     folder = scratch_path(spark, "cms")
     windows.write_sketch(built, folder)
-    return windows.read_sketch(spark, folder, GEOMETRY)
+    return windows.read_sketch(spark, folder, GEOMETRY).drop("position")
 
 
 @query
@@ -276,7 +276,10 @@ def _injection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.concat(
         F.lit('{"event":"'), F.when(is_abuse, "teid_impersonation").otherwise("start"),
         F.lit('","episode_id":"ep'), n, F.lit('","ts_ns":'), start_ns,
-        F.when(is_abuse, abuse).otherwise(actors),
+        # Every eleventh log names no class: the one asked for counts.
+        F.when(n % 11 == 0, F.regexp_replace(F.when(is_abuse, abuse).otherwise(actors), r'"(?:victim_)?qfi":\d+,', "")).otherwise(
+            F.when(is_abuse, abuse).otherwise(actors)
+        ),
     )
     stop = F.concat(
         F.lit('  {"event":"'), F.when(is_abuse, "teid_impersonation_end").otherwise("stop"),
@@ -291,6 +294,7 @@ def _injection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("run_"), n, F.lit(".log")).alias("source"),
         F.lit(0).alias("block"),
         (F.col("user_id") % 5 + 20).alias("duration_s"),
+        (F.col("user_id") % 3 + 1).alias("requested_qfi"),
         F.when(F.col("event_type") == "signup", n % 2).otherwise(0).alias("rc"),
         F.posexplode(F.array_compact(lines)).alias("line_no", "value"),
     )
@@ -314,7 +318,7 @@ def _labels(kind: str, events: list[str], episode: str) -> Query:
     def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = injections.parse_log(_injection_lines(spark, sf_dir))
         labelled = injections.label_episodes(
-            log.where(F.col("event").isin(events)), kind, [episode], offset_ms=5
+            log.where(F.col("event").isin(events)), kind, [episode], offset_ms=5, params=["duration_s"]
         )
         return labelled.select(
             "anomaly_type",
@@ -323,12 +327,14 @@ def _labels(kind: str, events: list[str], episode: str) -> Query:
             "end_ns",
             F.array_join("qfis", ",").alias("qfis"),
             F.array_join("teids", ",").alias("teids"),
+            "params",
         )
 
     return labels
 
 
 REGISTRY["episode_labels"] = _labels("congestion", ["start", "stop"], "episode_id")
+REGISTRY["episode_labels_burst"] = _labels("microburst", ["start", "stop"], "source")
 REGISTRY["episode_labels_abuse"] = _labels(
     "policy_abuse", ["teid_impersonation", "teid_impersonation_end"], "source"
 )
@@ -363,12 +369,14 @@ def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "click", F.lit("n/a"))
         .when(F.col("event_type") == "error", F.lit("NaN"))
         .when(F.col("event_type") == "view", F.lit("Infinity"))
+        .when(F.col("event_id") % 10 == 3, F.concat(F.col("event_id"), F.lit("d")))
+        .when(F.col("event_id") % 10 == 4, (F.lit(9_007_199_254_740_993) + F.col("event_id")).cast("string"))
         .otherwise(F.col("value").cast("string"))
     )
     return S.read(spark, sf_dir, "events").select(
         "event_id",
         fields.numeric_or(odd, -1).alias("key"),
-        fields.finite_or_zero(odd).alias("feature"),
+        fields.finite_or_zero(fields.text_number(odd)).alias("feature"),
     )
 
 
@@ -516,9 +524,9 @@ def port_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_window = S.packets(spark, sf_dir).groupBy(F.col("qfi").alias("iface"), "window").agg(
-        (F.sum("packet_length") * 1_000_000).alias("bytes"), F.count(F.lit(1)).alias("packets")
+        F.sum("packet_length").alias("bytes"), F.count(F.lit(1)).alias("packets")
     )
-    samples = cut(per_window.withColumn("interval_s", F.lit(2)), "samples")
+    samples = cut(per_window.withColumn("interval_s", F.lit(1)), "samples")
     rated = rates.counter_rates(samples, ["iface"], ["window"], F.floor(F.col("window") / 32))
     return rated.select("iface", "window", "mbps", "gbps", "pkts")
 
@@ -736,7 +744,7 @@ REGISTRY["slope5"] = _rolled("slope5")
 
 @query
 def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    average = F.get(rolling.ewmas([_NAME], [_NAME]), F.lit(0))
+    average = F.get("_ewma", F.lit(0))
     return rounded(series_history(spark, sf_dir).select("window", "qfi", average.alias("ewma")), 6)
 
 

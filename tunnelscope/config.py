@@ -30,8 +30,11 @@ NON_TUNNEL_QUEUE = 4
 REQUEUE_QUEUE = 7
 QFI_TO_QUEUE = {1: 0, 2: 5, 3: 2, 4: 4, 5: 1, 6: 6, 7: 3, 8: 7, 9: 7}
 
-# 0.7**127 is about 2e-20, so rows further back cannot change a double.
-EWMA_ROWS = 128
+# Rows summed at once for the exponential average, and how many such units can count: 0.7**(40 * 128) times the largest
+# double is less than half of the smallest, so what lies further back adds exactly 0.
+EWMA_UNIT = 128
+EWMA_UNITS = 40
+EWMA_ROWS = EWMA_UNIT * EWMA_UNITS
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK16 = 0xFFFF
 MASK32 = 0xFFFFFFFF
@@ -109,11 +110,37 @@ def parse_qfi_map(text: Column) -> Column:
     return F.aggregate(F.transform(pairs, entry), empty, put)
 
 
-def numeric_or(value: Column, default: int) -> Column:
-    """Whole part of a number given in any form, ``default`` if it is none."""
-    number = value.cast("string").try_cast("double")
-    bad = number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
-    return F.when(bad, F.lit(default)).otherwise(number).cast("bigint")
+WHOLE_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def text_number(text: Column) -> Column:
+    """Number in a text, null if it is none; a type letter as in ``12d`` makes it none."""
+    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+
+
+def numeric_or(text: Column, default: int) -> Column:
+    """Whole part of a number in a text, ``default`` if it is none. Whole numbers keep all their digits."""
+    whole = F.when(text.rlike(WHOLE_TEXT), F.trim(text).try_cast("bigint"))
+    number = text_number(text)
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number).cast("bigint")
+    return F.coalesce(whole, finite, F.lit(default).cast("bigint"))
+
+
+def whole_or(df: DataFrame, column: str, default: int) -> Column:
+    """Whole part of a column of any type, ``default`` for null, NaN, infinite and non-numeric values.
+
+    A whole-number column is only checked for null: its values are not converted through another type.
+    """
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(value, F.lit(default)).cast("bigint")
+    if isinstance(kind, T.StringType):
+        return numeric_or(value, default)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        finite = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+        return F.coalesce(finite.cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(value.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def finite_or_zero(value: Column) -> Column:

@@ -87,7 +87,7 @@ def aggregate_classes(features: DataFrame, decimals: int | None = 12) -> DataFra
     second = runner_up(valid, CLASS, "feat_bw_mbps", "teid", "_second")
     out = out.join(second, CLASS, "left")
     if median_columns:
-        out = out.join(grouped_medians(valid, CLASS, median_columns), CLASS)
+        out = out.join(grouped_medians(valid, CLASS, median_columns), CLASS, "left")
     top2 = _zero_unless(F.col("qfi_bw_total"), F.col("_second") / F.col("qfi_bw_total"))
     out = out.withColumn("qfi_teid_top2_share", top2)
     names = [c for c in features.columns if c.startswith("feat_")] + CLASS_COLUMNS

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SketchGeometry
-from ..functions.fields import numeric_or
+from ..functions.fields import whole_or
 from ..functions.hashing import cms_bucket, valid_flow_key
 
 FLOW_KEY = ["window", "teid", "qfi", "qid"]
@@ -17,13 +17,14 @@ def clean_sketch(sketch: DataFrame, geometry: SketchGeometry) -> DataFrame:
     missing = [c for c in ("window", "qid", "row", "bucket") if c not in sketch.columns]
     if missing:
         raise ValueError(f"sketch table lacks key columns {missing}")
-    keys = [numeric_or(F.col(c), -1).cast("int").alias(c) for c in ("qid", "row", "bucket")]
+    keys = [whole_or(sketch, c, -1).cast("int").alias(c) for c in ("qid", "row", "bucket")]
     zero = F.lit(0).cast("bigint")
     measures = [
-        (numeric_or(F.col(m), 0) if m in sketch.columns else zero).alias(m)
+        (whole_or(sketch, m, 0) if m in sketch.columns else zero).alias(m)
         for m in geometry.measures
     ]
-    return sketch.select(F.col("window").cast("int").alias("window"), *keys, *measures)
+    place = ["position"] if "position" in sketch.columns else []
+    return sketch.select(F.col("window").cast("int").alias("window"), *keys, *measures, *place)
 
 
 def clean_flow_keys(keys: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def clean_flow_keys(keys: DataFrame) -> DataFrame:
         raise ValueError(f"flow-key table lacks columns {missing}")
     typed = keys.select(
         F.col("window").cast("int").alias("window"),
-        numeric_or(F.col("teid"), -1).alias("teid"),
-        numeric_or(F.col("qfi"), -1).cast("int").alias("qfi"),
-        numeric_or(F.col("qid"), -1).cast("int").alias("qid"),
+        whole_or(keys, "teid", -1).alias("teid"),
+        whole_or(keys, "qfi", -1).cast("int").alias("qfi"),
+        whole_or(keys, "qid", -1).cast("int").alias("qid"),
     )
     return typed.withColumn("valid", valid_flow_key(F.col("teid"), F.col("qfi")))
 

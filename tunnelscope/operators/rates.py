@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.slices import previous_value
 
 
-def _truncated(value: Column, decimals: int) -> Column:
-    scale = 10**decimals
-    whole = F.when(value < 0, F.ceil(value * scale)).otherwise(F.floor(value * scale))
-    return whole.cast("double") / scale
+def _bits_per_second(unit: int, decimals: int) -> Column:
+    """Bits in ``_bytes`` over ``interval_s``, in ``unit``, cut to ``decimals``. Whole-number division, so no digit is lost."""
+    scaled = f"CAST(_bytes AS DECIMAL(20, 0)) * {8 * 10**decimals}"
+    return F.expr(f"CAST({scaled} div (CAST(interval_s AS DECIMAL(12, 3)) * {unit}) AS DOUBLE)") / 10**decimals
 
 
 def counter_rates(samples: DataFrame, keys: list[str], order: list[str], slice_by: Column) -> DataFrame:
@@ -22,18 +22,17 @@ def counter_rates(samples: DataFrame, keys: list[str], order: list[str], slice_b
     """
     both = samples.withColumn("_now", F.struct("bytes", "packets"))
     linked = previous_value(both, keys, order, slice_by, "_now", "_before")
-    d_bytes = F.col("bytes") - F.col("_before.bytes")
-    bits = d_bytes * 8 / F.col("interval_s")
     return (
         linked.where(F.col("_before").isNotNull())
+        .withColumn("_bytes", F.col("bytes") - F.col("_before.bytes"))
         .withColumns(
             {
-                "mbps": _truncated(bits / 1_000_000, 2),
-                "gbps": _truncated(bits / 1_000_000_000, 3),
+                "mbps": _bits_per_second(1_000_000, 2),
+                "gbps": _bits_per_second(1_000_000_000, 3),
                 "pkts": F.col("packets") - F.col("_before.packets"),
             }
         )
-        .drop("_now", "_before")
+        .drop("_now", "_before", "_bytes")
     )
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    EWMA_ROWS,
+    EWMA_ALPHA,
+    EWMA_UNIT,
+    EWMA_UNITS,
     RUN_CAP,
     RUN_THRESHOLD,
     Z_LONG_ROWS,
@@ -16,7 +18,7 @@ from ..config import (
     PipelineConfig,
 )
 from ..functions import series
-from ..plans.slices import history_blocks
+from ..plans.slices import history_blocks, running_total
 
 # The inputs of the model.
 ROLL_KEYS = [
@@ -37,29 +39,47 @@ def base_columns(df: DataFrame) -> list[str]:
 def with_history(
     classes: DataFrame, config: PipelineConfig, base: list[str], keys: list[str]
 ) -> DataFrame:
-    """Add ``_recent`` and ``_long``, the last rows of each row.
+    """Add ``_recent``, the last rows of each row, and ``_ewma``, the exponential averages of the rolled columns.
 
-    Each is an array of rows, a row being the array of the ``base`` columns (``_long``: of the
-    rolled ones among them). Two frames over one sort replace a window function per feature, and a
-    feature is one expression over short arrays, however many columns it is computed for. A
-    class's series is cut into blocks that carry their history.
+    ``_recent`` is an array of rows, a row being the array of the ``base`` columns. One frame
+    replaces a window function per feature, and a feature is one expression over short arrays, however many
+    columns it is computed for. A class's series is cut into blocks that carry their history.
     """
-    blocks = history_blocks(
-        classes,
-        keys,
-        "window",
-        F.floor(F.col("window") / config.slice_windows),
-        config.block_rows,
-        EWMA_ROWS - 1,
-    )
+    slices = F.floor(F.col("window") / config.slice_windows)
+    averaged = with_averages(classes, keys, [c for c in ROLL_KEYS if c in base], slices)
+    blocks = history_blocks(averaged, keys, "window", slices, config.block_rows, Z_LONG_ROWS + RUN_CAP, "_rn")
     order = Window.partitionBy(*keys, "_block").orderBy("window")
-    rolled = [c for c in ROLL_KEYS if c in base]
-    return blocks.withColumns(
-        {
-            "_recent": F.collect_list(F.array(*base)).over(order.rowsBetween(1 - Z_LONG_ROWS, 0)),
-            "_long": F.collect_list(F.array(*rolled)).over(order.rowsBetween(1 - EWMA_ROWS, 0)),
-        }
+    frame = order.rowsBetween(1 - Z_LONG_ROWS, 0)
+    return blocks.withColumn("_recent", F.collect_list(F.array(*base)).over(frame))
+
+
+def with_averages(classes: DataFrame, keys: list[str], names: list[str], slices: Column) -> DataFrame:
+    """Add ``_ewma``, the exponential average of each of ``names`` over the whole series so far, as an array, and ``_rn``, the row's place.
+
+    A step of the average is a linear map, so a unit of rows is one too: within a unit the average is a weighted running
+    sum, and the units before it hand on one number per column. The first row of a series starts at its value.
+    """
+    keep = 1 - EWMA_ALPHA
+    ranked = running_total(classes, keys, ["window"], slices, F.lit(1), "_rn")
+    place = (F.col("_rn") - 1) % EWMA_UNIT
+    ranked = ranked.withColumns({"_unit": F.floor((F.col("_rn") - 1) / EWMA_UNIT), "_place": place})
+    weight = F.when(F.col("_rn") == 1, F.lit(1.0)).otherwise(EWMA_ALPHA) * F.pow(F.lit(keep), -F.col("_place"))
+    weighted = {f"_w{i}": weight * F.col(c) for i, c in enumerate(names)}
+    sums = ranked.groupBy(*keys, "_unit").agg(
+        F.array(*[F.sum(w) * keep ** (EWMA_UNIT - 1) for w in weighted.values()]).alias("_sums")
     )
+    earlier = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(-EWMA_UNITS, -1)
+    units = sums.select(*keys, "_unit", F.collect_list("_sums").over(earlier).alias("_units"))
+    inside = Window.partitionBy(*keys, "_unit").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+
+    def average(i: int) -> Column:
+        carried = F.expr(f"aggregate(_units, 0D, (acc, u) -> acc * {keep**EWMA_UNIT!r}D + u[{i}])")
+        own = F.sum(f"_w{i}").over(inside) * F.pow(F.lit(keep), F.col("_place"))
+        return own + carried * F.pow(F.lit(keep), F.col("_place") + 1)
+
+    out = ranked.withColumns(weighted).join(units, [*keys, "_unit"])
+    averages = F.array(*[average(i) for i in range(len(names))]).cast("array<double>")
+    return out.withColumn("_ewma", averages).drop("_unit", "_place", "_units", *weighted)
 
 
 def _per_column(names: list[str], columns: list[str], feature: Callable[[str], str]) -> Column:
@@ -103,12 +123,6 @@ def roll_features(names: list[str], base: list[str]) -> Column:
     return _per_column(names, base, lambda p: series.bind(_past("_recent", p), all_features))
 
 
-def ewmas(names: list[str], base: list[str]) -> Column:
-    """Exponential average per column."""
-    rolled = [c for c in ROLL_KEYS if c in base]
-    return _per_column(names, rolled, lambda p: series.ewma(_past("_long", p)))
-
-
 def high_runs(history: DataFrame, z: dict[str, str], keys: list[str]) -> DataFrame:
     """Add, per name, the length of the run of rows up to this one whose z-score is high; capped."""
     frame = (
@@ -137,7 +151,6 @@ def engineer(
         {
             "_zs": z_scores(Z_KEYS, base, Z_SHORT_ROWS),
             "_roll": roll_features(ROLL_KEYS, base),
-            "_ewma": ewmas(ROLL_KEYS, base),
         }
     )
     out = {f"rz_{n}": f"get(_z, {i})" for i, n in enumerate(base)}

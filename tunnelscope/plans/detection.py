@@ -13,13 +13,19 @@ from ..operators.scoring import decide, score
 from ..operators.tunnels import tunnel_features, tunnel_windows
 from ..schemas import EVENT_SCHEMA
 from ..session import cut
-from ..sources.windows import paired
+from ..sources.windows import last_copy, paired
 
 
 def tunnel_table(
     sketch: DataFrame, keys: DataFrame, edges: BinEdges, config: PipelineConfig
 ) -> DataFrame:
-    """Tunnel statistics per window, written once because the features read them several times."""
+    """Tunnel statistics per window, written once because the features read them several times.
+
+    A sketch read from files has the place of each row: of cells that a snapshot holds twice the last counts. The rows
+    are grouped by the cell, as the join that follows needs them.
+    """
+    if "position" in sketch.columns:
+        sketch = last_copy(sketch, "position")
     flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
     return cut(tunnel_windows(flows, edges, config), "tunnels")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A group of up to this many rows is ranked whole; a larger one only around its middle.
 WHOLE_GROUP_ROWS = 10_000
-# Half width of the bracket around the middle, far wider than the rank error 1 / ACCURACY.
+# Half width of the bracket around the middle: four times the sketch's greatest rank error, 1 / ACCURACY.
 BRACKET = 0.002
 ACCURACY = 2_000
 
@@ -18,9 +18,12 @@ def grouped_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     A mergeable quantile sketch first brackets the middle of each group. All values under the
     bracket then count as one value, those above are not needed, and equal values are counted
     before the shuffle. What is left to sort per group is a thin slice around its middle. The bracket
-    cannot miss: it is ten times wider than the sketch's rank error, and small groups have none.
+    cannot miss: it is four times wider than the sketch's greatest rank error, and small groups have none.
+    Should it miss, the query fails. Nulls and NaN are left out; a group without values has a null median.
     """
-    long = df.select(*keys, F.posexplode(F.array(*columns)).alias("_measure", "_v"))
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    every = df.select(*keys, F.posexplode(values).alias("_measure", "_v"))
+    long = every.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     group = [*keys, "_measure"]
     bounds = long.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -37,7 +40,7 @@ def grouped_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     counted = (
         long.join(bounds, group)
         .where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*group, "_n", under.alias("_v"))
+        .groupBy(*group, "_n", "_lo", under.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = F.sum("_c").over(
@@ -50,7 +53,10 @@ def grouped_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
         covers = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
         return F.max(F.when(covers, F.col("_v")))
 
-    middle = ranked.groupBy(*group).agg(((value_at(low) + value_at(high)) / 2).alias("_median"))
+    middle = ranked.groupBy(*group).agg(((value_at(low) + value_at(high)) / 2).alias("_median"), F.max("_lo").alias("_lo"))
+    missed = F.col("_median").isNull() | ((F.col("_median") == float("-inf")) & (F.col("_lo") > float("-inf")))
+    problem = F.raise_error(F.lit("the quantile sketch missed the middle of a group")).cast("double")
+    middle = middle.withColumn("_median", F.when(missed, problem).otherwise(F.col("_median")))
     picks = [
         F.max(F.when(F.col("_measure") == i, F.col("_median"))).alias(c)
         for i, c in enumerate(columns)

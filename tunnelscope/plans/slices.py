@@ -90,16 +90,26 @@ def latest_value(
 
 
 def history_blocks(
-    df: DataFrame, keys: list[str], order: str, slice_by: Column, block_rows: int, history: int
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    slice_by: Column,
+    block_rows: int,
+    history: int,
+    rank: str | None = None,
 ) -> DataFrame:
     """Cut each key's series into blocks that carry their own history.
 
     Adds ``_block`` and ``_history``. Every row is in the block it belongs to, and again, marked
     ``_history``, in each later block whose first row has it among its last ``history`` rows. A
     frame of up to ``history`` preceding rows over (keys, ``_block``) therefore sees the same rows
-    as one over the whole key; drop the ``_history`` rows afterwards.
+    as one over the whole key; drop the ``_history`` rows afterwards. ``rank`` names a column with the place
+    of a row in its series, from 1, if there is one already; it goes.
     """
-    ranked = running_total(df, keys, [order], slice_by, F.lit(1), "_rn")
+    if rank:
+        ranked = df.withColumnRenamed(rank, "_rn")
+    else:
+        ranked = running_total(df, keys, [order], slice_by, F.lit(1), "_rn")
     own = F.floor((F.col("_rn") - 1) / block_rows)
     last = F.floor((F.col("_rn") - 1 + history) / block_rows)
     return (

@@ -6,8 +6,8 @@ from .config import COUNTERS, SketchGeometry
 
 
 def sketch_schema(geometry: SketchGeometry) -> T.StructType:
-    """Columns inside one sketch-window parquet file (the window number is in its name)."""
-    keys = [T.StructField(c, T.IntegerType()) for c in ("qid", "row", "bucket")]
+    """Usual columns inside one sketch-window parquet file (the window number is in its name)."""
+    keys = [T.StructField(c, T.LongType()) for c in ("qid", "row", "bucket")]
     bins = geometry.lat_columns + geometry.iat_columns
     return T.StructType(keys + [T.StructField(c, T.LongType()) for c in bins + COUNTERS])
 

@@ -39,15 +39,19 @@ def _last(value: Column, when: Column) -> Column:
 
 
 def label_episodes(
-    log: DataFrame, anomaly_type: str, episode: list[str], offset_ms: int = 0
+    log: DataFrame, anomaly_type: str, episode: list[str], offset_ms: int = 0, params: list[str] | None = None
 ) -> DataFrame:
     """One label per injected episode: its interval, classes and tunnels.
 
     ``episode`` names the columns that identify one injector run (its episode id, or the source
     file where the log has none). The last start and the last stop of a run count. A missing
-    stop, or one that is not later, becomes start + ``duration_s`` if the log has that column. Runs
-    without a start, and impersonation runs without tunnels or with a failed exit code ``rc``, have
-    no label.
+    stop becomes start + ``duration_s`` if the log has that column. A run whose log names no class has the one
+    asked for, ``requested_qfi``, if the log has that column. Runs without a start have no label.
+
+    Rules of impersonation runs (``policy_abuse``) alone: without tunnels or with an exit code ``rc`` other than 0 they
+    have no label, and a stop that is not later than the start counts as missing.
+
+    ``params`` names columns of the log (one value per run) that go, with the victims, into a JSON column ``params``.
     """
     is_start = F.col("event").isin(START_EVENTS)
     is_stop = F.col("event").isin(STOP_EVENTS)
@@ -60,24 +64,29 @@ def label_episodes(
     qfis = F.when(F.col("actors.qfi").isNotNull(), F.array("actors.qfi")).otherwise(
         F.array_sort(F.array_distinct(victim_classes))
     )
-    extras = {c: F.max(c).alias(f"_{c}") for c in ("duration_s", "rc") if c in log.columns}
+    impersonation = anomaly_type == "policy_abuse"
+    known = [c for c in ("duration_s", "rc", "requested_qfi") if c in log.columns]
+    extras = {c: F.max(c).alias(f"_{c}") for c in dict.fromkeys([*known, *(params or [])])}
     runs = log.groupBy(*episode).agg(
-        _last(F.col("ts_ns"), is_start).alias("_start"),
+        _last(F.struct("ts_ns", teids.alias("teids"), qfis.alias("qfis"), "victims"), is_start).alias("_first"),
         _last(F.col("ts_ns"), is_stop).alias("_stop"),
-        _last(teids, is_start).alias("teids"),
-        _last(qfis, is_start).alias("qfis"),
         *extras.values(),
     )
+    runs = runs.select("*", F.col("_first.ts_ns").alias("_start"), "_first.teids", "_first.qfis", "_first.victims")
+    if "requested_qfi" in extras:
+        named = F.size(F.coalesce("qfis", F.array())) > 0
+        runs = runs.withColumn("qfis", F.when(named, F.col("qfis")).otherwise(F.array(F.col("_requested_qfi").cast("int"))))
     stop = F.col("_stop")
     if "duration_s" in extras:
-        late = F.coalesce(F.col("_stop") > F.col("_start"), F.lit(False))
+        there = stop > F.col("_start") if impersonation else stop.isNotNull()
         planned = F.col("_start") + F.col("_duration_s").cast("bigint") * 1_000_000_000
-        stop = F.when(late, stop).otherwise(planned)
+        stop = F.when(F.coalesce(there, F.lit(False)), stop).otherwise(planned)
     kept = runs.where(F.col("_start").isNotNull())
-    if anomaly_type == "policy_abuse":
+    if impersonation:
         kept = kept.where(F.size(F.coalesce("teids", F.array())) > 0)
-    if "rc" in extras:
-        kept = kept.where(F.coalesce("_rc", F.lit(0)) == 0)
+        if "rc" in extras:
+            kept = kept.where(F.coalesce("_rc", F.lit(0)) == 0)
+    own = [F.to_json(F.struct(*[F.col(f"_{c}").alias(c) for c in params], "victims")).alias("params")] if params else []
     offset = F.lit(offset_ms * 1_000_000).cast("bigint")
     return kept.select(
         F.lit(anomaly_type).alias("anomaly_type"),
@@ -86,4 +95,16 @@ def label_episodes(
         (stop + offset).alias("end_ns"),
         "qfis",
         "teids",
+        *own,
     )
+
+
+def write_labels(labels: DataFrame, folder: str) -> None:
+    """Labels as Parquet, lists kept."""
+    labels.write.parquet(folder)
+
+
+def write_labels_csv(labels: DataFrame, folder: str) -> None:
+    """Labels as CSV, lists as JSON text."""
+    lists = {c: F.to_json(c) for c in ("qfis", "teids")}
+    labels.withColumns(lists).write.option("header", True).option("escape", '"').csv(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SketchGeometry
 from ..functions.fields import window_number
 from ..operators.minquery import clean_flow_keys, clean_sketch
-from ..schemas import EVENT_SCHEMA, FLOW_KEY_SCHEMA, sketch_schema
+from ..schemas import EVENT_SCHEMA, FLOW_KEY_SCHEMA
 
 # Spark hides the name of a file it reads in this metadata field.
 FILE_PATH = "_metadata.file_path"
@@ -40,18 +40,45 @@ def geometry_of(df: DataFrame, depth: int, width: int) -> SketchGeometry:
 def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | None = None) -> DataFrame:
     """All snapshots of a folder in one scan; the window number comes from the file name.
 
-    A known ``geometry`` fixes the schema, so no file has to be opened for planning. Without it the
-    schemas of all files are merged: for folders of mixed or unknown files.
+    Columns may be of any numeric type or text: the schema is that of the files, read from one footer for a known
+    ``geometry``, else merged from all: for folders of mixed or unknown files. ``position`` is the place of a row in its window.
     """
+    return _snapshots(spark, [folder], geometry)
+
+
+def _snapshots(spark: SparkSession, paths: list[str], geometry: SketchGeometry | None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
-    if geometry:
-        raw = reader.schema(sketch_schema(geometry)).parquet(folder)
-    else:
-        raw = reader.option("mergeSchema", True).parquet(folder)
-    numbered = raw.withColumn("window", window_number(F.col(FILE_PATH)))
+    raw = (reader if geometry else reader.option("mergeSchema", True)).parquet(*paths)
+    numbered = raw.withColumns(
+        {
+            "window": window_number(F.col(FILE_PATH)),
+            "position": F.struct(FILE_PATH, F.col("_metadata.row_index")),
+        }
+    )
     return clean_sketch(numbered.where(F.col("window") >= 0), geometry or geometry_of(raw, 1, 1))
 
 
+def window_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshot files (path, window) of a folder, from a listing: no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select("path", window_number(F.col("path")).alias("window")).where(F.col("window") >= 0)
+
+
+def read_first_windows(
+    spark: SparkSession, folder: str, n: int, geometry: SketchGeometry | None = None
+) -> DataFrame:
+    """Snapshots of the first ``n`` windows by number; only their files are scanned. 0 keeps all."""
+    if n <= 0:
+        return read_sketch(spark, folder, geometry)
+    files = window_files(spark, folder)
+    first = files.select("window").distinct().orderBy("window").limit(n)
+    # Files of n windows.
+    paths = [r.path for r in files.join(first, "window", "left_semi").collect()]
+    if not paths:
+        raise ValueError(f"{folder} has no snapshots")
+    return _snapshots(spark, paths, geometry)
+
+
 def read_flow_keys(spark: SparkSession, folder: str) -> DataFrame:
     """All flow-key files of a folder; malformed keys are -1 and marked not ``valid``."""
     raw = (
@@ -99,9 +126,9 @@ def duplicate_cells(sketch: DataFrame) -> DataFrame:
 
 
 def last_copy(sketch: DataFrame, position: str) -> DataFrame:
-    """Keep the copy of each cell with the highest ``position`` in its file."""
+    """Keep the copy of each cell with the highest ``position`` in its file; the column goes."""
     cell = ["window", "qid", "row", "bucket"]
-    rest = [c for c in sketch.columns if c not in cell]
+    rest = [c for c in sketch.columns if c not in (*cell, position)]
     return (
         sketch.groupBy(*cell)
         .agg(F.max_by(F.struct(*rest), position).alias("_row"))
