@@ -56,30 +56,42 @@ def with_history(
 def with_averages(classes: DataFrame, keys: list[str], names: list[str], slices: Column) -> DataFrame:
     """Add ``_ewma``, the exponential average of each of ``names`` over the whole series so far, as an array, and ``_rn``, the row's place.
 
-    A step of the average is a linear map, so a unit of rows is one too: within a unit the average is a weighted running
-    sum, and the units before it hand on one number per column. The first row of a series starts at its value.
+    A step of the average is a linear map, so a unit of rows is one too, and the units before it hand on one number per
+    column. That number is stepped through the last unit before, as are the rows of a unit, so results have the digits that a
+    step per row gives. The first row of a series starts at its value.
     """
     keep = 1 - EWMA_ALPHA
+    row = F.array(*[F.col(c).cast("double") for c in names]) if names else F.array().cast("array<double>")
     ranked = running_total(classes, keys, ["window"], slices, F.lit(1), "_rn")
     place = (F.col("_rn") - 1) % EWMA_UNIT
-    ranked = ranked.withColumns({"_unit": F.floor((F.col("_rn") - 1) / EWMA_UNIT), "_place": place})
-    weight = F.when(F.col("_rn") == 1, F.lit(1.0)).otherwise(EWMA_ALPHA) * F.pow(F.lit(keep), -F.col("_place"))
-    weighted = {f"_w{i}": weight * F.col(c) for i, c in enumerate(names)}
-    sums = ranked.groupBy(*keys, "_unit").agg(
-        F.array(*[F.sum(w) * keep ** (EWMA_UNIT - 1) for w in weighted.values()]).alias("_sums")
+    ranked = ranked.withColumns({"_unit": F.floor((F.col("_rn") - 1) / EWMA_UNIT), "_place": place, "_row": row})
+    # The sum that a whole unit adds, each row weighted by the steps after it; the first row of all has no share of 0.3.
+    weight = F.when(F.col("_rn") == 1, F.lit(1.0)).otherwise(EWMA_ALPHA) * F.pow(F.lit(keep), EWMA_UNIT - 1 - F.col("_place"))
+    units = ranked.groupBy(*keys, "_unit").agg(
+        F.array(*[F.sum(weight * F.col("_row")[i]) for i in range(len(names))]).alias("_sums"),
+        F.sort_array(F.collect_list(F.struct("_place", "_row"))).alias("_rows"),
     )
     earlier = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(-EWMA_UNITS, -1)
-    units = sums.select(*keys, "_unit", F.collect_list("_sums").over(earlier).alias("_units"))
-    inside = Window.partitionBy(*keys, "_unit").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    units = units.withColumn("_before", F.collect_list("_sums").over(earlier))
+
+    def stepped(rows: str, start: str, value: str, i: int) -> str:
+        step = f"IF(acc IS NULL, {value}[{i}], {EWMA_ALPHA!r}D * {value}[{i}] + {keep!r}D * acc)"
+        return f"aggregate({rows}, {start}, (acc, r) -> {step})"
 
-    def average(i: int) -> Column:
-        carried = F.expr(f"aggregate(_units, 0D, (acc, u) -> acc * {keep**EWMA_UNIT!r}D + u[{i}])")
-        own = F.sum(f"_w{i}").over(inside) * F.pow(F.lit(keep), F.col("_place"))
-        return own + carried * F.pow(F.lit(keep), F.col("_place") + 1)
+    def whole(i: int) -> str:
+        jump = f"aggregate(_before, 0D, (acc, u) -> acc * {keep**EWMA_UNIT!r}D + u[{i}])"
+        return f"IF(_unit = 0, CAST(NULL AS DOUBLE), {jump})"
 
-    out = ranked.withColumns(weighted).join(units, [*keys, "_unit"])
-    averages = F.array(*[average(i) for i in range(len(names))]).cast("array<double>")
-    return out.withColumn("_ewma", averages).drop("_unit", "_place", "_units", *weighted)
+    def each(text: Callable[[int], str]) -> Column:
+        return F.expr(f"array({', '.join(text(i) for i in range(len(names)))})")
+
+    ends = units.withColumn("_end", each(lambda i: stepped("_rows", whole(i), "r._row", i)))
+    last = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_unit"))
+    carried = ends.select(*keys, "_unit", last.alias("_start"))
+    inside = Window.partitionBy(*keys, "_unit").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranked.withColumn("_so_far", F.collect_list("_row").over(inside)).join(carried, [*keys, "_unit"])
+    averages = each(lambda i: stepped("_so_far", f"_start[{i}]", "r", i))
+    return out.withColumn("_ewma", averages).drop("_unit", "_place", "_row", "_so_far", "_start")
 
 
 def _per_column(names: list[str], columns: list[str], feature: Callable[[str], str]) -> Column:
