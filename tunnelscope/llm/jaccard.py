@@ -7,17 +7,16 @@ begun where distances below 1 occur, by anchors:
 1. Equal sets are one class, at distance 0. One document stands for each class.
 2. Shingles have one order for all documents: by the document frequency that a sketch of fixed size estimates, rare first, then by hash. Two sets within
    the radius share a shingle among the first few of each (a prefix whose length follows from the radius). Documents that
-   share such an anchor form a region.
-3. The pivot of a region is its smallest document. All members' distances to it are worked out. Those in its ball are linked to it; to the others
-   the triangle inequality applies: members whose distances to the pivot differ by more than the radius are not linked, and
-   the ball takes part only as far as its boundary is within reach of a member outside.
-4. What is left of a region (members outside the ball, and the boundary) is a smaller region with a new pivot, and so on until
-   no region has a member outside. Pairs that are worked out are one per region, member and round, never all pairs.
+   share such an anchor form a region. A pair is looked for in the region of the first anchor it shares, so the places of the anchor
+   in both orders bound what the two can have in common.
+3. The pivot of a large region is its smallest document. Distances to it are worked out; the members in its ball are linked to it. What is
+   outside the ball is a region again, with a pivot of its own, up to ``PIVOTS`` deep or until few are outside.
+4. Pairs that no pivot settles are compared: by the triangle inequality a pair whose distances to a pivot differ by more than the
+   radius is not linked, and a pair in one ball is joined already. So boundary members meet those outside, and no others.
 
 Distances are exact: sums of equal 64-bit hashes of shingles.
 
-Links are pivot to member. They connect what all links within the radius would connect: a member of the ball that leaves a
-region is linked to the pivot, and whatever it could be linked to in that region is in the ball too.
+Links are pivot to member, and the pairs of step 4. They connect what all links within the radius would connect.
 
 Defined cases: texts with fewer words than an n-gram are one n-gram; null texts and texts without words have an empty set and are
 linked with nothing; rows that repeat an id are one document of the largest set; rows without an id are left out; an empty table
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -42,8 +41,10 @@ SKETCH = 1 << 20
 _CHUNK = 1 << 12
 # Members whose distance to a pivot is worked out in one unit.
 BATCH = 32
-# A region of at most this many members isn't divided further: its pairs are compared, as far as sizes and anchors let them be linked.
+# A region of at most this many members gets no pivot: its pairs are compared, as far as sizes and anchors let them be linked.
 LEAF = 24
+# Pivots one after another in what is outside the balls of a large region.
+PIVOTS = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -191,12 +192,17 @@ def _common(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, common bigint")
 
 
-def _leaf_pairs(members: DataFrame, anchors: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of small regions that sizes and anchors let be linked."""
-    x, y = members.alias("x"), members.alias("y")
-    near = (F.col("x.d") < F.col("y.d")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
-    # What both have in common is among the anchors of both, or behind the anchors of one.
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets that share an anchor at places of their orders may be linked, if it is the first they share.
+
+    What both have in common is then the anchor and what comes behind it in both.
+    """
+    behind = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return behind * (num + den) >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _checked_by_anchors(pairs: DataFrame, anchors: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose anchors let them be linked: what both have in common is among the anchors of both, or behind those of one."""
     for side in ("a", "b"):
         own = anchors.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
         pairs = pairs.join(own, side)
@@ -204,14 +210,37 @@ def _leaf_pairs(members: DataFrame, anchors: DataFrame, num: int, den: int) -> D
     return pairs.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
-def _rest(big: DataFrame, pivots: DataFrame, dist: DataFrame, radius: float) -> DataFrame:
-    """What is left of regions once the balls of their pivots, as far as nothing outside is within reach, have gone."""
-    near = big.join(pivots, "s").filter("d <> p").join(dist.select(F.col("a").alias("p"), F.col("b").alias("d"), "linked", "far"), ["p", "d"], "left")
-    near = near.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("far", F.coalesce("far", F.lit(1.0)))
-    outside = near.groupBy("s", "p").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("outside"))
-    gone = F.col("linked") & (F.col("outside").isNull() | (F.col("far") + radius + 1e-9 < F.col("outside")))
-    stays = near.join(outside, ["s", "p"]).groupBy("s", "d", "n").agg(F.max(gone.cast("int")).alias("gone")).filter("gone = 0").drop("gone")
-    return stays.join(pivots.select("s", F.col("p").alias("d")), ["s", "d"], "left_anti")
+def _pairs_of_leaves(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of small regions that may be linked."""
+    x, y = members.alias("x"), members.alias("y")
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d")) & _may_link("x", "y", num, den)
+    return x.join(y, on).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
+
+
+def _pairs_of_rest(big: DataFrame, measured: list[DataFrame], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of large regions that may be linked and that the pivots leave open.
+
+    A pair is settled if both are in the ball of one pivot, or if their distances to one differ by more than the radius. Members are
+    joined by size: the smaller of a linked pair has one of a few sizes that follow from the larger one and the place of its anchor.
+    """
+    rows, radius = big.select("s", "d", "n", "pos"), 1 - num / den
+    for t, known in enumerate(measured):
+        own = known.select("s", "d", F.col("linked").alias(f"l{t}"), F.col("far").alias(f"f{t}"))
+        rows = rows.join(own, ["s", "d"], "left")
+    most = F.floor((F.col("n") - F.col("pos")) * (num + den) / num).cast("bigint") - F.col("n")
+    most = F.least(most, F.col("n"))
+    least = F.ceil(F.col("n") * num / den).cast("bigint")
+    larger = rows.filter(least <= most).withColumn("size", F.explode(F.sequence(least, most))).alias("x")
+    smaller = rows.alias("y")
+    settled = F.lit(False)
+    for t in range(len(measured)):
+        both = F.coalesce(F.col(f"x.l{t}") & F.col(f"y.l{t}"), F.lit(False))
+        apart = F.coalesce(F.abs(F.col(f"x.f{t}") - F.col(f"y.f{t}")) > radius + 1e-9, F.lit(False))
+        settled = settled | both | apart
+    order = (F.col("x.n") > F.col("y.n")) | (F.col("x.d") > F.col("y.d"))
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.size") == F.col("y.n")) & order & _may_link("x", "y", num, den) & ~settled
+    pairs = larger.join(smaller, on)
+    return pairs.select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
 
 
 def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -224,32 +253,40 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tup
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     membership = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", "rep")
     anchors = sets.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", "n", "prefix")
-    entries = anchors.select(F.explode("prefix").alias("s"), F.col("doc_id").alias("d"), "n")
+    entries = anchors.select(F.col("doc_id").alias("d"), "n", F.posexplode("prefix").alias("pos", "s"))
     shared = anchors.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
-    regions = cut(entries.join(shared, "s").distinct(), "regions")
-    pairs = cut(_leaf_pairs(regions.filter(F.col("c") <= LEAF), anchors, num, den), "pairs")
-    big = regions.filter(F.col("c") > LEAF)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(big.select("d")).distinct()
-    used = cut(texts.join(needed, "doc_id", "left_semi"), "texts")
-    radius, found, many = 1 - num / den, [], 1
-    while True:
-        pivots = None
-        if not big.isEmpty():
-            by_id = Window.partitionBy("s").orderBy("d")
-            picked = big.groupBy("s").agg(F.min("d").alias("p")) if many == 1 else big.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= many).select("s", F.col("d").alias("p"))
-            pivots = cut(picked, "pivots")
-            to_pivot = big.join(pivots, "s").filter("d <> p").select(F.col("p").alias("a"), F.col("d").alias("b")).distinct()
-            pairs = pairs.union(to_pivot).distinct()
-        together = F.col("na") + F.col("nb") - F.col("common")
+    regions = cut(entries.join(shared, "s").select("s", "d", "n", "pos", "c"), "regions")
+    together = F.col("na") + F.col("nb") - F.col("common")
+
+    def distances(pairs: DataFrame, used: DataFrame) -> DataFrame:
         dist = _common(pairs, used, words).withColumn("linked", den * F.col("common") >= num * together).withColumn("far", 1 - F.col("common") / together)
-        dist = cut(dist.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "distances")
-        found.append(dist.filter("linked").select("a", "b"))
-        if pivots is None:
+        return cut(dist.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "distances")
+
+    found, measured = [], []
+    big = cut(regions.filter(F.col("c") > LEAF).drop("c"), "large-regions")
+    leaves = cut(_checked_by_anchors(_pairs_of_leaves(regions.filter(F.col("c") <= LEAF), num, den), anchors, num, den), "pairs")
+    needed = leaves.select(F.col("a").alias("doc_id")).union(leaves.select("b")).union(big.select("d")).distinct()
+    used = cut(texts.join(needed, "doc_id", "left_semi"), "texts")
+    outside = big
+    for _ in range(PIVOTS):
+        if outside.isEmpty():
             break
-        rest = cut(_rest(big.select("s", "d", "n"), pivots, dist, radius), "rest")
-        counted = rest.join(rest.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "s")
-        pairs = cut(_leaf_pairs(counted.filter(F.col("c") <= LEAF), anchors, num, den), "pairs")
-        big, many = cut(counted.filter(F.col("c") > LEAF), "regions"), 2 * many
+        # The pivot: the smallest document in no ball so far.
+        pivots = outside.groupBy("s").agg(F.min(F.struct("d", "n", "pos")).alias("p")).select("s", "p.*")
+        near = big.alias("x").join(pivots.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.d") != F.col("y.d")) & _may_link("x", "y", num, den))
+        near = cut(near.select("x.s", "x.d", F.col("y.d").alias("p")), "near-pivots")
+        dist = distances(near.select(F.col("p").alias("a"), F.col("d").alias("b")).distinct(), used)
+        found.append(dist.filter("linked").select("a", "b"))
+        own = near.join(dist, (near["p"] == dist["a"]) & (near["d"] == dist["b"])).select("s", "d", "linked", "far")
+        own = own.union(pivots.select("s", "d", F.lit(True), F.lit(0.0)))
+        # An id with several texts may meet a region more than once.
+        measured.append(cut(own.groupBy("s", "d").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "measured"))
+        rest = outside.join(measured[-1].filter("linked"), ["s", "d"], "left_anti")
+        outside = cut(rest.join(rest.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF), "s").select("s", "d", "n", "pos"), "outside")
+    pairs = leaves
+    if measured:
+        pairs = pairs.union(_checked_by_anchors(_pairs_of_rest(big, measured, num, den), anchors, num, den)).distinct()
+    found.append(distances(pairs, used).filter("linked").select("a", "b"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
