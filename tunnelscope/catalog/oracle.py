@@ -723,6 +723,8 @@ SELECT host_timestamp_ns // 1000000000 AS second, count(*) AS total, count(*) FI
 FROM cards GROUP BY ALL"""
     q["stream_stats_1s"] = q["postcard_stats_1s"]
     q["stream_alarms"] = q["debounce"]
+    q["detect_files"] = f"""{q['detect_events']}
+WHERE "window" IN (SELECT DISTINCT "window" FROM cells ORDER BY 1 LIMIT 60)"""
     q["stream_detect"] = q["detect_events"]
 
     recursive = q.pop("debounce_inverting").replace("WITH RECURSIVE", "").strip()

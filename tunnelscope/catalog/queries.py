@@ -6,6 +6,7 @@ so that another engine's summation order cannot show.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,8 @@ from ..streaming.stats import stream_stats
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 CONFIG = S.CONFIG
+# Windows of the run over files: that a run stops there is its feature.
+FIRST_WINDOWS = 60
 GEOMETRY = CONFIG.geometry
 
 
@@ -861,6 +864,43 @@ def detect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(full_events(spark, sf_dir))
 
 
+@query
+def detect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run from files to files: snapshots of text and doubles with stale copies of cells, keys with bad rows, settings, model."""
+    folder = scratch_path(spark, "run")
+
+    def written(name: str, content: dict) -> str:
+        spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+        return f"{folder}/{name}"
+
+    built = S.sketch(spark, sf_dir)
+    cell = ["qid", "row", "bucket"]
+    typed = built.select("window", *[F.col(c).cast("string").alias(c) for c in cell], *[F.col(m).cast("double").alias(m) for m in GEOMETRY.measures])
+    stale = typed.where("CAST(bucket AS INT) % 3 = 1").withColumn("pkt_cnt", F.col("pkt_cnt") / 2).withColumn("_turn", F.lit(0))
+    named = typed.withColumn("_turn", F.lit(1)).unionByName(stale).withColumn("file", F.format_string("window_%d.parquet", "window"))
+    ordered = named.repartition("file").sortWithinPartitions("file", "_turn").drop("window", "_turn")
+    ordered.write.partitionBy("file").parquet(f"{folder}/cms")
+    keys = S.keys(spark, sf_dir).select("window", *[F.col(c).cast("string").alias(c) for c in ("teid", "qfi", "qid")])
+    bad = keys.where("CAST(teid AS INT) % 4 = 0").withColumn("teid", F.concat("teid", F.lit("d")))
+    windows.write_flow_keys(keys.unionByName(bad), f"{folder}/keys")
+    edges = {str(q): {"latency_us": S.LAT_EDGES, "iat_us": S.IAT_EDGES} for q in S.BINS.lat}
+    bins = written("bins", {"bins": edges})
+    bundle = written("bundle", {
+        "feat_cols": S.FEAT_COLS, "thr_global": CONFIG.thr_global, "thr_map": {str(k): v for k, v in CONFIG.thr_map.items()},
+        "debounce": {"k": CONFIG.debounce_k, "h": CONFIG.debounce_h},
+    })
+    names = {"left_children": "left", "right_children": "right", "split_indices": "feature", "split_conditions": "value"}
+    trees = [{k: t[v] for k, v in names.items()} for t in S.MODEL["trees"]]
+    model = written("model", {"learner": {"learner_model_param": {"base_score": "5E-1"}, "gradient_booster": {"model": {"trees": trees}}}})
+
+    feat_cols, config = settings.read_bundle(spark, bundle, GEOMETRY, window_secs=CONFIG.window_secs)
+    snapshots = windows.read_first_windows(spark, f"{folder}/cms", FIRST_WINDOWS, GEOMETRY)
+    flow_keys = windows.read_flow_keys(spark, f"{folder}/keys")
+    found = detection.detect(snapshots, flow_keys, settings.read_bins(spark, bins), feat_cols, scoring.read_model(spark, model), config)
+    windows.write_events(found, f"{folder}/events")
+    return rounded(windows.read_events(spark, f"{folder}/events"))
+
+
 @query
 def detect_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alarms.episodes(cut(full_events(spark, sf_dir), "events"))

@@ -6,7 +6,7 @@ import json
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
@@ -16,22 +16,42 @@ from ..functions.fields import finite_or_zero
 EXPRESSION_NODES = 512
 
 
-def load_model(path_text: str) -> dict:
-    """Trees and base margin from the public JSON form of a boosted tree model."""
-    learner = json.loads(path_text)["learner"]
-    base = float(str(learner["learner_model_param"]["base_score"]).strip("[]"))
-    trees = [
-        {
-            "left": t["left_children"],
-            "right": t["right_children"],
-            "feature": t["split_indices"],
-            "value": t["split_conditions"],
-        }
-        for t in learner["gradient_booster"]["model"]["trees"]
-    ]
+def load_model(text: str) -> dict:
+    """Trees and base margin from the public JSON form of a boosted tree model.
+
+    A model trained with early stopping counts up to its best round, and leaves of dropped-out trees have their weight. Models
+    with several outputs, linear ones, and categorical splits are rejected.
+    """
+    learner = json.loads(text)["learner"]
+    booster, param = learner["gradient_booster"], learner["learner_model_param"]
+    if int(param.get("num_class", 0)) > 1 or int(param.get("num_target", 1)) > 1:
+        raise ValueError("a model with several outputs is not supported")
+    # Trees with weights hold an ordinary ensemble inside.
+    inner = booster.get("gbtree", booster)
+    if "model" not in inner or "trees" not in inner["model"]:
+        raise ValueError(f"not a tree model: {booster.get('name')}")
+    found = inner["model"]["trees"]
+    weights = booster.get("weight_drop") or [1.0] * len(found)
+    best = learner.get("attributes", {}).get("best_iteration")
+    if best is not None:
+        per_round = int(inner["model"].get("gbtree_model_param", {}).get("num_parallel_tree", 1))
+        found = found[: (int(best) + 1) * max(per_round, 1)]
+    trees = []
+    for t, weight in zip(found, weights, strict=False):
+        if t.get("categories") or any(t.get("split_type", [])):
+            raise ValueError("categorical splits are not supported")
+        value = [v * weight if left < 0 else v for v, left in zip(t["split_conditions"], t["left_children"], strict=True)]
+        names = {"left": "left_children", "right": "right_children", "feature": "split_indices"}
+        trees.append({**{k: t[v] for k, v in names.items()}, "value": value})
+    base = float(str(param["base_score"]).strip("[]"))
     return {"base_margin": math.log(base / (1 - base)), "trees": trees}
 
 
+def read_model(spark: SparkSession, path: str) -> dict:
+    """The model in a file that Spark can read."""
+    return load_model(spark.read.text(path, wholetext=True).head().value)
+
+
 def feature_vector(df: DataFrame, feat_cols: list[str]) -> list[Column]:
     """Model inputs in order: absent features are 0, non-finite values too."""
     return [finite_or_zero(F.col(c)) if c in df.columns else F.lit(0.0) for c in feat_cols]

@@ -21,11 +21,11 @@ def tunnel_table(
 ) -> DataFrame:
     """Tunnel statistics per window, written once because the features read them several times.
 
-    A sketch read from files has the place of each row: of cells that a snapshot holds twice the last counts. The rows
-    are grouped by the cell, as the join that follows needs them.
+    A sketch read from files has the place of each row: of cells that a snapshot holds twice the last counts. Such a sketch
+    is written once, as it is read for its windows and for its cells.
     """
     if "position" in sketch.columns:
-        sketch = last_copy(sketch, "position")
+        sketch = cut(last_copy(sketch, "position"), "cells")
     flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
     return cut(tunnel_windows(flows, edges, config), "tunnels")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,8 @@ BROADCAST_ROWS = 10_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests) gets a temporary folder.
+    A session without that setting gets a folder of its own in the default file system. That must be a shared one, but for
+    local mode. ``clear_shared_dir`` removes it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -23,11 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    system = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    one_machine = context.master == "local" or context.master.startswith("local[")
+    if system.startswith("file:") and not one_machine:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="tunnelscope-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    context.setCheckpointDir(f"{system.rstrip('/')}/tmp/tunnelscope-{context.applicationId}")
+    return context.getCheckpointDir().rstrip("/")
+
+
+def clear_shared_dir(spark: SparkSession) -> None:
+    """Removes the folder that ``shared_dir`` made; tables read from it can't be used after that. A configured folder stays."""
+    made = spark.sparkContext.getCheckpointDir()
+    if made and not spark.conf.get("spark.checkpoint.dir", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
