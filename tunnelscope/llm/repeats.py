@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .buffers import Rolling, spans_of, text_slices
+from .buffers import Rolling, mixed, spans_of, text_slices
 
 LENGTH = 400
 # Bytes whose hash makes a minimizer.
@@ -214,47 +214,75 @@ def _group_cuts(fp: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
 
 def _sides(joined: DataFrame, length: int) -> DataFrame:
     """Rows (key, text, places) to one row per place of a small group, with its left and right context."""
+    names = ["fp", "key", "pos", "low", "high", "left", "right"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
             keys, texts, places = batch.columns
             flat, at = places.flatten(), places.offsets.to_numpy()
-            fp, pos, low, high, size = (flat.field(i).to_numpy() for i in range(5))
-            out: list[tuple] = []
+            fp, pos, low, high = (flat.field(i).to_numpy() for i in range(4))
+            large = flat.field(4).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
-                a, b = int(at[i]), int(at[i + 1])
-                text = texts[i].as_buffer().to_pybytes()
-                for k in range(a, b):
-                    if size[k] <= GROUP:
+                text = memoryview(texts[i].as_buffer())
+                for k in range(int(at[i]), int(at[i + 1])):
+                    if not large[k]:
                         p = int(pos[k])
-                        out.append((fp[k], i, p, low[k], high[k], text[p - int(high[k]) : p], text[p : p - int(low[k]) + length]))
-            if out:
-                c = list(zip(*out, strict=True))
-                types = [pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(v)) if t is None else pa.array(v, t) for v, t in zip(c, types, strict=True)], ["fp", "key", "pos", "low", "high", "left", "right"])
+                        out.append((fp[k], keys[i].as_py(), p, low[k], high[k], bytes(text[p - int(high[k]) : p]), bytes(text[p : p - int(low[k]) + length])))
+                        if len(out) >= 2048:
+                            yield packed()
+        if out:
+            yield packed()
 
     return joined.mapInArrow(run, "fp bigint, key binary, pos int, low int, high int, left binary, right binary")
 
 
 def _windows(joined: DataFrame, length: int) -> DataFrame:
-    """Rows (key, text, places) to one row (hash, key, start) per window that a place of a large group owns."""
+    """Rows (key, text, places) to the windows that places of large groups own: (hash, key, start, end, n, settled).
+
+    A window that occurs twice in its text is settled: its bytes are a row without a count of their own, runs of them as one. For
+    other texts one row per text and hash stands for it, with n = 2; a window that occurs once has n = 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, places = batch.columns
             flat, at = places.flatten(), places.offsets.to_numpy()
-            pos, low, high, size = (flat.field(i).to_numpy().astype(np.int64) for i in range(1, 5))
+            pos, low, high = (flat.field(i).to_numpy().astype(np.int64) for i in range(1, 4))
+            large = flat.field(4).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 own = np.arange(at[i], at[i + 1])
-                own = own[size[own] > GROUP]
+                own = own[large[own]]
                 if not len(own):
                     continue
                 data = np.frombuffer(texts[i].as_buffer(), np.uint8)
-                starts = spans_of(pos[own] - high[own], high[own] - low[own] + 1)
-                hashes = Rolling(data).spans(starts, starts + length)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), keys.take(pa.array(np.full(len(starts), i))), pa.array(starts.astype(np.int32))], ["hash", "key", "start"])
-
-    return joined.mapInArrow(run, "hash bigint, key binary, start int")
+                starts = np.sort(spans_of(pos[own] - high[own], high[own] - low[own] + 1))
+                hashes, first, which, n = np.unique(Rolling(data).spans(starts, starts + length), return_index=True, return_inverse=True, return_counts=True)
+                twice = starts[n[which] > 1]
+                new = np.append(True, twice[1:] > twice[:-1] + length) if len(twice) else np.zeros(0, bool)
+                begin = twice[new]
+                end = twice[np.append(np.flatnonzero(new)[1:] - 1, len(twice) - 1)] + length if len(twice) else begin
+                m = len(hashes) + len(begin)
+                start = np.append(starts[first], begin)
+                columns = [
+                    # Runs have a hash of their own, so that they spread over tasks as windows do.
+                    np.append(hashes, mixed(begin.astype(np.uint64) ^ hashes[0])).view(np.int64),
+                    start.astype(np.int32),
+                    np.append(starts[first] + length, end).astype(np.int32),
+                    np.append(np.minimum(n, 2), np.zeros(len(begin), np.int64)),
+                    np.append(np.zeros(len(hashes), bool), np.ones(len(begin), bool)),
+                ]
+                c = [pa.array(v) for v in columns]
+                yield pa.RecordBatch.from_arrays([c[0], keys.take(pa.array(np.full(m, i))), *c[1:]], ["hash", "key", "start", "end", "n", "settled"])
+
+    return joined.mapInArrow(run, "hash bigint, key binary, start int, end int, n bigint, settled boolean")
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -269,17 +297,18 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = anchors.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
     places = anchors.join(twice, "fp").groupBy("fp", "key", "pos", "low", "high").agg(F.count("*").alias("_n")).drop("_n")
     places = cut(places, "places")
-    sizes = places.groupBy("fp").agg(F.count("*").cast("int").alias("size"))
+    large = cut(places.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("fp", F.lit(True).alias("large")), "large-groups")
     # A list per text, as long as the text has minimizers.
-    lists = places.join(sizes, "fp").groupBy("key").agg(F.collect_list(F.struct("fp", "pos", "low", "high", "size")).alias("places"))
+    place = F.struct("fp", "pos", "low", "high", F.coalesce("large", F.lit(False)).alias("large"))
+    lists = places.join(large, "fp", "left").groupBy("key").agg(F.collect_list(place).alias("places"))
     lists = lists.join(copies.select("key", "doc_id"), "key")
     own = texts.alias("t").join(lists.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key")))
     own = own.select("t.key", F.col("t.text").cast("binary").alias("text"), "l.places")
     sides = _sides(own, length).repartition("fp").sortWithinPartitions("fp", "right", "key", "pos")
     in_groups = _repeats_in_groups(sides, length)
     windows = _windows(own, length)
-    again = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    in_large = windows.join(again, "hash").select("key", "start", (F.col("start") + length).alias("end"))
+    again = windows.groupBy("hash").agg(F.sum("n").alias("_n")).filter("_n > 1").select("hash", "_n")
+    in_large = windows.join(again, "hash", "left").filter("settled OR _n > 1").select("key", "start", "end")
     whole = copies.filter("n > 1").select("key", F.lit(0).alias("start"), F.col("bytes").cast("int").alias("end"))
     return in_groups.unionByName(in_large).unionByName(whole)
 
