@@ -16,8 +16,8 @@ from tunnelscope.session import cut
 TOKENIZER = "byte_bpe_50k.json"
 # Near duplicates: word n-grams and similarity in percent.
 SHINGLE_WORDS, SIMILARITY = 5, 80
-# Bytes that make a repeated passage: fewer than fifty words have.
-PASSAGE_BYTES = 200
+# Bytes that make a repeated passage: about forty words of these tables.
+PASSAGE_BYTES = 240
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
