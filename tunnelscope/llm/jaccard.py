@@ -9,8 +9,8 @@ begun where distances below 1 occur, by anchors:
    the radius share a shingle among the first few of each (a prefix whose length follows from the radius). Documents that
    share such an anchor form a region. A pair is looked for in the region of the first anchor it shares, so the places of the anchor
    in both orders bound what the two can have in common.
-3. The pivot of a large region is its smallest document. Distances to it are worked out; the members in its ball are linked to it. What is
-   outside the ball is a region again, with a pivot of its own, up to ``PIVOTS`` deep or until few are outside.
+3. The pivots of a large region are its smallest documents. The distances of all members to them are worked out; the members in the ball of a
+   pivot are linked to it.
 4. Pairs that no pivot settles are compared: by the triangle inequality a pair whose distances to a pivot differ by more than the
    radius is not linked, and a pair in one ball is joined already. So boundary members meet those outside, and no others.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -43,8 +43,8 @@ _CHUNK = 1 << 12
 BATCH = 32
 # A region of at most this many members gets no pivot: its pairs are compared, as far as sizes and anchors let them be linked.
 LEAF = 24
-# Pivots one after another in what is outside the balls of a large region.
-PIVOTS = 2
+# Pivots of a large region.
+PIVOTS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -217,26 +217,25 @@ def _pairs_of_leaves(members: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, on).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
 
 
-def _pairs_of_rest(big: DataFrame, measured: list[DataFrame], num: int, den: int) -> DataFrame:
+def _pairs_of_rest(big: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of large regions that may be linked and that the pivots leave open.
 
     A pair is settled if both are in the ball of one pivot, or if their distances to one differ by more than the radius. Members are
     joined by size: the smaller of a linked pair has one of a few sizes that follow from the larger one and the place of its anchor.
     """
-    rows, radius = big.select("s", "d", "n", "pos"), 1 - num / den
-    for t, known in enumerate(measured):
-        own = known.select("s", "d", F.col("linked").alias(f"l{t}"), F.col("far").alias(f"f{t}"))
-        rows = rows.join(own, ["s", "d"], "left")
+    radius = 1 - num / den
+    rows = big.join(measured, ["s", "d"])
     most = F.floor((F.col("n") - F.col("pos")) * (num + den) / num).cast("bigint") - F.col("n")
     most = F.least(most, F.col("n"))
     least = F.ceil(F.col("n") * num / den).cast("bigint")
     larger = rows.filter(least <= most).withColumn("size", F.explode(F.sequence(least, most))).alias("x")
     smaller = rows.alias("y")
     settled = F.lit(False)
-    for t in range(len(measured)):
+    for t in range(PIVOTS):
+        # Absent where the region has fewer pivots.
         both = F.coalesce(F.col(f"x.l{t}") & F.col(f"y.l{t}"), F.lit(False))
         apart = F.coalesce(F.abs(F.col(f"x.f{t}") - F.col(f"y.f{t}")) > radius + 1e-9, F.lit(False))
-        settled = settled | both | apart
+        settled = settled | apart | both
     order = (F.col("x.n") > F.col("y.n")) | (F.col("x.d") > F.col("y.d"))
     on = (F.col("x.s") == F.col("y.s")) & (F.col("x.size") == F.col("y.n")) & order & _may_link("x", "y", num, den) & ~settled
     pairs = larger.join(smaller, on)
@@ -259,32 +258,28 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tup
     together = F.col("na") + F.col("nb") - F.col("common")
 
     def distances(pairs: DataFrame, used: DataFrame) -> DataFrame:
+        # An id with several texts has no one distance.
+        one = F.when(F.min("far") == F.max("far"), F.min("far"))
         dist = _common(pairs, used, words).withColumn("linked", den * F.col("common") >= num * together).withColumn("far", 1 - F.col("common") / together)
-        return cut(dist.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "distances")
+        return cut(dist.groupBy("a", "b").agg(F.max("linked").alias("linked"), one.alias("far")), "distances")
 
-    found, measured = [], []
     big = cut(regions.filter(F.col("c") > LEAF).drop("c"), "large-regions")
     leaves = cut(_checked_by_anchors(_pairs_of_leaves(regions.filter(F.col("c") <= LEAF), num, den), anchors, num, den), "pairs")
     needed = leaves.select(F.col("a").alias("doc_id")).union(leaves.select("b")).union(big.select("d")).distinct()
     used = cut(texts.join(needed, "doc_id", "left_semi"), "texts")
-    outside = big
-    for _ in range(PIVOTS):
-        if outside.isEmpty():
-            break
-        # The pivot: the smallest document in no ball so far.
-        pivots = outside.groupBy("s").agg(F.min(F.struct("d", "n", "pos")).alias("p")).select("s", "p.*")
-        near = big.alias("x").join(pivots.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.d") != F.col("y.d")) & _may_link("x", "y", num, den))
-        near = cut(near.select("x.s", "x.d", F.col("y.d").alias("p")), "near-pivots")
-        dist = distances(near.select(F.col("p").alias("a"), F.col("d").alias("b")).distinct(), used)
+    found, pairs = [], leaves
+    if not big.isEmpty():
+        # The row limit holds before the shuffle too.
+        first = F.row_number().over(Window.partitionBy("s").orderBy("d"))
+        pivots = big.select("s", "d").distinct().withColumn("t", first - 1).filter(F.col("t") < PIVOTS).select("s", "t", F.col("d").alias("p"))
+        near = cut(big.select("s", "d").distinct().join(pivots, "s"), "near-pivots")
+        dist = distances(near.filter("d <> p").select(F.col("p").alias("a"), F.col("d").alias("b")).distinct(), used)
         found.append(dist.filter("linked").select("a", "b"))
-        own = near.join(dist, (near["p"] == dist["a"]) & (near["d"] == dist["b"])).select("s", "d", "linked", "far")
-        own = own.union(pivots.select("s", "d", F.lit(True), F.lit(0.0)))
-        # An id with several texts may meet a region more than once.
-        measured.append(cut(own.groupBy("s", "d").agg(F.max("linked").alias("linked"), F.min("far").alias("far")), "measured"))
-        rest = outside.join(measured[-1].filter("linked"), ["s", "d"], "left_anti")
-        outside = cut(rest.join(rest.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF), "s").select("s", "d", "n", "pos"), "outside")
-    pairs = leaves
-    if measured:
+        known = near.join(dist, (near["p"] == dist["a"]) & (near["d"] == dist["b"]), "left")
+        own = F.col("d") == F.col("p")
+        linked, far = F.when(own, True).otherwise(F.col("linked")), F.when(own, 0.0).otherwise(F.col("far"))
+        at = {f"l{t}": F.max(F.when(F.col("t") == t, linked)) for t in range(PIVOTS)} | {f"f{t}": F.max(F.when(F.col("t") == t, far)) for t in range(PIVOTS)}
+        measured = cut(known.groupBy("s", "d").agg(*[c.alias(n) for n, c in at.items()]), "measured")
         pairs = pairs.union(_checked_by_anchors(_pairs_of_rest(big, measured, num, den), anchors, num, den)).distinct()
     found.append(distances(pairs, used).filter("linked").select("a", "b"))
     out = found[0]
