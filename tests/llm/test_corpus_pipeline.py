@@ -1,12 +1,13 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SMALL
-from corpus import copied_rows, hard_rows, table
+from corpus import copied_rows, hard_rows, table, words
 from test_corpora import brute_components, brute_spans, brute_targets, shingle_set, size_of
 from tokenizers import Tokenizer as Library
 
@@ -53,6 +54,28 @@ def test_near_duplicate_stage(outputs):
     assert {r["doc_id"] for r in after} == set(brute_components(sets, P.SIMILARITY, 100).values()) | ({None} & {r["doc_id"] for r in before})
 
 
+@pytest.mark.parametrize("ids", [(7, 7), (None, None), (7, None), (7, None, None, 7, 9)])
+def test_one_copy_of_a_document_leaves_the_stages(spark, tmp_path, ids):
+    rng = random.Random(8)
+    text, other = words(rng, 90), words(rng, 90)
+    assert len(text) >= P.PASSAGE_BYTES
+    rows = [(i, text, "en", "a") for i in ids] + [(20, other, "en", "a"), (None, "one two", "en", "a"), (None, "one two", "en", "b")]
+    docs = table(spark, rows)
+    single = P.near_duplicates(spark, docs, "")
+    want = Counter({(min(ids, key=lambda i: (i is not None, i)), text): 1, (20, other): 1, (None, "one two"): 1})
+    assert rows_of(single.collect()) == want and single.columns == docs.columns
+    single.write.parquet(str(tmp_path / "single"))
+    assert rows_of(P.repeated_passages(spark, spark.read.parquet(str(tmp_path / "single")), "").collect()) == want
+
+
+def test_one_row_stays_where_an_id_has_several_texts(spark):
+    rng = random.Random(9)
+    first, second = words(rng, 90), words(rng, 90)
+    near = f"{second} end"
+    rows = [(3, first, "en", "a"), (3, second, "en", "a"), (2, near, "en", "a"), (3, near, "en", "a"), (5, first, "en", "a")]
+    assert rows_of(P.near_duplicates(spark, table(spark, rows), "").collect()) == Counter({(3, first): 1, (2, near): 1})
+
+
 def test_repeat_stage(outputs):
     before, after, *_ = outputs["repeated_passages"]
     texts = [r["text"].encode() for r in before]

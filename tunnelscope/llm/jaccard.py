@@ -20,7 +20,7 @@ Links are pivot to member, and the pairs of step 4. They connect what all links
 
 Defined cases: texts with fewer words than an n-gram are one n-gram; null texts and texts without words have an empty set and are
 linked with nothing; rows that repeat an id are one document of the largest set; rows without an id are left out; an empty table
-gives an empty result; other columns are left out.
+gives an empty result; other columns are left out. ``one_of_each`` takes all rows one by one and leaves out none before the join.
 """
 
 from __future__ import annotations
@@ -297,6 +297,17 @@ def components_of(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component; rows without an id stay."""
-    kept = components_of(docs, words, num, den).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with exactly one row of each component: that of the smallest id (none comes first), then of the smallest digest of its text.
+
+    Each row is a document of its own here, whatever its id: rows without one and rows that repeat one are joined like all others.
+    A row whose text has no words is a component of its own.
+    """
+    # Written once, so that the numbers are the same in every scan.
+    rows = cut(docs.withColumn("_key", F.monotonically_increasing_id()), "rows")
+    comps = components_of(rows.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # The number decides among equal rows only.
+    order = F.struct("doc_id", F.md5("text"), F.md5(F.to_json(F.struct(*rest))) if rest else F.lit(None).cast("string"), "_key")
+    places = rows.select("_key", order.alias("_order")).join(comps.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
+    kept = places.groupBy("component_id").agg(F.min("_order").alias("_least")).select(F.col("_least._key").alias("_key"))
+    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
