@@ -205,6 +205,34 @@ def test_snapshots_of_any_type(spark, tmp_path, kind):
     assert {(r.qid, r.row, r.bucket, r.lat0, r.pkt_cnt) for r in last} == {(0, 1, 2, 4, 8), (0, 0, 5, 7, 0)}
 
 
+@pytest.mark.parametrize("n", [0, 9])
+@pytest.mark.parametrize("geometry", [SketchGeometry(2, 8, 1, 2), None])
+def test_snapshots_whose_columns_and_types_differ(spark, tmp_path, n, geometry):
+    df = spark.createDataFrame([(0, 1, 2, 9, 6, 3, 5)], "qid bigint, row bigint, bucket bigint, lat0 bigint, iat1 bigint, pkt_cnt bigint, drop_cnt bigint")
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    files = {1: df.drop("drop_cnt", "iat1"), 2: df, 3: text, 4: df.withColumn("qid", F.lit("x")), 5: df.drop("row"), 6: text.drop("iat1"), 7: df.withColumn("lat0", F.lit(9.0))}
+    for w, snapshot in files.items():
+        snapshot.coalesce(1).write.parquet(str(tmp_path / f"window_{w}.parquet"))
+    read = windows.read_first_windows(spark, str(tmp_path), n, geometry)
+    want = {(w, 0, 1, 2, 9, 0, 6, 3, 5) for w in (2, 3, 7)} | {(1, 0, 1, 2, 9, 0, 0, 3, 0), (4, -1, 1, 2, 9, 0, 6, 3, 5), (5, 0, -1, 2, 9, 0, 6, 3, 5), (6, 0, 1, 2, 9, 0, 0, 3, 5)}
+    if geometry is None:  # bins are counted, and iat1 alone is one bin: iat0
+        want = {(*r[:6], *r[7:]) for r in want}
+        got = read.select("window", "qid", "row", "bucket", "lat0", "iat0", "pkt_cnt", "drop_cnt")
+    else:
+        got = read.select("window", "qid", "row", "bucket", "lat0", "iat0", "iat1", "pkt_cnt", "drop_cnt")
+    assert {tuple(r) for r in got.collect()} == want and read.count() == 7
+    assert len(read.inputFiles()) == 7
+
+
+def test_a_measure_that_the_first_file_lacks_is_read(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 2, 3, 5)], "qid bigint, row bigint, bucket bigint, pkt_cnt bigint, drop_cnt bigint")
+    for w, snapshot in ((1, df.drop("drop_cnt")), (2, df), (3, df)):
+        snapshot.coalesce(1).write.parquet(str(tmp_path / f"window_{w}.parquet"))
+    for n in (0, 2):
+        got = windows.read_first_windows(spark, str(tmp_path), n, SketchGeometry(2, 8, 1, 1)).collect()
+        assert {(r.window, r.pkt_cnt, r.drop_cnt) for r in got} == {(w, 3, 5 * (w > 1)) for w in range(1, (n or 3) + 1)}
+
+
 def test_pandas_snapshot(spark, tmp_path):
     import pandas as pd
 

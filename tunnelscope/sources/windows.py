@@ -38,24 +38,76 @@ def geometry_of(df: DataFrame, depth: int, width: int) -> SketchGeometry:
 
 
 def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | None = None) -> DataFrame:
-    """All snapshots of a folder in one scan; the window number comes from the file name.
+    """All snapshots of a folder; the window number comes from the file name.
 
-    Columns may be of any numeric type or text: the schema is that of the files, read from one footer for a known
-    ``geometry``, else merged from all: for folders of mixed or unknown files. ``position`` is the place of a row in its window.
+    Columns may be of any numeric type or text, and files may differ in both columns and types: the schema is merged from all
+    footers. ``position`` is the place of a row in its window.
     """
-    return _snapshots(spark, [folder], geometry)
+    try:
+        groups = [_merged(spark, [folder])]
+    except Exception as e:
+        if not _types_differ(e):
+            raise
+        files = window_files(spark, folder).orderBy("window", "path").collect()  # one row per file
+        groups = _groups(spark, [r.path for r in files])
+    return _snapshots(groups, geometry)
 
 
-def _snapshots(spark: SparkSession, paths: list[str], geometry: SketchGeometry | None) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True)
-    raw = (reader if geometry else reader.option("mergeSchema", True)).parquet(*paths)
-    numbered = raw.withColumns(
-        {
-            "window": window_number(F.col(FILE_PATH)),
-            "position": F.struct(FILE_PATH, F.col("_metadata.row_index")),
-        }
-    )
-    return clean_sketch(numbered.where(F.col("window") >= 0), geometry or geometry_of(raw, 1, 1))
+def _merged(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(*paths)
+
+
+def _types_differ(e: Exception) -> bool:
+    """Whether Spark could not merge schemas as a column has several types."""
+    return "CANNOT_MERGE_SCHEMAS" in str(e) or "CANNOT_MERGE_INCOMPATIBLE_DATA_TYPE" in str(e)
+
+
+def _groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """Scans that together read all ``paths``, each of files whose columns have the same types.
+
+    Halves are tried until they merge: types mostly change at some window. What fits together is one scan again.
+    """
+    found: list[tuple[dict, list[str]]] = []
+    todo = [paths]
+    while todo:
+        part = todo.pop()
+        try:
+            types = {f.name.lower(): f.dataType for f in _merged(spark, part).schema}
+        except Exception as e:
+            if len(part) == 1 or not _types_differ(e):
+                raise
+            todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+            continue
+        for known, own in found:
+            if all(known.get(c, t) == t for c, t in types.items()):
+                known.update(types)
+                own += part
+                break
+        else:
+            found.append((types, part))
+    return [_merged(spark, own) for _, own in found]
+
+
+def _snapshots(groups: list[DataFrame], geometry: SketchGeometry | None) -> DataFrame:
+    """Each group cleaned by its own types, and all of them as one table."""
+    columns = list(dict.fromkeys(c for g in groups for c in g.columns))
+    keys = [c for c in ("qid", "row", "bucket") if c in columns]
+    if geometry is None:
+        nothing = groups[0].sparkSession.createDataFrame([], ", ".join(f"`{c}` int" for c in columns))
+        geometry = geometry_of(nothing, 1, 1)
+    out = None
+    for raw in groups:
+        # A key that other files have is bad here, as it is in a merged scan.
+        full = raw.withColumns({c: F.lit(None).cast("bigint") for c in keys if c not in raw.columns})
+        numbered = full.withColumns(
+            {
+                "window": window_number(F.col(FILE_PATH)),
+                "position": F.struct(FILE_PATH, F.col("_metadata.row_index")),
+            }
+        )
+        clean = clean_sketch(numbered.where(F.col("window") >= 0), geometry)
+        out = clean if out is None else out.unionByName(clean)
+    return out
 
 
 def window_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +128,13 @@ def read_first_windows(
     paths = [r.path for r in files.join(first, "window", "left_semi").collect()]
     if not paths:
         raise ValueError(f"{folder} has no snapshots")
-    return _snapshots(spark, paths, geometry)
+    try:
+        groups = [_merged(spark, paths)]
+    except Exception as e:
+        if not _types_differ(e):
+            raise
+        groups = _groups(spark, sorted(paths))
+    return _snapshots(groups, geometry)
 
 
 def read_flow_keys(spark: SparkSession, folder: str) -> DataFrame:
