@@ -16,4 +16,4 @@ def test_query(name, spark):
 def test_all_are_registered():
     names = entry_point.queries()
     assert "pipeline" in names
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))

@@ -63,5 +63,13 @@ FROM t GROUP BY conv_id
 """
 
 
+OP11 = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.t) AS text_sha256 FROM t JOIN g USING (t)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op6_topk": OP6, "op7_chat": OP7}
+    return {"op1_mixing": OP1, "op6_topk": OP6, "op7_chat": OP7, "op11_exact_dedup": OP11}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import chat, imatch, jaccard, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
+from . import chat, exact, imatch, jaccard, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -100,3 +100,9 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets are at least 90 % alike."""
     return jaccard.components_of(documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal texts of each document, and which one stays."""
+    return exact.marked_copies(documents(spark, sf_dir))
