@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .buffers import IS_SPACE, Rolling, TextSlice, spans_of, text_slices
+from .buffers import IS_SPACE, TextSlice, distinct_spans, same_bytes, spans_of, text_slices
 
 # Bytes of text encoded at once.
 SLICE_BYTES = 1 << 20
@@ -56,9 +56,12 @@ def byte_characters() -> list[str]:
 
 
 class Tokenizer:
-    """The parts of a tokenizer file that encoding and decoding need. ``spec`` is the file's content."""
+    """The parts of a tokenizer file that encoding and decoding need. ``spec`` is the file's content.
 
-    def __init__(self, spec: str):
+    Without ``special``, control strings inside a text are plain text.
+    """
+
+    def __init__(self, spec: str, special: bool = True):
         self.spec = spec
         file = json.loads(spec)
         model = file["model"]
@@ -75,7 +78,7 @@ class Tokenizer:
         self.pair_keys, self.pair_rank, self.pair_made = keys[order], order.astype(np.int32), made[order]
         self.drops_space = file["normalizer"] is not None
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.drops_space else BYTE_LEVEL_PATTERN)
-        self.special = [t["content"].encode() for t in file["added_tokens"]]
+        self.special = [t["content"].encode() for t in file["added_tokens"]] if special else []
         self._bytes_of: list[bytes] | None = None
         self._vocab, self._chars, self._added = vocab, chars, file["added_tokens"]
         self._library = None
@@ -88,6 +91,7 @@ class Tokenizer:
             self._library = Library.from_str(self.spec)
             self._library.no_truncation()
             self._library.no_padding()
+            self._library.encode_special_tokens = not self.special
         return self._library
 
     def bytes_of(self) -> list[bytes]:
@@ -246,7 +250,7 @@ class Tokenizer:
         begins[at] = True
         a = np.flatnonzero(begins)
         b = np.append(a[1:], len(flat))
-        _, sample, which = np.unique(Rolling(flat).spans(a, b), return_index=True, return_inverse=True)
+        _, sample, which = distinct_spans(flat, a, b)
         raw = flat.tobytes()
         ids, where, count = self.merge([raw[x:y] for x, y in zip(a[sample].tolist(), b[sample].tolist(), strict=True)])
         per_piece = count[which]
@@ -261,7 +265,11 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None = None):
         self.tokenizer, self.lexicon = tokenizer, lexicon
+        # Remembered chunks in the order of their hashes: bytes and ids.
         self.keys = np.zeros(0, np.uint64)
+        self.raw = np.zeros(0, np.uint8)
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_length = np.zeros(0, np.int64)
         self.where = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
@@ -271,7 +279,7 @@ class Encoder:
         starts, ends, first = self.tokenizer.chunks(part)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(part) + 1, np.int64)
-        hashes, sample, which = np.unique(Rolling(part.data).spans(starts, ends), return_index=True, return_inverse=True)
+        hashes, sample, which = distinct_spans(part.data, starts, ends)
         a, b = starts[sample], ends[sample]
         count, where, pool = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(0, np.int32)
         if self.lexicon is not None:
@@ -279,8 +287,11 @@ class Encoder:
         base = len(pool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            hit = (count < 0) & (self.keys[at] == hashes)
-            count[hit], where[hit] = self.count[at[hit]], base + self.where[at[hit]]
+            hit = np.flatnonzero((count < 0) & (self.keys[at] == hashes))
+            held = at[hit]
+            same = same_bytes(part.data, a[hit], b[hit], self.raw, self.raw_at[held], self.raw_at[held] + self.raw_length[held])
+            hit, held = hit[same], held[same]
+            count[hit], where[hit] = self.count[held], base + self.where[held]
         rest = np.flatnonzero(count < 0)
         new, at, sizes = self.tokenizer.encode_chunks(part.data, a[rest], b[rest]) if len(rest) else (np.zeros(0, np.int32),) * 3
         count[rest], where[rest] = sizes, base + len(self.pool) + at
@@ -288,14 +299,26 @@ class Encoder:
         per_chunk = count[which]
         out = pool[spans_of(where[which], per_chunk)].astype(np.uint32)
         rows = np.append(0, np.cumsum(per_chunk))[first]
-        if len(self.keys) + len(rest) <= MEMO_CHUNKS:
-            keys = np.concatenate([self.keys, hashes[rest]])
-            order = np.argsort(keys, kind="stable")
-            self.where = np.concatenate([self.where, where[rest] - base])[order]
-            self.count = np.concatenate([self.count, sizes])[order]
-            self.keys, self.pool = keys[order], pool[base:]
+        self._remember(hashes[rest], part.data, a[rest], b[rest], len(self.pool) + at, sizes, new)
         return out, rows
 
+    def _remember(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Keeps new chunks that are not long, one for each hash. ``ids`` go behind the pool, where ``where`` points."""
+        _, one = np.unique(hashes, return_index=True)
+        short = one[(ends[one] - starts[one] <= LONG_WORD) & ~np.isin(hashes[one], self.keys)]
+        if not len(short) or len(self.keys) + len(short) > MEMO_CHUNKS:
+            return
+        lengths, sizes = ends[short] - starts[short], count[short]
+        own = ids[spans_of(where[short] - len(self.pool), sizes)]
+        keys = np.concatenate([self.keys, hashes[short]])
+        order = np.argsort(keys, kind="stable")
+        self.raw_at = np.concatenate([self.raw_at, len(self.raw) + np.cumsum(lengths) - lengths])[order]
+        self.raw_length = np.concatenate([self.raw_length, lengths])[order]
+        self.raw = np.concatenate([self.raw, data[spans_of(starts[short], lengths)]])
+        self.where = np.concatenate([self.where, len(self.pool) + np.cumsum(sizes) - sizes])[order]
+        self.count = np.concatenate([self.count, sizes])[order]
+        self.keys, self.pool = keys[order], np.concatenate([self.pool, own])
+
 
 def encoded(encoder: Encoder, texts: pa.Array) -> Iterator[tuple[TextSlice, np.ndarray, np.ndarray]]:
     """Slices of a text column with their ids and row starts."""

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # Bytes of text that are worked on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -17,6 +18,8 @@ SLICE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# Polynomials modulo a power of two are equal for some regular texts of 1024 bytes and more, whatever the base.
+LONG_SPAN = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -52,12 +55,17 @@ class Rolling:
     """Polynomial hashes modulo 2**64 of any substring of ``data``."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         _grow(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_TABLE[data] * _powers[: len(data)], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[ends] - self.sums[starts]) * _inverses[starts])
+        """Hashes of substrings. Those of over ``LONG_SPAN`` bytes are hashed by another function."""
+        found = _mixed((self.sums[ends] - self.sums[starts]) * _inverses[starts])
+        for i in np.flatnonzero(ends - starts > LONG_SPAN):
+            found[i] = xxhash.xxh3_64_intdigest(memoryview(self.data[starts[i] : ends[i]]))
+        return found
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from each position on."""
@@ -123,3 +131,38 @@ def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of the span ``at`` to ``to`` of ``others``."""
+    lengths = ends - starts
+    same = lengths == to - at
+    some = np.flatnonzero(same & (lengths > 0))
+    if len(some):
+        n = lengths[some]
+        equal = data[spans_of(starts[some], n)] == others[spans_of(at[some], n)]
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans by their bytes: the hash and one span of each content, and for each span the place of its content.
+
+    Contents are found by hash and compared; those that collide come last.
+    """
+    hashes, sample, which = np.unique(Rolling(data).spans(starts, ends), return_index=True, return_inverse=True)
+    others = np.flatnonzero(sample[which] != np.arange(len(which)))
+    like = sample[which[others]]
+    odd = others[~same_bytes(data, starts[others], ends[others], data, starts[like], ends[like])]
+    if len(odd):
+        place: dict[bytes, int] = {}
+        more, known = [], []
+        for i in odd.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in place:
+                place[raw] = len(sample) + len(more)
+                more.append(i)
+                known.append(which[i])
+            which[i] = place[raw]
+        hashes, sample = np.append(hashes, hashes[known]), np.append(sample, more)
+    return hashes, sample, which

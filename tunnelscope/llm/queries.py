@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ..session import scratch_path
-from . import chat, exact, imatch, jaccard, language, lexicon, mixture, repeats, sharding, tokenfiles, topk
+from ..session import cut, scratch_path
+from . import chat, crossalign, exact, imatch, jaccard, language, lexicon, mixture, repair, repeats, sharding, tokenfiles, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -106,3 +106,21 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of equal texts of each document, and which one stays."""
     return exact.marked_copies(documents(spark, sf_dir))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenisers' tokens over each text, links by the documents that hold their pair."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    found = crossalign.align_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), model)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    found = cut(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return crossalign.with_counts(found, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations, and their cheapest repair."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.Repair(repair.damaged(turns)).report(turns)
