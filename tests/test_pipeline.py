@@ -176,18 +176,50 @@ def test_averages_never_forget(spark):
     assert averages[130] > 0
 
 
+@pytest.mark.parametrize("cuts", [[1, 30, 400], [200, 201, 500], [700]])
+def test_averages_go_on_from_an_earlier_run(spark, cuts):
+    rng = random.Random(4)
+    xs = [rng.uniform(0, 9) for _ in range(900)]
+    schema = "window int, qfi int, qfi_bw_total double, _known array<double>"
+    tail, got = [], []
+    for lo, hi in zip([0, *cuts], [*cuts, 900]):
+        rows = tail + [(w, 1, xs[w], None) for w in range(lo, hi)]
+        df = spark.createDataFrame(rows, schema)
+        history = rolling.with_history(df, PipelineConfig(block_rows=50, slice_windows=64), ["qfi_bw_total"], ["qfi"], "_known").where("not _history")
+        out = history.orderBy("window").select("window", "_ewma", "_recent").collect()
+        got += [(r[0], r[1][0], len(r[2])) for r in out if r[0] >= lo]
+        tail = [(r[0], 1, xs[r[0]], r[1]) for r in out][-rolling.HISTORY_ROWS :]
+    want = [xs[0]]
+    for x in xs[1:]:
+        want.append(0.3 * x + 0.7 * want[-1])
+    assert [r[0] for r in got] == list(range(900))
+    assert [r[1] for r in got] == pytest.approx(want, rel=1e-12)
+    assert [r[2] for r in got] == [min(w + 1, 21) for w in range(900)]
+
+
 def test_medians_leave_nulls_out(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 9.0, None, float("nan"))] + [("b", None)], "k string, v double")
     assert {r.k: r.v for r in grouped_medians(df, ["k"], ["v"]).collect()} == {"a": 2.0}
 
 
-def test_expression_and_batch_scores_agree(class_table):
+def test_expression_and_array_scores_agree(class_table):
     df = rolling.engineer(class_table, S.CONFIG)
-    a = scoring.score_by_expression(df, S.FEAT_COLS + ["absent"], S.MODEL)
-    b = scoring.score_by_batch(df, S.FEAT_COLS + ["absent"], S.MODEL)
+    crooked = {"left": [1, -1, 3, -1, 5, -1, -1], "right": [2, 0, 4, 0, 6, 0, 0], "feature": [0, 0, 1, 0, 2, 0, 0], "value": [0.1, 0.5, 0.3, -0.25, 18.0, 1.5, -2.0]}
+    model = {"base_margin": 0.125, "trees": [*S.MODEL["trees"], crooked, {"left": [-1], "right": [-1], "feature": [0], "value": [0.75]}]}
+    a = scoring.score_by_expression(df, S.FEAT_COLS + ["absent"], model)
+    b = scoring.score_by_arrays(df, S.FEAT_COLS + ["absent"], model)
     left, right = ({(r.window, r.qfi): r.score for r in x.select("window", "qfi", "score").collect()} for x in (a, b))
-    assert left.keys() == right.keys()
-    assert np.allclose([left[k] for k in left], [right[k] for k in left])
+    assert left == right
+
+
+def test_large_ensemble_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([(0.1, 900.0), (float("nan"), 1e9), (0.97, 20_000.0), (None, None)], "yellow double, bytes double")
+    model = S.large_model(12, 3)
+    large = scoring.score_by_arrays(df, ["yellow", "bytes"], model)
+    assert [r.score for r in large.collect()] == [r.score for r in scoring.score_by_expression(df, ["yellow", "bytes"], model).collect()]
+    assert sum(len(t["left"]) for t in S.large_model()["trees"]) > 5_000
+    plan = scoring.score(df, ["yellow", "bytes"], S.large_model())._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_model_file(spark):

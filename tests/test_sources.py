@@ -12,7 +12,7 @@ from tunnelscope.operators.minquery import min_query
 from tunnelscope.operators.rates import counter_rates
 from tunnelscope.plans import standin as S
 from tunnelscope.session import small_side
-from tunnelscope.sources import frames, injections, postcards, registers, settings, windows
+from tunnelscope.sources import frames, injections, postcards, recordfiles, registers, settings, windows
 
 
 def write(path, obj):
@@ -118,13 +118,37 @@ def test_first_windows_and_copies(spark):
     assert {r.pkt_cnt for r in windows.last_copy(df, "pos").collect()} == {91, 21, 301}
 
 
+LAYOUT = "<BIBIHHIBBHIQQ"
+
+
 def test_record_files(spark, tmp_path):
     values = [(1, 2**32 - 1, 7, 99, 300, 2, 2**31, 5, 3, 1500, 12, 2**47, 1_700_000_000_000_000_000)]
-    values += [(2, 5, 0, 0, 1, 2, 3, 4, 0, 64, 0, 6, 7)]
-    layout = "<BIBIHHIBBHIQQ"
-    (tmp_path / "cards.bin").write_bytes(b"".join(struct.pack(layout, *v) for v in values))
-    got = postcards.read_record_files(spark, str(tmp_path / "cards.bin")).collect()
-    assert sorted(map(tuple, got)) == values
+    values += [(2, 5, 0, 0, 1, 2, 3, 4, 0, 64, 0, 6, n) for n in range(25)]
+    raw = b"".join(struct.pack(LAYOUT, *v) for v in values)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "cards.bin").write_bytes(raw + raw[:20])  # the last record was not finished
+    (tmp_path / "_hidden").write_bytes(raw)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for path in (tmp_path, tmp_path / "a" / "cards.bin"):
+        for size in (1, 7, 1000):
+            cards = recordfiles.read_records(spark, str(path), size)
+            assert sorted(map(tuple, cards.collect())) == sorted(values)
+            assert cards.rdd.getNumPartitions() == -(-26 // size)
+
+
+def test_written_record_files(spark, tmp_path):
+    values = [(1, 2, 3, 4, 5, 6, 2**32 - 1, 8, 2, 10, 11, 2**40, n) for n in range(50)]
+    cards = spark.createDataFrame(values, recordfiles.SCHEMA).repartition(3)
+    for _ in range(2):  # files are added
+        recordfiles.write_records(cards.select("packet_length", *[c for c in cards.columns if c != "packet_length"]), str(tmp_path / "out"))
+    assert sorted(map(tuple, recordfiles.read_records(spark, f"file:{tmp_path}/out").collect())) == sorted(values * 2)
+    names = {p.suffix for p in (tmp_path / "out").iterdir()}
+    assert names == {".bin"} and len(list((tmp_path / "out").iterdir())) == 6
+    failing = cards.withColumn("qfi", F.when(F.col("host_timestamp_ns") == 49, F.raise_error(F.lit("no"))).otherwise(F.col("qfi")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        recordfiles.write_records(failing, str(tmp_path / "out"))
+    assert {p.suffix for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")} == {".bin"}
+    assert recordfiles.read_records(spark, str(tmp_path / "out")).count() == 100
 
 
 def test_wire_form(spark):

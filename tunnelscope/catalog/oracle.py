@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..operators.rolling import ROLL_KEYS, Z_KEYS
-from ..plans.standin import IAT_EDGES, LAT_EDGES
+from ..plans.standin import IAT_EDGES, LAT_EDGES, large_model
 
 DEPTH, WIDTH = 3, 16
 
@@ -33,6 +33,13 @@ def crc(n: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295::BIGINT)"
 
 
+def crc16(n: str) -> str:
+    """CRC-16, reflected and from zero, of the five bytes of ``n``, bit by bit."""
+    bits = f"list_transform(range(40), lambda i: ({n} >> CAST(8 * (4 - i // 8) + i % 8 AS INTEGER)) & 1)"
+    step = "lambda c, x: xor(c >> 1, CASE WHEN xor(c & 1, x) = 1 THEN 40961::BIGINT ELSE 0::BIGINT END)"
+    return f"list_reduce(list_prepend(0::BIGINT, {bits}), {step})"
+
+
 def edge_list(edges: list[int]) -> str:
     return "[" + ", ".join(f"{e}::DOUBLE" for e in edges) + "]"
 
@@ -97,6 +104,10 @@ SELECT teid, qfi, r AS "row",
   CAST({crc('((r::BIGINT << 40) | (teid << 8) | qfi)')} % {WIDTH} AS INTEGER) AS bucket
 FROM flows, range({DEPTH}) t(r)"""
 
+SWITCH_BUCKETS = f"""
+SELECT teid, qfi, r AS "row", CAST({crc16('((r::BIGINT << 38) | (teid << 6) | qfi)')} % {WIDTH} AS INTEGER) AS bucket
+FROM flows, range({DEPTH}) t(r)"""
+
 CTES["hits"] = f"""
 SELECT p.*, b."row", b.bucket, (hop_latency_ns >> 10) & 65535 AS lat_q16,
   (ingress_tstamp_ns >> 10) & 4294967295 AS tick
@@ -283,6 +294,8 @@ LIGHT = [
     "feat_qfi_teid_count",
 ]
 CTES["light_classes"] = class_rollup("exact_features", LIGHT)
+CTES["odd_features"] = "SELECT * REPLACE (CASE WHEN teid % 3 = 1 THEN -qfi ELSE qfi END AS qfi) FROM exact_features"
+CTES["odd_classes"] = class_rollup("odd_features", LIGHT)
 
 CTES["hist"] = f"""
 SELECT "window", qfi, {counted(bin_of('((hop_latency_ns >> 10) & 65535)', LAT_EDGES), 'lat')}
@@ -416,6 +429,14 @@ SELECT 'ep' || event_id AS episode_id, 'run_' || event_id || '.log' AS source, e
   lower(to_hex(user_id + 4096)) AS b, user_id % 9 + 1 AS q
 FROM events"""
 
+def tree_case(tree: dict, names: list[str], node: int = 0) -> str:
+    """A tree as nested CASE; splits are compared in single precision."""
+    if tree["left"][node] < 0:
+        return f"{tree['value'][node]!r}e0"
+    sides = (tree_case(tree, names, tree[side][node]) for side in ("left", "right"))
+    return f"CASE WHEN CAST({names[tree['feature'][node]]} AS FLOAT) < CAST({tree['value'][node]!r}e0 AS FLOAT) THEN {' ELSE '.join(sides)} END"
+
+
 CTES["watch_packets"] = """
 SELECT packet_id, teid + 3232246784 AS src_addr, qfi + 3232246800 AS dst_addr, packet_id % 65536 AS src_port,
   packet_length % 4096 AS dst_port, packet_length, hop_latency_ns
@@ -430,17 +451,17 @@ WATCH_ON = (
 )
 
 
-def sql(select: str) -> str:
+def sql(select: str, ctes: dict[str, str] = CTES) -> str:
     """A query with the common table expressions it needs, in definition order."""
     needed: set[str] = set()
     todo = [select]
     while todo:
         text = todo.pop()
-        for name in CTES:
+        for name in ctes:
             if name not in needed and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
                 needed.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed]
+                todo.append(ctes[name])
+    parts = [f"{n} AS MATERIALIZED ({ctes[n]})" for n in ctes if n in needed]
     return (f"WITH {', '.join(parts)} " if parts else "") + select
 
 
@@ -530,6 +551,14 @@ SELECT CAST(bucket + qid * 16 AS INTEGER) AS "index",
   CAST(sum(green_cnt) AS BIGINT) || ';' || CAST(sum(yellow_cnt) AS BIGINT) AS "value",
   CAST(sum(green_cnt + yellow_cnt) AS BIGINT) AS total
 FROM cells WHERE "row" = 0 GROUP BY 1 ORDER BY total DESC, "index" LIMIT 20"""
+    q["register_dump_csv"] = """
+SELECT CAST(bucket + qid * 16 AS BIGINT) AS "index", CAST(sum(green_cnt) AS BIGINT) AS green, CAST(sum(yellow_cnt) AS BIGINT) AS yellow
+FROM cells WHERE "row" = 1 GROUP BY 1 HAVING sum(green_cnt + yellow_cnt) > 0"""
+    wide = [*LAT_EDGES, *(32000 + 4000 * i for i in range(1, 5))]
+    bins = ", ".join(f"count(*) FILTER (WHERE b = {i})" for i in range(12))
+    q["scan_wide_bins"] = sql(f"""
+SELECT "window", qid, "row", bucket, array_to_string([{bins}], ',') AS lat
+FROM (SELECT "window", egress_qid AS qid, "row", bucket, {bin_of('lat_q16', wide)} AS b FROM fwd) GROUP BY ALL""")
     q["clean_values"] = """
 SELECT event_id, CASE WHEN bad THEN -1 WHEN event_id % 10 = 4 THEN 9007199254740993 + event_id ELSE CAST(trunc(value) AS BIGINT) END AS key,
   CASE WHEN bad THEN 0 WHEN event_id % 10 = 4 THEN CAST(9007199254740993 + event_id AS DOUBLE) ELSE value END AS feature
@@ -546,6 +575,24 @@ FROM watch_packets p WHERE EXISTS (SELECT 1 FROM watch w WHERE {WATCH_ON})"""
     q["watchlist_counters"] = f"""
 SELECT entry_id, count(p.packet_id) AS packets, CAST(coalesce(sum(packet_length), 0) AS BIGINT) AS bytes
 FROM watch w LEFT JOIN watch_packets p ON {WATCH_ON} GROUP BY entry_id"""
+    q["watchlist_overlaps"] = """
+WITH p AS MATERIALIZED (SELECT event_id AS id, user_id % 8 AS teid, event_type, event_id % 65536 AS sp,
+    (64 + 13 * CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)) AS bytes FROM events),
+w AS MATERIALIZED (SELECT id * 5 + v AS entry_id, teid, event_type, sp, bytes % 4096 AS dp, (id * 7919 + v * 104729) % 1000 AS priority,
+    [65535, 65280, 0, 65535, 0][v + 1] AS spm, [65535, 65535, 65520, 0, 0][v + 1] AS dpm FROM p, range(5) t(v)),
+h AS (SELECT p.id, any_value(p.bytes) AS bytes, arg_min(w.entry_id, w.priority * 1000000000 + w.entry_id) AS entry_id
+  FROM p JOIN w ON p.teid = w.teid AND p.event_type = w.event_type AND (p.sp & w.spm) = (w.sp & w.spm)
+    AND (p.bytes % 4096 & w.dpm) = (w.dp & w.dpm) GROUP BY p.id)
+SELECT w.entry_id, count(h.id) AS packets, CAST(coalesce(sum(h.bytes), 0) AS BIGINT) AS bytes
+FROM w LEFT JOIN h USING (entry_id) GROUP BY w.entry_id"""
+    q["range_bin_overlaps"] = sql("""
+SELECT packet_id, CAST(coalesce((
+  SELECT arg_min(bin, priority * 1000000000000 + lo * 10000000 + hi * 10 + bin) FROM (
+    SELECT (l_orderkey + l_linenumber) % 6 AS qid, (l_orderkey * 131 + l_linenumber * 7919) % 60000 AS lo, l_linenumber % 8 AS bin,
+      (l_orderkey * 131 + l_linenumber * 7919) % 60000 + CAST(trunc(l_quantity) AS BIGINT) * 20 AS hi, l_partkey % 1000 AS priority
+    FROM lineitem) r
+  WHERE r.qid = egress_qid AND r.lo <= v AND v <= r.hi), 7) AS INTEGER) AS lat_bin
+FROM (SELECT packet_id, egress_qid, (hop_latency_ns >> 10) & 65535 AS v FROM packets)""")
     q["quantised_fields"] = """
 SELECT packet_id, ((hop_latency_ns * 1000) >> 10) & 65535 AS lat_q16,
   (((ingress_tstamp_ns >> 10) & 4294967295) - packet_id * 1000) & 65535 AS iat_q16,
@@ -597,6 +644,12 @@ SELECT teid, qfi, CAST(r AS INTEGER) AS "row", key_hex, crc, CAST(crc % 512 AS I
 FROM (SELECT *, lower(lpad(to_hex((teid << 8) | qfi), 10, '0')) AS key_hex,
   {crc('((r::BIGINT << 40) | (teid << 8) | qfi)')} AS crc FROM flows, range(4) t(r))"""
     q["cms_min_query"] = f'SELECT "window", teid, qfi, qid, {", ".join(MEASURES)} FROM recon'
+    q["cms_block_query"] = q["cms_min_query"]
+    q["cms_stored_query"] = f"""{q['cms_min_query']} WHERE qfi = 2 AND "window" BETWEEN 10 AND 49"""
+    q["switch_hash"] = f"""
+SELECT teid, qfi, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS crc, CAST(c % 512 AS INTEGER) AS bucket
+FROM (SELECT *, {crc16('((r::BIGINT << 38) | (teid << 6) | qfi)')} AS c FROM flows, range(3) t(r))"""
+    q["switch_min_query"] = sql(q["cms_min_query"], CTES | {"buckets": SWITCH_BUCKETS})
     q["window_pairing"] = """
 SELECT "window", teid, qfi, qid FROM flow_keys WHERE "window" IN
   (SELECT "window" FROM packets WHERE qfi = 1 AND teid = 3 AND meter_color <> 3)"""
@@ -637,6 +690,7 @@ WINDOW w AS (PARTITION BY qfi, teid ORDER BY "window" ROWS BETWEEN 5 PRECEDING A
     q["qfi_rollup"] = (
         f"SELECT {KEY}, {fixed_columns(LIGHT + ['qfi_bw_total'])} FROM light_classes"
     )
+    q["qfi_valid"] = f"SELECT {KEY}, {fixed_columns(['feat_bw_mbps', 'qfi_bw_total'])} FROM odd_classes WHERE qfi >= 0"
     q["qfi_concentration"] = f"""SELECT {KEY}, {fixed_columns(
         ['qfi_teid_hhi', 'qfi_teid_top1_share', 'qfi_teid_top2_share', 'qfi_frac_teids_active'])} FROM light_classes"""
     q["qfi_entropy"] = f"SELECT {KEY}, {fixed_columns(['qfi_share_entropy'])} FROM light_classes"
@@ -665,6 +719,14 @@ SELECT {KEY}, CAST({run_of('zl')} AS INTEGER) AS runlen FROM (SELECT {KEY}, rn,
 SELECT {KEY}, {fx('1e0 / (1e0 + exp(-m))')} AS score FROM (
   SELECT {KEY}, 25e-2 + {stump("count(*) FILTER (WHERE meter_color = 1) / CAST(count(*) AS DOUBLE)", '3e-1', '-15e-1', '125e-2')}
     + {stump('sum(packet_length)', '1e4', '-75e-2', '5e-1')} + 125e-3 AS m FROM packets GROUP BY ALL)"""
+    forest = large_model()
+    # Trees are added one after another; the margin of each row is a sum of a list.
+    margins = ", ".join(tree_case(t, ["yellow", "bytes"]) for t in forest["trees"])
+    q["tree_score_large"] = f"""
+SELECT {KEY}, {fx('1e0 / (1e0 + exp(-m))')} AS score FROM (
+  SELECT {KEY}, list_reduce([{forest['base_margin']!r}e0, {margins}], lambda a, b: a + b) AS m FROM (
+    SELECT {KEY}, count(*) FILTER (WHERE meter_color = 1) / CAST(count(*) AS DOUBLE) AS yellow, CAST(sum(packet_length) AS DOUBLE) AS bytes
+    FROM packets GROUP BY ALL))"""
     events = f"{KEY}, {fixed_columns(['score', 'thr'])}, pred"
     q["threshold_join"] = f"SELECT {events} FROM scored"
     q["debounce"] = f"SELECT {events}, debounced FROM event_rows"
@@ -723,9 +785,13 @@ SELECT host_timestamp_ns // 1000000000 AS second, count(*) AS total, count(*) FI
 FROM cards GROUP BY ALL"""
     q["stream_stats_1s"] = q["postcard_stats_1s"]
     q["stream_alarms"] = q["debounce"]
+    # Snapshots exist for windows with a cell.
     q["detect_files"] = f"""{q['detect_events']}
-WHERE "window" IN (SELECT DISTINCT "window" FROM cells ORDER BY 1 LIMIT 60)"""
-    q["stream_detect"] = q["detect_events"]
+WHERE "window" IN (SELECT "window" FROM sketch)"""
+    q["stream_detect"] = q["detect_files"]
+    q["stream_episodes"] = q["episodes"]
+    q["stream_thresholds"] = q["rolling_threshold"]
+    q["postcard_record_files"] = f"SELECT {big(WIRE + ['host_timestamp_ns'])} FROM cards"
 
     recursive = q.pop("debounce_inverting").replace("WITH RECURSIVE", "").strip()
     ranked = f'SELECT *, row_number() OVER (PARTITION BY qfi ORDER BY "window") AS rn FROM scored'

@@ -7,31 +7,36 @@ so that another engine's summation order cannot show.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import COLOR_RED, QFI_TO_QUEUE
 from ..functions import fields, hashing
 from ..functions import histogram as H
-from ..operators import alarms, classes, minquery, quality, rates, rolling, scoring, sketch, tunnels
+from ..operators import alarms, blocks, classes, minquery, quality, rates, rolling, scoring, sketch, tunnels
 from ..operators import packets as pk
 from ..plans import detection
 from ..plans import standin as S
 from ..plans.slices import previous_value
 from ..session import cut, scratch_path
-from ..sources import frames, injections, postcards, registers, settings, windows
-from ..streaming import alarms as stream_ops
+from ..sources import frames, injections, postcards, recordfiles, registers, settings, windows, windowstream
 from ..streaming import detect as stream_detection
+from ..streaming import episodes as stream_episodes_
+from ..streaming import thresholds as stream_limits
 from ..streaming.stats import stream_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 CONFIG = S.CONFIG
-# Windows of the run over files: that a run stops there is its feature.
-FIRST_WINDOWS = 60
+# Buckets and windows per folder of the stored table of blocks, and windows per batch of a stream.
+BUCKETS, RANGE_WINDOWS = 8, 16
+WINDOWS_PER_BATCH = 30
 GEOMETRY = CONFIG.geometry
 
 
@@ -141,6 +146,19 @@ def scan_sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.read_sketch(spark, folder, GEOMETRY).drop("position")
 
 
+@query
+def scan_wide_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of twelve latency bins, their columns in no order: bins are found in the files and put in the order of their numbers."""
+    geometry = replace(GEOMETRY, lat_bins=12)
+    edges = settings.same_bins([*S.LAT_EDGES, *(32000 + 4000 * i for i in range(1, 5))], S.IAT_EDGES, 8)
+    built = sketch.latency_histogram(S.packets(spark, sf_dir), edges, geometry)
+    shuffled = [f"lat{i}" for i in (10, 2, 11, 1, 0, 9, 3, 8, 4, 7, 5, 6)]
+    folder = scratch_path(spark, "wide")
+    windows.write_sketch(built.select("window", "qid", "row", "bucket", *shuffled, F.lit(0).alias("iat0")), folder)
+    cells = windows.folded(windows.read_sketch(spark, folder))
+    return cells.select("window", "qid", "row", "bucket", F.array_join(F.col("lat").cast("array<string>"), ",").alias("lat"))
+
+
 @query
 def scan_flow_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "keys")
@@ -233,6 +251,14 @@ def postcard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postcards.decode_records(cut(stored, "records"))
 
 
+@query
+def postcard_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of packed records, written and read by ranges of 1,000 records."""
+    folder = scratch_path(spark, "record-files")
+    recordfiles.write_records(S.packets(spark, sf_dir).select(*[c.cast("bigint").alias(n) for n, c in _postcard_fields().items()]), folder)
+    return recordfiles.read_records(spark, folder, 1_000)
+
+
 @query
 def postcard_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("packet_id") % 20 == 3, F.lit("[Pcap] pkts=1 drops=0 freeze=0")).otherwise(
@@ -355,6 +381,17 @@ def register_nonzero_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.top_entries(dump, ["green", "yellow"], 20).select("index", "value", "total")
 
 
+@query
+def register_dump_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All non-zero pairs of a register, written as CSV and read back."""
+    cells = sketch.colors(S.packets(spark, sf_dir), GEOMETRY).where(F.col("row") == 1)
+    index = fields.namespaced_bucket(F.col("bucket"), F.col("qid"), GEOMETRY.width)
+    dump = cells.groupBy(index.cast("int").alias("index")).agg(F.sum("green_cnt").alias("green"), F.sum("yellow_cnt").alias("yellow"))
+    folder = scratch_path(spark, "dump")
+    registers.write_dump(dump, ["green", "yellow"], folder)
+    return registers.read_dump(spark, folder, ["green", "yellow"])
+
+
 # --- packets -------------------------------------------------------------------------------------
 
 
@@ -439,6 +476,45 @@ def watchlist_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.watchlist_counters(*_watched(spark, sf_dir))
 
 
+@query
+def watchlist_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five entries per packet under different masks, which overlap: each packet counts for the first it matches."""
+    sent, _ = _watched(spark, sf_dir)
+    some = sent.select("packet_id", "src_addr", "dst_addr", "protocol", "src_port", "dst_port", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("v"))
+
+    def mask(*values: int) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("v"))
+
+    entries = some.select(
+        (F.col("packet_id") * 5 + F.col("v")).alias("entry_id"),
+        *("src_addr", "dst_addr", "protocol"),
+        F.col("src_port").alias("src_port_value"),
+        mask(0xFFFF, 0xFF00, 0, 0xFFFF, 0).alias("src_port_mask"),
+        F.col("dst_port").alias("dst_port_value"),
+        mask(0xFFFF, 0xFFFF, 0xFFF0, 0, 0).alias("dst_port_mask"),
+        ((F.col("packet_id") * 7919 + F.col("v") * 104729) % 1000).alias("priority"),
+    )
+    return pk.watchlist_counters(sent, cut(entries, "entries"))
+
+
+@query
+def range_bin_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range per line item, dealt to six queues: ten thousand overlapping ranges a queue at the third scale factor."""
+    line, order = F.col("l_linenumber").cast("bigint"), F.col("l_orderkey").cast("bigint")
+    low = (order * 131 + line * 7919) % 60_000
+    ranges = S.read(spark, sf_dir, "lineitem").select(
+        ((order + line) % 6).cast("int").alias("qid"),
+        low.alias("lo"),
+        (low + F.col("l_quantity").cast("bigint") * 20).alias("hi"),
+        (line % 8).cast("int").alias("bin"),
+        (F.col("l_partkey") % 1000).cast("bigint").alias("priority"),
+    )
+    values = S.packets(spark, sf_dir).select(
+        "packet_id", F.col("egress_qid").alias("qid"), fields.latency_q16(F.col("hop_latency_ns")).alias("v")
+    )
+    return pk.range_bin(values, ranges, "v", 7, "lat_bin").select("packet_id", "lat_bin")
+
+
 @query
 def quantised_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     tick = fields.switch_tick(F.col("ingress_tstamp_ns"))
@@ -589,6 +665,40 @@ def cms_min_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minquery.min_query(built, S.keys(spark, sf_dir), GEOMETRY).drop("slice")
 
 
+@query
+def cms_block_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The min query over register blocks, flows of a queue dealt to four tasks."""
+    built = blocks.dense_blocks(S.sketch(spark, sf_dir), GEOMETRY)
+    return blocks.block_query(built, S.keys(spark, sf_dir), GEOMETRY, copies=4).drop("slice")
+
+
+@query
+def cms_stored_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The min query over a stored table of blocks, for the flows of class 2 in windows 10 to 49: other ranges are not read."""
+    table, built = f"blocks_{uuid.uuid4().hex}", blocks.dense_blocks(S.sketch(spark, sf_dir), GEOMETRY)
+    windows.save_blocks(built, table, BUCKETS, RANGE_WINDOWS, scratch_path(spark, "blocks"))
+    some = S.keys(spark, sf_dir).where("qfi = 2 AND window BETWEEN 10 AND 49")
+    found = blocks.block_query(spark.table(table), some, GEOMETRY, buckets=BUCKETS, range_windows=RANGE_WINDOWS)
+    return found.drop("slice")
+
+
+@query
+def switch_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The switch's own addressing of all flows."""
+    flows = S.packets(spark, sf_dir).select("teid", "qfi").distinct()
+    rows = flows.withColumn("row", F.expr("explode(sequence(0, 2))"))
+    args = ("teid", "qfi", "row")
+    return rows.select(*args, hashing.switch_crc(*args).cast("int").alias("crc"), hashing.switch_bucket(*args, 512).alias("bucket"))
+
+
+@query
+def switch_min_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch addressed as by the switch, and the min query on it."""
+    geometry = replace(GEOMETRY, hashing="switch")
+    built = cut(sketch.build(S.packets(spark, sf_dir), S.BINS, geometry, S.SLICE_US), "sketch")
+    return blocks.block_query(blocks.dense_blocks(built, geometry), S.keys(spark, sf_dir), geometry).drop("slice")
+
+
 @query
 def window_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Snapshots exist for windows with a forwarded packet of class 1, tunnel 3.
@@ -662,13 +772,16 @@ def teid_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_tunnel = S.packets(spark, sf_dir).groupBy("window", "qfi", "teid").agg(
+def _limit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.packets(spark, sf_dir).groupBy("window", "qfi", "teid").agg(
         (F.max("hop_latency_ns") / 1e6).alias("lat_p95_ms"),
         F.min("packet_length").cast("double").alias("iat_p10_us"),
     )
-    found = tunnels.rolling_thresholds(cut(per_tunnel, "tunnels"), CONFIG)
+
+
+@query
+def rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tunnels.rolling_thresholds(cut(_limit_inputs(spark, sf_dir), "tunnels"), CONFIG)
     return rounded(found.select("window", "qfi", "teid", "thr_lat_ms", "thr_iat_us"))
 
 
@@ -691,6 +804,14 @@ def qfi_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(data.select("window", "qfi", *columns, *medians, "qfi_bw_total"))
 
 
+@query
+def qfi_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes below zero, made of every third tunnel, are in no roll-up."""
+    odd = F.when(F.col("teid") % 3 == 1, -F.col("qfi")).otherwise(F.col("qfi"))
+    features = cut(exact_features(spark, sf_dir).withColumn("qfi", odd), "features")
+    return rounded(classes.aggregate_classes(features).select("window", "qfi", "feat_bw_mbps", "qfi_bw_total"))
+
+
 @query
 def qfi_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["qfi_teid_hhi", "qfi_teid_top1_share", "qfi_teid_top2_share", "qfi_frac_teids_active"]
@@ -779,13 +900,24 @@ def qfi_engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores, alarms, episodes --------------------------------------------------------------------
 
 
-@query
-def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A two-input ensemble over the color score and the bytes of a window."""
-    data = S.packets(spark, sf_dir).groupBy("window", "qfi").agg(
+def _score_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.packets(spark, sf_dir).groupBy("window", "qfi").agg(
         (F.count_if(F.col("meter_color") == 1) / F.count(F.lit(1))).alias("yellow"),
         F.sum("packet_length").cast("double").alias("bytes"),
     )
+
+
+@query
+def tree_score_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble of 5,040 nodes over the color score and the bytes of a window."""
+    scored = scoring.score(_score_inputs(spark, sf_dir), ["yellow", "bytes"], S.large_model())
+    return rounded(scored.select("window", "qfi", "score"))
+
+
+@query
+def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A two-input ensemble over the color score and the bytes of a window."""
+    data = _score_inputs(spark, sf_dir)
     model = {
         "base_margin": 0.25,
         "trees": [S.stump(0, 0.3, -1.5, 1.25), S.stump(1, 10000.0, -0.75, 0.5), S.stump(2, 0.5, 0.125, 9.0)],
@@ -894,7 +1026,7 @@ def detect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = written("model", {"learner": {"learner_model_param": {"base_score": "5E-1"}, "gradient_booster": {"model": {"trees": trees}}}})
 
     feat_cols, config = settings.read_bundle(spark, bundle, GEOMETRY, window_secs=CONFIG.window_secs)
-    snapshots = windows.read_first_windows(spark, f"{folder}/cms", FIRST_WINDOWS, GEOMETRY)
+    snapshots = windows.read_sketch(spark, f"{folder}/cms", GEOMETRY)
     flow_keys = windows.read_flow_keys(spark, f"{folder}/keys")
     found = detection.detect(snapshots, flow_keys, settings.read_bins(spark, bins), feat_cols, scoring.read_model(spark, model), config)
     windows.write_events(found, f"{folder}/events")
@@ -1003,24 +1135,62 @@ def stream_stats_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.unix_seconds("second").alias("second"), "total", "queued")
 
 
-def _scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "scored")
-    scored = scored_series(spark, sf_dir)
-    scored.write.parquet(folder)
-    return spark.readStream.schema(scored.schema).parquet(folder)
+def _window_files(table: DataFrame, folder: str) -> None:
+    """One parquet file per window; the number is in its name."""
+    named = table.withColumn("file", F.format_string("window_%d.parquet", "window"))
+    named.repartition("file").drop("window").write.partitionBy("file").parquet(folder)
+
+
+def _run_batches(writer: DataStreamWriter) -> None:
+    """Batch after batch until no window is left."""
+    started = writer.trigger(processingTime="0 seconds").start()
+    started.processAllAvailable()
+    started.stop()
+
+
+def _episode_stream(spark: SparkSession, sf_dir: str) -> stream_episodes_.EpisodeStream:
+    """The color score stepped in at least four batches, in window order."""
+    folder, scored = scratch_path(spark, "scored"), scored_series(spark, sf_dir)
+    _window_files(scored, folder)
+    files = windowstream.read_window_stream(spark, folder, WINDOWS_PER_BATCH)
+    rest = T.StructType([f for f in scored.schema.fields if f.name != "window"])
+    rows = windowstream.read_rows(files, rest, 4)
+    job = stream_episodes_.EpisodeStream(scratch_path(spark, "alarms"), CONFIG.debounce_k, CONFIG.debounce_h)
+    _run_batches(job.start(rows, scratch_path(spark, "alarms-progress")))
+    return job
 
 
 @query
 def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stepped = stream_ops.stream_alarms(
-        _scored_stream(spark, sf_dir), CONFIG.debounce_k, CONFIG.debounce_h
-    )
-    events = _run_stream(stepped, "alarms")
+    events = _episode_stream(spark, sf_dir).events(spark)
     return rounded(events.select("window", "qfi", "score", "thr", "pred", "debounced"))
 
 
+@query
+def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of the stream, those still open at its end included."""
+    return rounded(_episode_stream(spark, sf_dir).episodes(spark))
+
+
+@query
+def stream_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling thresholds from keyed state, in at least four batches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_limits.STATE_STORE)
+    folder = scratch_path(spark, "tunnels")
+    _window_files(_limit_inputs(spark, sf_dir), folder)
+    files = windowstream.read_window_stream(spark, folder, WINDOWS_PER_BATCH)
+    rest = T._parse_datatype_string("qfi int, teid bigint, lat_p95_ms double, iat_p10_us double")
+    found = stream_limits.stream_thresholds(windowstream.read_rows(files, rest, 4))
+    out = scratch_path(spark, "limits")
+    writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "limits-progress"))
+    _run_batches(writer)
+    limits = spark.read.schema(found.schema).parquet(out)
+    return rounded(limits.select("window", "qfi", "teid", "thr_lat_ms", "thr_iat_us"))
+
+
 @query
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection run over snapshot files in window order, in at least four batches."""
     snapshots, keys = scratch_path(spark, "cms"), scratch_path(spark, "keys")
     windows.write_sketch(S.sketch(spark, sf_dir), snapshots)
     windows.write_flow_keys(S.keys(spark, sf_dir), keys)
@@ -1028,8 +1198,6 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = stream_detection.DetectionStream(
         keys, scratch_path(spark, "state"), events, S.BINS, S.FEAT_COLS, S.MODEL, CONFIG
     )
-    # One batch takes every snapshot: files written together have no order among themselves.
-    source = stream_detection.read_sketch_stream(spark, snapshots, CONFIG, 1_000_000)
-    progress = scratch_path(spark, "progress")
-    job.start(source, progress).trigger(availableNow=True).start().awaitTermination()
+    files = windowstream.read_window_stream(spark, snapshots, WINDOWS_PER_BATCH)
+    _run_batches(job.start_files(files, scratch_path(spark, "progress")))
     return rounded(stream_detection.read_stream_events(spark, events).drop("batch"))

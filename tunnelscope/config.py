@@ -39,12 +39,16 @@ EWMA_ROWS = EWMA_UNIT * EWMA_UNITS
 
 @dataclass(frozen=True)
 class SketchGeometry:
-    """Shape of one sketch: hash rows, buckets per row, histogram bins."""
+    """Shape of one sketch: hash rows, buckets per row, histogram bins, and how flows are addressed.
+
+    ``hashing`` is ``crc32``, which flow queries use by default, or ``switch``, the addressing of register dumps.
+    """
 
     depth: int = DEFAULT_DEPTH
     width: int = DEFAULT_WIDTH
     lat_bins: int = 8
     iat_bins: int = 8
+    hashing: str = "crc32"
 
     @property
     def lat_columns(self) -> list[str]:

@@ -62,27 +62,33 @@ def debounce(
     )
 
 
-def episodes(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
-    """Runs of debounced rows per class.
+def episode_runs(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
+    """Rows of each class between rows that are off: (qfi, _episode, start_win, _off, peak_score, duration).
 
-    An episode ends one window before the first row that is off again, even if that window was not
-    observed; one that is still on ends at the last window of the whole table. A row belongs to
-    the episode numbered by the off rows before it, which also places the closing row there.
+    A row belongs to the run numbered by the off rows before it, which also places the closing row (``_off``) there. A run may have no row that is on.
     """
     off = F.when(F.col("debounced") == 0, 1).otherwise(0)
     numbered = running_total(
         events, ["qfi"], ["window"], _slice(slice_windows), off, "_episode", before=True
     )
     on = F.col("debounced") == 1
+    return numbered.groupBy("qfi", "_episode").agg(
+        F.min(F.when(on, F.col("window"))).alias("start_win"),
+        F.min(F.when(~on, F.col("window"))).alias("_off"),
+        F.max(F.when(on, F.col("score"))).alias("peak_score"),
+        F.count_if(on).cast("bigint").alias("duration"),
+    )
+
+
+def episodes(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
+    """Runs of debounced rows per class.
+
+    An episode ends one window before the first row that is off again, even if that window was not
+    observed; one that is still on ends at the last window of the whole table.
+    """
     last_window = events.select(F.max("window")).scalar()
     return (
-        numbered.groupBy("qfi", "_episode")
-        .agg(
-            F.min(F.when(on, F.col("window"))).alias("start_win"),
-            F.min(F.when(~on, F.col("window"))).alias("_off"),
-            F.max(F.when(on, F.col("score"))).alias("peak_score"),
-            F.count_if(on).cast("bigint").alias("duration"),
-        )
+        episode_runs(events, slice_windows)
         .where(F.col("duration") > 0)
         .select(
             "qfi",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SketchGeometry
 from ..functions.fields import whole_or
-from ..functions.hashing import cms_bucket, valid_flow_key
+from ..functions.hashing import flow_bucket, valid_flow_key
 
 FLOW_KEY = ["window", "teid", "qfi", "qid"]
 
@@ -67,7 +67,7 @@ def min_query(
         clean_flow_keys(keys)
         .where("valid")
         .withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
-        .withColumn("bucket", cms_bucket("teid", "qfi", "row", geometry.width))
+        .withColumn("bucket", flow_bucket("teid", "qfi", "row", geometry))
     )
     used = " OR ".join(f"{m} <> 0" for m in geometry.measures)
     found = probes.join(sketch.where(used), ["window", "qid", "row", "bucket"], "left")

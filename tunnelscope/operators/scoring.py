@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..functions.fields import finite_or_zero
 
-# Ensembles up to this many nodes become one generated expression; larger ones run on Arrow batches.
+# Ensembles up to this many nodes become one generated expression; larger ones are walked in arrays.
 EXPRESSION_NODES = 512
 
 
@@ -75,47 +74,49 @@ def score_by_expression(df: DataFrame, feat_cols: list[str], model: dict) -> Dat
     return df.withColumn("score", 1.0 / (1.0 + F.exp(-margin)))
 
 
-def score_by_batch(df: DataFrame, feat_cols: list[str], model: dict) -> DataFrame:
-    """Walk all rows of an Arrow batch down each tree at once."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        ensemble = shared.value
-        for columns in batches:
-            x = np.column_stack([c.to_numpy(dtype="float32") for c in columns])
-            rows = np.arange(len(x))
-            margin = np.full(len(x), ensemble["base_margin"])
-            for tree in ensemble["trees"]:
-                left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
-                feature = np.asarray(tree["feature"])
-                value = np.asarray(tree["value"], dtype="float64")
-                at = np.zeros(len(x), dtype="int64")
-                inner = left[at] >= 0
-                while inner.any():
-                    below = x[rows, feature[at]] < value[at].astype("float32")
-                    at = np.where(inner, np.where(below, left[at], right[at]), at)
-                    inner = left[at] >= 0
-                margin += value[at]
-            yield pd.Series(1.0 / (1.0 + np.exp(-margin)))
-
-    from pandas import Series
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    predict.__annotations__ = {
-        "batches": Iterator[tuple[Series, ...]],
-        "return": Iterator[Series],
-    }
-    udf = pandas_udf(predict, "double")
-    return df.withColumn("score", udf(*feature_vector(df, feat_cols)))
+def _depth(tree: dict) -> int:
+    """Splits on the longest way from the root."""
+    level, below = 0, [0]
+    while True:
+        below = [c for n in below if tree["left"][n] >= 0 for c in (tree["left"][n], tree["right"][n])]
+        if not below:
+            return level
+        level += 1
+
+
+def score_by_arrays(df: DataFrame, feat_cols: list[str], model: dict) -> DataFrame:
+    """Walk a row down all trees at once, one level after another.
+
+    The trees stand in flat arrays, which are one literal of the plan, so the plan has as many steps as the deepest tree has levels, however
+    many trees there are. Leaves lead to themselves.
+    """
+    roots, left, right, feature, value = [], [], [], [], []
+    for tree in model["trees"]:
+        base = len(left)
+        roots.append(base)
+        for n, (to_left, to_right) in enumerate(zip(tree["left"], tree["right"], strict=True)):
+            leaf = to_left < 0
+            left.append(base + (n if leaf else to_left))
+            right.append(base + (n if leaf else to_right))
+            feature.append(0 if leaf else tree["feature"][n])
+            value.append(float(tree["value"][n]))
+    flat = json.dumps({"roots": roots, "left": left, "right": right, "feature": feature, "value": value})
+    forest = "struct<roots:array<int>,left:array<int>,right:array<int>,feature:array<int>,value:array<double>>"
+    # A literal, so the optimiser reads it once, and no row carries it.
+    trees = f"from_json('{flat}', '{forest}')"
+    x = F.array(*[c.cast("float") for c in feature_vector(df, feat_cols)]) if feat_cols else F.array(F.lit(0.0).cast("float"))
+    at = f"{trees}.roots"
+    for _ in range(max((_depth(t) for t in model["trees"]), default=0)):
+        goes_left = f"get(_x, get({trees}.feature, n)) < CAST(get({trees}.value, n) AS FLOAT)"
+        at = f"transform({at}, n -> IF({goes_left}, get({trees}.left, n), get({trees}.right, n)))"
+    margin = F.expr(f"aggregate({at}, {float(model['base_margin'])!r}D, (sum, n) -> sum + get({trees}.value, n))")
+    return df.withColumn("_x", x).withColumn("score", 1.0 / (1.0 + F.exp(-margin))).drop("_x")
 
 
 def score(df: DataFrame, feat_cols: list[str], model: dict) -> DataFrame:
     """Add ``score``, the probability of an anomaly."""
     nodes = sum(len(t["left"]) for t in model["trees"])
-    chosen = score_by_expression if nodes <= EXPRESSION_NODES else score_by_batch
+    chosen = score_by_expression if nodes <= EXPRESSION_NODES else score_by_arrays
     return chosen(df, feat_cols, model)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import COLOR_GREEN, COLOR_RED, COUNTERS, BinEdges, SketchGeometry
 from ..functions.fields import iat_q16, latency_q16, register_queue, switch_tick
-from ..functions.hashing import cms_bucket
+from ..functions.hashing import flow_bucket
 from ..functions.histogram import bin_index
 from ..plans.slices import previous_value
 
@@ -31,7 +31,7 @@ def _numbered(packets: DataFrame) -> DataFrame:
 def _spread(flows: DataFrame, geometry: SketchGeometry) -> DataFrame:
     """One row per hash row, with the bucket the flow falls into."""
     rows = flows.withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
-    return rows.withColumn("bucket", cms_bucket("teid", "qfi", "row", geometry.width))
+    return rows.withColumn("bucket", flow_bucket("teid", "qfi", "row", geometry))
 
 
 def _to_cells(per_flow: DataFrame, geometry: SketchGeometry, measures: list[str]) -> DataFrame:

@@ -64,6 +64,23 @@ MODEL = {
 }
 
 
+def large_model(trees: int = 80, levels: int = 5) -> dict:
+    """Full trees over two features, a share and a byte count, by rule: 5,040 nodes."""
+    inner, nodes = 2**levels - 1, 2 ** (levels + 1) - 1
+    found = []
+    for t in range(trees):
+        feature = [(t + n) % 2 if n < inner else 0 for n in range(nodes)]
+        splits = [((t * 29 + n * 11) % 101) * 400.0 if feature[n] else (t * 31 + n * 17) % 97 / 97 for n in range(inner)]
+        leaves = [((t * 13 + n * 7) % 21 - 10) / 64 for n in range(inner, nodes)]
+        found.append({
+            "left": [2 * n + 1 if n < inner else -1 for n in range(nodes)],
+            "right": [2 * n + 2 if n < inner else -1 for n in range(nodes)],
+            "feature": feature,
+            "value": splits + leaves,
+        })
+    return {"base_margin": 0.25, "trees": found}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

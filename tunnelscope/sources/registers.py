@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,10 @@ def write_dump(registers: DataFrame, columns: list[str], folder: str) -> None:
     """Non-zero entries as CSV with the header ``index,value``, largest first."""
     ordered = nonzero(registers, columns).orderBy(F.desc("total"), "index")
     ordered.select("index", "value").write.option("header", True).csv(folder)
+
+
+def read_dump(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """A dump from ``write_dump``: ``index`` and one column per counter of an entry."""
+    text = spark.read.option("header", True).schema("index bigint, value string").csv(folder)
+    parts = F.split("value", ";")
+    return text.select("index", *[F.get(parts, F.lit(i)).cast("bigint").alias(c) for i, c in enumerate(columns)])

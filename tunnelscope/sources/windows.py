@@ -128,6 +128,11 @@ def read_first_windows(
     paths = [r.path for r in files.join(first, "window", "left_semi").collect()]
     if not paths:
         raise ValueError(f"{folder} has no snapshots")
+    return read_files(spark, paths, geometry)
+
+
+def read_files(spark: SparkSession, paths: list[str], geometry: SketchGeometry | None = None) -> DataFrame:
+    """Snapshots of the given files, which may differ in columns and types."""
     try:
         groups = [_merged(spark, paths)]
     except Exception as e:
@@ -177,6 +182,18 @@ def save_compacted(sketch: DataFrame, table: str, buckets: int, path: str | None
     writer.saveAsTable(table)
 
 
+def save_blocks(blocks: DataFrame, table: str, buckets: int, range_windows: int, path: str | None = None) -> None:
+    """Register blocks as a table: a folder per ``range_windows`` windows, bucketed by (window, queue) in each.
+
+    ``blocks.block_query`` joins it without a shuffle of the blocks and skips the folders of ranges that have no keys.
+    """
+    ranged = blocks.withColumn("window_range", F.floor(F.col("window") / range_windows))
+    writer = ranged.repartition(buckets, "window", "qid").write.partitionBy("window_range").bucketBy(buckets, "window", "qid").sortBy("window", "qid")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def duplicate_cells(sketch: DataFrame) -> DataFrame:
     """Cells that a snapshot holds more than once; a register dump has none."""
     cell = ["window", "qid", "row", "bucket"]
