@@ -133,11 +133,30 @@ def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+# Spans of up to this many bytes are compared by words.
+_WORD_SPAN = 32
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; behind the end are zeros."""
+    padded = np.concatenate([data, np.zeros(_WORD_SPAN + 8, np.uint8)])
+    return np.ndarray(len(data) + _WORD_SPAN, "<u8", padded, strides=(1,))
+
+
 def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Whether each span of ``data`` has the bytes of the span ``at`` to ``to`` of ``others``."""
     lengths = ends - starts
     same = lengths == to - at
-    some = np.flatnonzero(same & (lengths > 0))
+    if not len(same):
+        return same
+    left = _words(data)
+    right = left if others is data else _words(others)
+    for k in range(0, _WORD_SPAN, 8):
+        some = np.flatnonzero(same & (lengths > k)) if k else slice(None)
+        n = np.clip(lengths[some] - k, 0, 8)
+        same[some] &= (left[starts[some] + k] ^ right[np.minimum(at[some], len(others)) + k]) & _LOW_BYTES[n] == 0
+    some = np.flatnonzero(same & (lengths > _WORD_SPAN))
     if len(some):
         n = lengths[some]
         equal = data[spans_of(starts[some], n)] == others[spans_of(at[some], n)]

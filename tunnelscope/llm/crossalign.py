@@ -90,55 +90,64 @@ class Spelling:
         self.at = np.cumsum(self.length) - self.length
         self.data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.spaced = np.array([t[:1] == b" " for t in tokens], dtype=bool)
-        self.lengths = self.length.tolist()
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         return self.data[spans_of(self.at[ids], self.length[ids])]
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    values.sort()
+    at = np.flatnonzero(np.append(np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 class Windows:
-    """Alignments of windows by their ids: text of the groups, and linked pairs under numbers of this worker."""
+    """Alignments of windows by their ids: text of the groups, and the linked pairs (A id, then B id in the low 32 bits)."""
 
     def __init__(self, a: Spelling, b: Spelling):
         self.a, self.b = a, b
+        digits = [str(i).encode() for i in range(max(len(a.length), len(b.length)))]
+        self.digits = Spelling(digits)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.links, self.first = array("i"), array("q", [0])
-        self.numbers: dict[int, int] = {}
-        self.keys = array("q")
+        self.links, self.first = array("q"), array("q", [0])
 
     def full(self) -> bool:
         return len(self.texts) > MEMO_WINDOWS or len(self.links) > MEMO_LINKS
 
-    def add(self, key: bytes, a: list[int], b: list[int]) -> int:
-        i = j = from_a = from_b = 0
-        end_a, end_b = self.a.lengths[a[0]], self.b.lengths[b[0]]
-        groups = []
-        while True:
-            pair = a[i] << 32 | b[j]
-            number = self.numbers.get(pair)
-            if number is None:
-                number = self.numbers[pair] = len(self.keys)
-                self.keys.append(pair)
-            self.links.append(number)
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a):
-                    break
-            if step_a:
-                end_a += self.a.lengths[a[i]]
-            if step_b:
-                end_b += self.b.lengths[b[j]]
-        self.texts.append(";".join(groups))
-        self.first.append(len(self.links))
-        found = self.known[key] = len(self.texts) - 1
-        return found
+    def add(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Aligns new windows, one after another in ``a`` and ``b`` with ``n_a`` and ``n_b`` ids each.
+
+        Both sides of a window have the same bytes, so windows can stand behind each other. Between two neighbouring ends of
+        either side lies one token of each: that is a link, and there is one such stretch for each.
+        """
+        end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        ends = _counted(np.concatenate([end_a, end_b]))[0]
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        linked = a[at_a].astype(np.int64) << 32 | b[at_b]
+        until = np.searchsorted(ends, end_a[np.cumsum(n_a) - 1], side="right")
+        self.first.frombytes((len(self.links) + until).astype(np.int64).tobytes())
+        self.links.frombytes(linked.tobytes())
+        # Groups as text: ids of A and then of B, each with the sign that follows it.
+        shared = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
+        of_a, of_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        upto_a, upto_b = np.cumsum(np.bincount(of_a)), np.cumsum(np.bincount(of_b))
+        place_a, place_b = np.arange(len(a)) + np.append(0, upto_b)[of_a], np.arange(len(b)) + upto_a[of_b]
+        ids, sign = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        sign[place_a[shared[of_a] == end_a]] = ord("|")
+        sign[place_b[shared[of_b] == end_b]] = ord(";")
+        length = self.digits.length[ids]
+        to = np.cumsum(length + 1)
+        out = np.empty(to[-1], np.uint8)
+        out[spans_of(to - length - 1, length)] = self.digits.spelled(ids)
+        out[to - 1] = sign
+        text, cuts = out.tobytes().decode(), to[np.cumsum(n_a + n_b) - 1].tolist()
+        self.texts += [text[x : y - 1] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 class Aligned:
@@ -175,14 +184,20 @@ class Aligned:
         spaced |= shared == row_ends[row_of] if len(rows) else False
         to_a, to_b, row_of = at_a[spaced] + 1, at_b[spaced] + 1, row_of[spaced]
         raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-        known, found, x, y = memo.known, [], 0, 0
-        for u, v in zip(to_a.tolist(), to_b.tolist(), strict=True):
+        known, found, new, x, y = memo.known, [], [], 0, 0
+        number = len(memo.texts)
+        for i, (u, v) in enumerate(zip(to_a.tolist(), to_b.tolist(), strict=True)):
             key = raw_a[4 * x : 4 * u] + _SEPARATOR + raw_b[4 * y : 4 * v]
-            number = known.get(key)
-            if number is None:
-                number = memo.add(key, ids_a[x:u].tolist(), ids_b[y:v].tolist())
-            found.append(number)
+            k = known.get(key)
+            if k is None:
+                k = known[key] = number
+                number += 1
+                new.append(i)
+            found.append(k)
             x, y = u, v
+        if new:
+            n_a, n_b = np.diff(to_a, prepend=0)[new], np.diff(to_b, prepend=0)[new]
+            memo.add(ids_a[spans_of(to_a[new] - n_a, n_a)], n_a, ids_b[spans_of(to_b[new] - n_b, n_b)], n_b)
         window = np.array(found, dtype=np.int64)
         texts = [memo.texts[k] for k in found]
         bounds = np.searchsorted(row_of, np.arange(len(rows) + 1)).tolist()
@@ -191,16 +206,15 @@ class Aligned:
             self.groups[row] = ";".join(texts[bounds[k] : bounds[k + 1]])
         first = np.frombuffer(memo.first, np.int64)
         n_links = np.diff(first)[window]
-        self.n_links = np.zeros(self.n, np.int64)
-        np.add.at(self.n_links, rows[row_of], n_links)
-        pool = np.frombuffer(memo.links, np.int32) if len(memo.links) else np.zeros(0, np.int32)
-        links = pool[spans_of(first[window], n_links)].astype(np.int64)
+        pool = np.frombuffer(memo.links, np.int64) if len(memo.links) else np.zeros(0, np.int64)
+        links = pool[spans_of(first[window], n_links)]
         del first, pool
-        n_pairs = max(1, len(memo.keys))
-        codes, self.times = np.unique(np.repeat(rows[row_of], n_links) * n_pairs + links, return_counts=True)
-        row, number = codes // n_pairs, codes % n_pairs
-        held, self.links, self.docs = np.unique(number, return_inverse=True, return_counts=True)
-        self.keys = np.array(memo.keys, dtype=np.int64)[held]
+        row = np.repeat(rows[row_of], n_links)
+        self.n_links = np.bincount(row, minlength=self.n)
+        self.keys, place = np.unique(links, return_inverse=True)
+        codes, self.times = _counted(row * max(1, len(self.keys)) + place)
+        row, self.links = np.divmod(codes, max(1, len(self.keys)))
+        self.docs = np.bincount(self.links, minlength=len(self.keys))
         self.row_links = np.append(0, np.cumsum(np.bincount(row, minlength=self.n)))
 
 
