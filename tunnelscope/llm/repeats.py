@@ -28,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
 from .buffers import Rolling, mixed, spans_of, text_slices
+from .scans import partitions_of
 
 LENGTH = 400
 # Bytes whose hash makes a minimizer.
@@ -313,38 +315,81 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return in_groups.unionByName(in_large).unionByName(whole)
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans or []):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Maximal runs of rows (start, end) sorted by start; runs that touch are one."""
+    if not len(spans):
+        return spans
+    upto = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.append(True, spans[1:, 0] > upto[:-1]))
+    return np.stack([spans[first, 0], upto[np.append(first[1:], len(spans)) - 1]], axis=1)
+
+
+def _runs_of(cell: pa.Scalar) -> list[tuple[int, int]]:
+    raw = cell.as_buffer()
+    return [] if raw is None else [tuple(r) for r in np.frombuffer(raw, "<i4").reshape(-1, 2).tolist()]
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """One row per text (key, _spans): its maximal runs as pairs of little-endian 32-bit integers.
+
+    Spans stream by in order; what is held is the runs of one text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, np.zeros((0, 2), np.int32)
+        for batch in batches:
+            n, keys = batch.num_rows, batch.column(0)
+            if not n:
+                continue
+            both = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            change = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1
+            out = []
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
+                key = keys[lo].as_py()
+                if key != held_key:
+                    if held_key is not None:
+                        out.append((held_key, held.astype("<i4").tobytes()))
+                    held_key, held = key, held[:0]
+                held = _merged(np.concatenate([held, both[lo:hi]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["key", "_spans"])
+        if held_key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (held_key, held.astype("<i4").tobytes())], ["key", "_spans"])
+
+    return spans.select("key", "start", "end").repartition(partitions_of(spans), "key").sortWithinPartitions("key", "start", "end").mapInArrow(run, "key binary, _spans binary")
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` as the struct ``_row``, and the spans of its text."""
-    spans = cut(find_repeats(docs, length), "repeats")
-    lists = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    """``docs`` as the struct ``_row``, and the runs of its text (null: none).
+
+    The runs are one small row per text and are looked up from a hash table, so texts are shuffled but not sorted.
+    """
+    runs = cut(merged_spans(cut(find_repeats(docs, length), "repeats")), "runs").hint("shuffle_hash")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), _key(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
-    return rows.join(lists, "key", "left").drop("key")
+    return rows.join(runs, "key", "left").drop("key")
+
+
+# Bytes of text after which a task hands on what it has.
+OUT_BYTES = 1 << 20
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes)."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = memoryview(text.as_buffer() or b"")
-                merged = _merged(spans)
-                kept = [raw[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(raw)], strict=True)]
-                out.append((len(raw), sum(e - s for s, e in merged), len(merged), b"".join(kept)))
-            if out:
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            out, first, size = [], 0, 0
+            for i in range(batch.num_rows):
+                raw = memoryview(batch.column(1)[i].as_buffer() or b"")
+                runs = _runs_of(batch.column(2)[i])
+                kept = [raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True)]
+                out.append((len(raw), sum(e - s for s, e in runs), len(runs), b"".join(kept)))
+                size += len(raw)
+                if size >= OUT_BYTES or i + 1 == batch.num_rows:
+                    columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out, first, size = [], i + 1, 0
 
     rows = _with_spans(docs.select("doc_id", "text"), length).select("_row.doc_id", F.col("_text").cast("binary").alias("_text"), "_spans")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
@@ -359,21 +404,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if not spans:
-                    out.append(None)
-                    continue
-                raw, at, kept = text.as_buffer().to_pybytes(), 0, []
-                for s, e in _merged(spans):
+            out, first, size = [], 0, 0
+            for i in range(batch.num_rows):
+                text, runs = batch.column(1)[i], _runs_of(batch.column(2)[i])
+                raw, at, kept = text.as_buffer().to_pybytes() if runs else b"", 0, []
+                for s, e in runs:
                     while s < e and raw[s] & 0xC0 == 0x80:
                         s += 1
                     while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
                         e -= 1
                     kept.append(raw[at:s])
                     at = e
-                out.append(b"".join([*kept, raw[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_row", "_cut"])
+                out.append(b"".join([*kept, raw[at:]]).decode() if runs else None)
+                size += len(raw)
+                if size >= OUT_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), pa.array(out, pa.string())], ["_row", "_cut"])
+                    out, first, size = [], i + 1, 0
 
     rows = _with_spans(docs, length)
     schema = T.StructType([rows.schema["_row"], T.StructField("_cut", T.StringType())])
