@@ -785,6 +785,11 @@ SELECT host_timestamp_ns // 1000000000 AS second, count(*) AS total, count(*) FI
 FROM cards GROUP BY ALL"""
     q["stream_stats_1s"] = q["postcard_stats_1s"]
     q["stream_alarms"] = q["debounce"]
+    def device(d: int) -> str:
+        own = CTES | {"packets": f"{CTES['packets']} WHERE event_id % 2 = {d}"}
+        return f"""SELECT '{d}' AS run, * FROM ({sql(q['detect_events'] + ' WHERE "window" IN (SELECT "window" FROM sketch)', own)})"""
+
+    q["detect_runs"] = f"WITH devices AS ({device(0)} UNION ALL {device(1)}) SELECT * FROM devices"
     # Snapshots exist for windows with a cell.
     q["detect_files"] = f"""{q['detect_events']}
 WHERE "window" IN (SELECT "window" FROM sketch)"""

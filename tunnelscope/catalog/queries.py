@@ -1033,6 +1033,21 @@ def detect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.read_events(spark, f"{folder}/events"))
 
 
+@query
+def detect_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots and keys of two devices in one folder: each device is detected as if it were alone."""
+    folder = scratch_path(spark, "devices")
+    for device in (0, 1):
+        sent = cut(S.packets(spark, sf_dir).where(F.col("packet_id") % 2 == device), "packets")
+        built = sketch.build(sent, S.BINS, GEOMETRY, S.SLICE_US)
+        windows.write_sketch(built, f"{folder}/cms/device_{device}")
+        windows.write_flow_keys(sketch.flow_keys(sent), f"{folder}/keys/device_{device}")
+    pattern, config = r"/device_(\d+)/", replace(CONFIG, run=("run",))
+    snapshots = windows.read_sketch(spark, f"{folder}/cms", GEOMETRY, pattern)
+    keys = windows.read_flow_keys(spark, f"{folder}/keys", pattern)
+    return rounded(detection.detect(snapshots, keys, S.BINS, S.FEAT_COLS, S.MODEL, config))
+
+
 @query
 def detect_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alarms.episodes(cut(full_events(spark, sf_dir), "events"))

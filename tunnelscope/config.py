@@ -89,7 +89,10 @@ COUNTERS = ["pkt_cnt", "byte_cnt", "green_cnt", "yellow_cnt", "drop_cnt"]
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Everything a detection run needs besides its input tables."""
+    """Everything a detection run needs besides its input tables.
+
+    ``run`` names the columns that tell series of several devices or recordings apart; each is detected as if it were alone.
+    """
 
     geometry: SketchGeometry = field(default_factory=SketchGeometry)
     window_secs: float = 1.0
@@ -104,3 +107,4 @@ class PipelineConfig:
     thr_map: dict[int, float] = field(default_factory=dict)
     debounce_k: int = 1
     debounce_h: float = 1.0
+    run: tuple[str, ...] = ()

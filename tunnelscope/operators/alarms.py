@@ -62,17 +62,17 @@ def debounce(
     )
 
 
-def episode_runs(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
+def episode_runs(events: DataFrame, slice_windows: int = 4096, run: tuple[str, ...] = ()) -> DataFrame:
     """Rows of each class between rows that are off: (qfi, _episode, start_win, _off, peak_score, duration).
 
     A row belongs to the run numbered by the off rows before it, which also places the closing row (``_off``) there. A run may have no row that is on.
     """
     off = F.when(F.col("debounced") == 0, 1).otherwise(0)
     numbered = running_total(
-        events, ["qfi"], ["window"], _slice(slice_windows), off, "_episode", before=True
+        events, [*run, "qfi"], ["window"], _slice(slice_windows), off, "_episode", before=True
     )
     on = F.col("debounced") == 1
-    return numbered.groupBy("qfi", "_episode").agg(
+    return numbered.groupBy(*run, "qfi", "_episode").agg(
         F.min(F.when(on, F.col("window"))).alias("start_win"),
         F.min(F.when(~on, F.col("window"))).alias("_off"),
         F.max(F.when(on, F.col("score"))).alias("peak_score"),
@@ -80,17 +80,23 @@ def episode_runs(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
     )
 
 
-def episodes(events: DataFrame, slice_windows: int = 4096) -> DataFrame:
+def episodes(events: DataFrame, slice_windows: int = 4096, run: tuple[str, ...] = ()) -> DataFrame:
     """Runs of debounced rows per class.
 
     An episode ends one window before the first row that is off again, even if that window was not
-    observed; one that is still on ends at the last window of the whole table.
+    observed; one that is still on ends at the last window of the whole table, or of its run.
     """
-    last_window = events.select(F.max("window")).scalar()
+    found = episode_runs(events, slice_windows, run).where(F.col("duration") > 0)
+    if run:
+        # One row per device or recording.
+        found = found.join(events.groupBy(*run).agg(F.max("window").alias("_last")), [*run])
+        last_window = F.col("_last")
+    else:
+        last_window = events.select(F.max("window")).scalar()
     return (
-        episode_runs(events, slice_windows)
-        .where(F.col("duration") > 0)
+        found
         .select(
+            *run,
             "qfi",
             "start_win",
             F.coalesce(F.col("_off") - 1, last_window).cast("int").alias("end_win"),

@@ -73,26 +73,27 @@ def rollup_rules(columns: list[str]) -> tuple[dict[str, Column], list[str]]:
     return direct, medians
 
 
-def aggregate_classes(features: DataFrame, decimals: int | None = 12) -> DataFrame:
+def aggregate_classes(features: DataFrame, decimals: int | None = 12, run: tuple[str, ...] = ()) -> DataFrame:
     """One row per (window, class) from tunnel features.
 
     Everything that combines map-side is one aggregation. The runner-up tunnel and the medians need
     an order; they come from plans that never bring a whole class into one task. ``features`` is
     read three times: pass a table written with ``session.cut``.
     """
+    keys = [*run, *CLASS]
     valid = features.where(F.col("qfi") >= 0)
     direct, median_columns = rollup_rules(features.columns)
     sums = {**direct, **concentration(), **colored_bandwidth()}
-    out = valid.groupBy(*CLASS).agg(*[c.alias(n) for n, c in sums.items()])
-    second = runner_up(valid, CLASS, "feat_bw_mbps", "teid", "_second")
-    out = out.join(second, CLASS, "left")
+    out = valid.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+    second = runner_up(valid, keys, "feat_bw_mbps", "teid", "_second")
+    out = out.join(second, keys, "left")
     if median_columns:
-        out = out.join(grouped_medians(valid, CLASS, median_columns), CLASS, "left")
+        out = out.join(grouped_medians(valid, keys, median_columns), keys, "left")
     top2 = _zero_unless(F.col("qfi_bw_total"), F.col("_second") / F.col("qfi_bw_total"))
     out = out.withColumn("qfi_teid_top2_share", top2)
     names = [c for c in features.columns if c.startswith("feat_")] + CLASS_COLUMNS
     if decimals is None:
-        return out.select(*CLASS, *[F.col(c).cast("double").alias(c) for c in names])
+        return out.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
     return out.select(
-        *CLASS, *[fixed(f"CAST({c} AS DOUBLE)", decimals).alias(c) for c in names]
+        *keys, *[fixed(f"CAST({c} AS DOUBLE)", decimals).alias(c) for c in names]
     )

@@ -12,7 +12,7 @@ from ..functions.hashing import flow_bucket, valid_flow_key
 FLOW_KEY = ["window", "teid", "qfi", "qid"]
 
 
-def clean_sketch(sketch: DataFrame, geometry: SketchGeometry) -> DataFrame:
+def clean_sketch(sketch: DataFrame, geometry: SketchGeometry, run: tuple[str, ...] = ()) -> DataFrame:
     """Whole-number columns: bad keys become -1, bad or missing measures 0."""
     missing = [c for c in ("window", "qid", "row", "bucket") if c not in sketch.columns]
     if missing:
@@ -24,15 +24,16 @@ def clean_sketch(sketch: DataFrame, geometry: SketchGeometry) -> DataFrame:
         for m in geometry.measures
     ]
     place = ["position"] if "position" in sketch.columns else []
-    return sketch.select(F.col("window").cast("int").alias("window"), *keys, *measures, *place)
+    return sketch.select(*run, F.col("window").cast("int").alias("window"), *keys, *measures, *place)
 
 
-def clean_flow_keys(keys: DataFrame) -> DataFrame:
+def clean_flow_keys(keys: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     """Whole-number keys with bad values as -1, and ``valid`` for those that can be hashed."""
     missing = [c for c in FLOW_KEY if c not in keys.columns]
     if missing:
         raise ValueError(f"flow-key table lacks columns {missing}")
     typed = keys.select(
+        *run,
         F.col("window").cast("int").alias("window"),
         whole_or(keys, "teid", -1).alias("teid"),
         whole_or(keys, "qfi", -1).cast("int").alias("qfi"),
@@ -52,7 +53,11 @@ def rejected_flow_keys(keys: DataFrame) -> DataFrame:
 
 
 def min_query(
-    sketch: DataFrame, keys: DataFrame, geometry: SketchGeometry, slice_windows: int = 4096
+    sketch: DataFrame,
+    keys: DataFrame,
+    geometry: SketchGeometry,
+    slice_windows: int = 4096,
+    run: tuple[str, ...] = (),
 ) -> DataFrame:
     """Estimate of every measure for every flow: its smallest counter over the hash rows.
 
@@ -64,16 +69,16 @@ def min_query(
     tunnel that never goes away is still spread over its slices.
     """
     probes = (
-        clean_flow_keys(keys)
+        clean_flow_keys(keys, run)
         .where("valid")
         .withColumn("row", F.expr(f"explode(sequence(0, {geometry.depth - 1}))"))
         .withColumn("bucket", flow_bucket("teid", "qfi", "row", geometry))
     )
     used = " OR ".join(f"{m} <> 0" for m in geometry.measures)
-    found = probes.join(sketch.where(used), ["window", "qid", "row", "bucket"], "left")
+    found = probes.join(sketch.where(used), [*run, "window", "qid", "row", "bucket"], "left")
     return (
         found.withColumn("slice", F.floor(F.col("window") / slice_windows).cast("int"))
-        .repartition("qfi", "teid", "slice")
-        .groupBy("slice", *FLOW_KEY)
+        .repartition(*run, "qfi", "teid", "slice")
+        .groupBy("slice", *run, *FLOW_KEY)
         .agg(*[F.expr(f"min(coalesce({m}, 0L)) AS {m}") for m in geometry.measures])
     )

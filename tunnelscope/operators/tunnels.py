@@ -80,7 +80,7 @@ def tunnel_windows(recon: DataFrame, edges: BinEdges, config: PipelineConfig) ->
     return (
         per_queue(recon, edges, config)
         .withColumns({name: F.expr(text) for name, text in queue_stats().items()})
-        .groupBy("slice", *TUNNEL)
+        .groupBy("slice", *config.run, *TUNNEL)
         .agg(
             *[F.expr(f"sum({c}) AS {c}") for c in COUNTERS],
             *means,
@@ -96,14 +96,14 @@ def rolling_thresholds(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     """
     blocks = history_blocks(
         tunnels,
-        ["qfi", "teid"],
+        [*config.run, "qfi", "teid"],
         "window",
         F.floor(F.col("window") / config.slice_windows),
         config.block_rows,
         THRESHOLD_LOOKBACK,
     )
     earlier = (
-        Window.partitionBy("qfi", "teid", "_block")
+        Window.partitionBy(*config.run, "qfi", "teid", "_block")
         .orderBy("window")
         .rowsBetween(-THRESHOLD_LOOKBACK, -1)
     )
@@ -129,9 +129,9 @@ def rolling_thresholds(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     )
 
 
-def class_color_totals(tunnels: DataFrame) -> DataFrame:
+def class_color_totals(tunnels: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     """Policed packets and number of active tunnels per (window, class)."""
-    return tunnels.groupBy("window", "qfi").agg(
+    return tunnels.groupBy(*run, "window", "qfi").agg(
         F.sum(color_packets()).alias("class_pkts"),
         F.count_if(color_packets() > 0).cast("bigint").alias("active_teids"),
     )
@@ -159,9 +159,10 @@ def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     ``tunnels`` is read several times: pass a table written with ``session.cut``.
     """
     narrow = rolling_thresholds(tunnels.drop("queues"), config)
-    totals = class_color_totals(tunnels)
-    with_queues = narrow.join(totals, ["window", "qfi"]).join(
-        tunnels.select(*TUNNEL, "queues"), TUNNEL
+    run = config.run
+    totals = class_color_totals(tunnels, run)
+    with_queues = narrow.join(totals, [*run, "window", "qfi"]).join(
+        tunnels.select(*run, *TUNNEL, "queues"), [*run, *TUNNEL]
     )
 
     def queue_mean(fraction: str) -> Column:
@@ -173,6 +174,7 @@ def tunnel_features(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
     under = queue_mean(H.below_of("q.iat_bins", "thr_iat_us"))
     rates = traffic_rates(config)
     return with_queues.select(
+        *run,
         "window",
         "qfi",
         "teid",

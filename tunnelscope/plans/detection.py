@@ -25,8 +25,9 @@ def tunnel_table(
     is written once, as it is read for its windows and for its cells.
     """
     if "position" in sketch.columns:
-        sketch = cut(last_copy(sketch, "position"), "cells")
-    flows = min_query(sketch, paired(keys, sketch), config.geometry, config.slice_windows)
+        sketch = cut(last_copy(sketch, "position", config.run), "cells")
+    known = paired(keys, sketch, config.run)
+    flows = min_query(sketch, known, config.geometry, config.slice_windows, config.run)
     return cut(tunnel_windows(flows, edges, config), "tunnels")
 
 
@@ -37,7 +38,7 @@ def feature_table(tunnels: DataFrame, config: PipelineConfig) -> DataFrame:
 
 def class_table(features: DataFrame, config: PipelineConfig) -> DataFrame:
     """Class features, written once: series are counted before they are cut into blocks."""
-    return cut(aggregate_classes(features, config.feature_decimals), "classes")
+    return cut(aggregate_classes(features, config.feature_decimals, config.run), "classes")
 
 
 def detect(
@@ -57,10 +58,11 @@ def detect(
 def events_from_classes(
     classes: DataFrame, feat_cols: list[str], model: dict, config: PipelineConfig
 ) -> DataFrame:
-    """Engineer, score, decide and debounce."""
-    scored = decide(score(engineer(classes, config), feat_cols, model), config)
-    narrow = cut(scored.select("window", "qfi", "score", "thr", "pred"), "scored")
+    """Engineer, score, decide and debounce. The columns of ``config.run`` come before those of an event."""
+    keys = [*config.run, "qfi"]
+    scored = decide(score(engineer(classes, config, keys), feat_cols, model), config)
+    narrow = cut(scored.select(*config.run, "window", "qfi", "score", "thr", "pred"), "scored")
     alarms = debounce(
-        narrow, config.debounce_k, config.debounce_h, config.slice_windows, config.block_rows
+        narrow, config.debounce_k, config.debounce_h, config.slice_windows, config.block_rows, keys
     )
-    return alarms.select(*EVENT_SCHEMA.fieldNames())
+    return alarms.select(*config.run, *EVENT_SCHEMA.fieldNames())

@@ -37,9 +37,16 @@ def geometry_of(df: DataFrame, depth: int, width: int) -> SketchGeometry:
     return SketchGeometry(depth, width, counts["lat"], counts["iat"])
 
 
-def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | None = None) -> DataFrame:
+def run_of(path: Column, run: str | None) -> dict[str, Column]:
+    """The column ``run``: the first group of the pattern ``run`` in a path. None if there is no pattern."""
+    return {} if run is None else {"run": F.regexp_extract(path, run, 1)}
+
+
+def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | None = None, run: str | None = None) -> DataFrame:
     """All snapshots of a folder; the window number comes from the file name.
 
+    Where the folder holds those of several devices or recordings, ``run`` is a pattern whose first group tells them apart in the path.
+
     Columns may be of any numeric type or text, and files may differ in both columns and types: the schema is merged from all
     footers. ``position`` is the place of a row in its window.
     """
@@ -50,7 +57,7 @@ def read_sketch(spark: SparkSession, folder: str, geometry: SketchGeometry | Non
             raise
         files = window_files(spark, folder).orderBy("window", "path").collect()  # one row per file
         groups = _groups(spark, [r.path for r in files])
-    return _snapshots(groups, geometry)
+    return _snapshots(groups, geometry, run)
 
 
 def _merged(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -88,7 +95,7 @@ def _groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     return [_merged(spark, own) for _, own in found]
 
 
-def _snapshots(groups: list[DataFrame], geometry: SketchGeometry | None) -> DataFrame:
+def _snapshots(groups: list[DataFrame], geometry: SketchGeometry | None, run: str | None = None) -> DataFrame:
     """Each group cleaned by its own types, and all of them as one table."""
     columns = list(dict.fromkeys(c for g in groups for c in g.columns))
     keys = [c for c in ("qid", "row", "bucket") if c in columns]
@@ -103,9 +110,10 @@ def _snapshots(groups: list[DataFrame], geometry: SketchGeometry | None) -> Data
             {
                 "window": window_number(F.col(FILE_PATH)),
                 "position": F.struct(FILE_PATH, F.col("_metadata.row_index")),
+                **run_of(F.col(FILE_PATH), run),
             }
         )
-        clean = clean_sketch(numbered.where(F.col("window") >= 0), geometry)
+        clean = clean_sketch(numbered.where(F.col("window") >= 0), geometry, ("run",) if run else ())
         out = clean if out is None else out.unionByName(clean)
     return out
 
@@ -142,16 +150,16 @@ def read_files(spark: SparkSession, paths: list[str], geometry: SketchGeometry |
     return _snapshots(groups, geometry)
 
 
-def read_flow_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """All flow-key files of a folder; malformed keys are -1 and marked not ``valid``."""
+def read_flow_keys(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
+    """All flow-key files of a folder; malformed keys are -1 and marked not ``valid``. ``run`` as for ``read_sketch``."""
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("header", True)
         .schema(FLOW_KEY_SCHEMA)
         .csv(folder)
     )
-    numbered = raw.withColumn("window", window_number(F.col(FILE_PATH)))
-    return clean_flow_keys(numbered.where(F.col("window") >= 0))
+    numbered = raw.withColumns({"window": window_number(F.col(FILE_PATH)), **run_of(F.col(FILE_PATH), run)})
+    return clean_flow_keys(numbered.where(F.col("window") >= 0), ("run",) if run else ())
 
 
 def _file_name(extension: str) -> Column:
@@ -200,9 +208,9 @@ def duplicate_cells(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy(*cell).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def last_copy(sketch: DataFrame, position: str) -> DataFrame:
+def last_copy(sketch: DataFrame, position: str, run: tuple[str, ...] = ()) -> DataFrame:
     """Keep the copy of each cell with the highest ``position`` in its file; the column goes."""
-    cell = ["window", "qid", "row", "bucket"]
+    cell = [*run, "window", "qid", "row", "bucket"]
     rest = [c for c in sketch.columns if c not in (*cell, position)]
     return (
         sketch.groupBy(*cell)
@@ -219,9 +227,10 @@ def first_windows(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("window") <= first.select(F.max("window")).scalar())
 
 
-def paired(keys: DataFrame, sketch: DataFrame) -> DataFrame:
+def paired(keys: DataFrame, sketch: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     """Flow keys of windows that have a snapshot."""
-    return keys.join(sketch.select("window").distinct(), "window", "left_semi")
+    on = [*run, "window"]
+    return keys.join(sketch.select(*on).distinct(), on, "left_semi")
 
 
 def write_events(events: DataFrame, folder: str) -> None:
