@@ -304,8 +304,11 @@ class Encoder:
 
     def _remember(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         """Keeps new chunks that are not long, one for each hash. ``ids`` go behind the pool, where ``where`` points."""
-        _, one = np.unique(hashes, return_index=True)
-        short = one[(ends[one] - starts[one] <= LONG_WORD) & ~np.isin(hashes[one], self.keys)]
+        own, one = np.unique(hashes, return_index=True)
+        new = np.ones(len(one), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] != own
+        short = one[new & (ends[one] - starts[one] <= LONG_WORD)]
         if not len(short) or len(self.keys) + len(short) > MEMO_CHUNKS:
             return
         lengths, sizes = ends[short] - starts[short], count[short]

@@ -31,9 +31,9 @@ from .bpe import Encoder, Tokenizer
 from .buffers import TextSlice, spans_of, text_slices
 
 # Bytes of text per block.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 # Windows and links a worker remembers; beyond either it starts anew at the next block.
-MEMO_WINDOWS, MEMO_LINKS = 200_000, 4_000_000
+MEMO_WINDOWS, MEMO_LINKS = 150_000, 4_000_000
 
 _MARK = "▁"  # a piece's sign for a space
 _SEPARATOR = b"\xff\xff\xff\xff"  # no id
