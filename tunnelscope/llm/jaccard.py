@@ -9,14 +9,17 @@ begun where distances below 1 occur, by anchors:
    the radius share a shingle among the first few of each (a prefix whose length follows from the radius). Documents that
    share such an anchor form a region. A pair is looked for in the region of the first anchor it shares, so the places of the anchor
    in both orders bound what the two can have in common.
-3. The pivots of a large region are its smallest documents. The distances of all members to them are worked out; the members in the ball of a
-   pivot are linked to it.
-4. Pairs that no pivot settles are compared: by the triangle inequality a pair whose distances to a pivot differ by more than the
-   radius is not linked, and a pair in one ball is joined already. So boundary members meet those outside, and no others.
+3. The members of large regions form cells around a *centre*, a pivot that need not be a document: the shingles that most of a few members
+   have. Copies with changes of their own lie around it, nearer than they lie to each other. The distance of each member to its centre is worked out once.
+   By the triangle inequality the sum of two distances bounds that of a pair from above; the member for which this bound is best is linked with all members
+   that it holds for, and these form a star.
+4. Near members of a cell that this does not link must share some of what they differ from the centre by. These rests are the sets of a join of
+   their own, by their first elements in the order of the cell, and only few pairs meet: changes made independently have nothing in common.
+5. All other pairs of a region are compared, unless the difference of their distances to one centre keeps them apart: boundary members meet those outside.
 
 Distances are exact: sums of equal 64-bit hashes of shingles.
 
-Links are pivot to member, and the pairs of step 4. They connect what all links within the radius would connect.
+Links are head to member and the pairs of steps 4 and 5. They connect what all links within the radius would connect.
 
 Defined cases: texts with fewer words than an n-gram are one n-gram; null texts and texts without words have an empty set and are
 linked with nothing; rows that repeat an id are one document of the largest set; rows without an id are left out; an empty table
@@ -43,8 +46,10 @@ _CHUNK = 1 << 12
 BATCH = 32
 # A region of at most this many members gets no pivot: its pairs are compared, as far as sizes and anchors let them be linked.
 LEAF = 24
-# Pivots of a large region.
-PIVOTS = 4
+# Bits of the filter of ids that texts pass before they are shuffled.
+FILTER_BITS = 1 << 23
+# Members of a cell whose shingles make its centre.
+CENTRE_OF = 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -159,6 +164,28 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: in
     return docs.mapInArrow(run, _prefix_schema())
 
 
+def _narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among ``ids``: one bit per hash class of an id, looked up before the rows are shuffled.
+
+    The bits are at most ``FILTER_BITS / 32768`` rows of 4 KB. An exact join must follow; the more ids there are, the more rows pass.
+    """
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+
+    bits = ids.select(place(F.col("doc_id")).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    told = rows.withColumn("_h", place(F.col("doc_id"))).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h").cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at DIV 8 + 1, 1)")), 16, 10).cast("int")
+    held = told.join(F.broadcast(bits), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0)
+    return held.select(*rows.columns)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (doc_id), as a table."""
+    ids = cut(ids.distinct(), "ids")
+    return cut(_narrowed(texts, ids).join(ids, "doc_id", "left_semi"), "texts")
+
+
 def _common(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Rows (a, b) with the sizes of their sets and of what they have in common: (a, b, na, nb, common).
 
@@ -210,36 +237,151 @@ def _checked_by_anchors(pairs: DataFrame, anchors: DataFrame, num: int, den: int
     return pairs.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
+def _cells(big: DataFrame) -> DataFrame:
+    """Cell of each member of large regions (cell, d).
+
+    It is the largest region of the member, and then the largest cell that prevails in any of its regions: a copy whose change hit the
+    common region goes to the cell of the others.
+    """
+    top = big.groupBy("d").agg(F.max(F.struct("c", "s")).alias("_top")).select("d", F.col("_top.s").alias("cell"))
+    met = big.select("s", "d").join(top, "d").groupBy("s", "cell").agg(F.count("*").alias("_n"))
+    usual = met.groupBy("s").agg(F.max(F.struct("_n", "cell")).alias("_u")).select("s", "_u.*")
+    return big.select("s", "d").join(usual, "s").groupBy("d").agg(F.max(F.struct("_n", "cell")).alias("_m")).select(F.col("_m.cell").alias("cell"), "d")
+
+
+def _centres(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Per cell the shingles that more than half of up to ``CENTRE_OF`` of its members have (cell, centre).
+
+    No result depends on what a centre is; a good one is near to many members.
+    """
+    some = members.withColumn("_t", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("_t") <= CENTRE_OF).drop("_t")
+    told = some.join(texts.withColumnRenamed("doc_id", "d"), "d").select("cell", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            for part in text_slices(batch.column(1)):
+                h, at = shingle_sets(part, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell[part.lo : part.hi], np.diff(at))), pa.array(h.view(np.int64))], ["cell", "h"])
+
+    counted = told.mapInArrow(run, "cell bigint, h bigint").groupBy("cell", "h").agg(F.count("*").alias("n"))
+    whole = told.groupBy("cell").agg((F.count("*") / 2).alias("half"))
+    most = counted.join(whole, "cell").filter("n > half").groupBy("cell").agg(F.collect_list("h").alias("centre"))
+    return whole.select("cell").join(most, "cell", "left").select("cell", F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre"))
+
+
+def _measured(members: DataFrame, centres: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Rows (cell, d, n, far, rest): the size of a member's set, and by how many shingles and by which it differs from the centre of its cell.
+
+    ``rest`` is null where these are more than half of the set: such a member is no near one.
+
+    A cell of any size is dealt to units of ``BATCH`` members, and a centre goes along once for each.
+    """
+    counts = members.groupBy("cell").agg(F.count("*").alias("_c"))
+    units = members.join(counts, "cell").select("cell", "d", F.pmod(F.xxhash64("d"), F.ceil(F.col("_c") / BATCH)).cast("int").alias("unit"))
+    heads = units.select("cell", "unit").distinct().join(centres, "cell").select("cell", "unit", F.lit(None).cast("bigint").alias("d"), F.lit(None).cast("string").alias("text"), "centre")
+    rows = units.join(texts.withColumnRenamed("doc_id", "d"), "d").select("cell", "unit", "d", "text", F.lit(None).cast("array<bigint>").alias("centre"))
+    ordered = rows.union(heads).repartition("cell", "unit").sortWithinPartitions("cell", "unit", F.col("d").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            cell, d = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = []
+            for part in text_slices(batch.column(3)):
+                h, at = shingle_sets(part, words)
+                for i in range(len(part)):
+                    k = part.lo + i
+                    if d[k] is None:
+                        centre = np.sort(batch.column(4)[k].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                        continue
+                    own = h[at[i] : at[i + 1]]
+                    other = np.setxor1d(centre, own, assume_unique=True)
+                    out.append((cell[k], d[k], len(own), len(other), other.view(np.int64) if 2 * len(other) <= len(own) else None))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "d", "n", "far", "rest"])
+
+    types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    return ordered.mapInArrow(run, "cell bigint, d bigint, n bigint, far bigint, rest array<bigint>")
+
+
+def _starred(measured: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (star, d) to the member of each cell that its centre shows to be linked with the most.
+
+    Two sets differ by at most the sum of their distances to the centre. With w = (den + num) * far - (den - num) * n they are linked if their
+    w add up to 0 or less, so the member of least w is linked with all that any member is shown to be linked with.
+    """
+    w = (den + num) * F.col("far") - (den - num) * F.col("n")
+    weighed = measured.select("cell", "d", w.alias("w"))
+    best = weighed.groupBy("cell").agg(F.min(F.struct("w", "d")).alias("m"))
+    joined = weighed.join(best, "cell").filter((F.col("w") + F.col("m.w") <= 0) & (F.col("d") != F.col("m.d")))
+    return joined.select(F.col("m.d").alias("star"), "d").distinct()
+
+
+def _pairs_of_near(near: DataFrame, num: int, den: int) -> DataFrame:
+    """Linked pairs (a, b) of near members of one cell that the bound of ``_starred`` does not show.
+
+    What two sets differ by is the sum of their distances to the centre less twice what their rests have in common. So a pair must
+    share elements of its rests, the more the farther it is. Independent changes share none, and such members never meet. Rests are ordered by how
+    often an element occurs in the cell, rare ones first, and meet in their first elements.
+    """
+    unit = den + num
+    weighed = near.withColumn("w", unit * F.col("far") - (den - num) * F.col("n"))
+    least = weighed.groupBy("cell").agg(F.min("w").alias("_low"))
+    told = cut(weighed.join(least, "cell").withColumn("_key", F.monotonically_increasing_id()), "near")
+    every = told.select("cell", "_key", F.explode("rest").alias("h"))
+    often = every.groupBy("cell", "h").agg(F.count("*").alias("_often")).filter("_often > 1")
+    # A linked pair has at least so many elements in common, whoever the other one is.
+    need = F.greatest(F.ceil((F.col("w") + F.col("_low")) / (2 * unit)), F.lit(1))
+    ranked = every.join(often, ["cell", "h"], "left").join(told.select("_key", F.size("rest").alias("_size"), need.alias("_need")), "_key")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.coalesce("_often", F.lit(1)), "h"))
+    first = ranked.withColumn("_place", place).filter("_place <= _size - _need + 1 AND _often > 1").select("cell", "h", "_key", (F.col("_size") - F.col("_place") + 1).alias("_left"))
+    member = told.select("_key", "d", "w", "rest")
+    x, y = first.join(told.select("_key", "w"), "_key").alias("x"), first.join(told.select("_key", "w"), "_key").alias("y")
+    on = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.h") == F.col("y.h")) & (F.col("x._key") < F.col("y._key")) & (F.col("x.w") + F.col("y.w") > 0)
+    # If this is the first element they share, they share no more than what is left of both.
+    on = on & (F.col("x.w") + F.col("y.w") <= 2 * unit * F.least("x._left", "y._left"))
+    pairs = x.join(y, on).select(F.col("x._key").alias("i"), F.col("y._key").alias("j")).distinct()
+    both = pairs.join(member.toDF("i", "a", "wi", "ri"), "i").join(member.toDF("j", "b", "wj", "rj"), "j")
+    common = F.size(F.array_intersect("ri", "rj"))
+    return both.filter(F.col("wi") + F.col("wj") <= 2 * unit * common).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _settled() -> Column:
+    """Pairs of near members of one cell, which ``_starred`` and ``_pairs_of_near`` settle."""
+    return F.coalesce(F.col("x.near") == F.col("y.near"), F.lit(False))
+
+
 def _pairs_of_leaves(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of small regions that may be linked."""
     x, y = members.alias("x"), members.alias("y")
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d")) & _may_link("x", "y", num, den)
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d")) & ~_settled() & _may_link("x", "y", num, den)
     return x.join(y, on).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
 
 
-def _pairs_of_rest(big: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of large regions that may be linked and that the pivots leave open.
+def _pairs_of_rest(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of large regions that may be linked, and whose distances to a centre don't keep them apart.
 
-    A pair is settled if both are in the ball of one pivot, or if their distances to one differ by more than the radius. Members are
-    joined by size: the smaller of a linked pair has one of a few sizes that follow from the larger one and the place of its anchor.
+    In a region the near members of its most usual cell need not meet each other: each pair has one member at least that is not of them.
+    Sets of a cell differ by at least the difference of their distances. Members are joined by size: the smaller of a linked pair has
+    one of a few sizes that follow from the larger one and the place of its anchor.
     """
-    radius = 1 - num / den
-    rows = big.join(measured, ["s", "d"])
+    counts = rows.filter("near IS NOT NULL").groupBy("s", "near").agg(F.count("*").alias("_n"))
+    usual = counts.groupBy("s").agg(F.max(F.struct("_n", "near")).alias("_u")).select("s", F.col("_u.near").alias("usual"))
+    rows = rows.join(usual, "s", "left").withColumn("odd", ~F.coalesce(F.col("near") == F.col("usual"), F.lit(False)))
+    rows = cut(rows.drop("usual"), "members")
     most = F.floor((F.col("n") - F.col("pos")) * (num + den) / num).cast("bigint") - F.col("n")
     most = F.least(most, F.col("n"))
     least = F.ceil(F.col("n") * num / den).cast("bigint")
-    larger = rows.filter(least <= most).withColumn("size", F.explode(F.sequence(least, most))).alias("x")
-    smaller = rows.alias("y")
-    settled = F.lit(False)
-    for t in range(PIVOTS):
-        # Absent where the region has fewer pivots.
-        both = F.coalesce(F.col(f"x.l{t}") & F.col(f"y.l{t}"), F.lit(False))
-        apart = F.coalesce(F.abs(F.col(f"x.f{t}") - F.col(f"y.f{t}")) > radius + 1e-9, F.lit(False))
-        settled = settled | apart | both
+    larger = rows.filter(least <= most).withColumn("size", F.explode(F.sequence(least, most)))
+    far = F.abs(F.col("x.far") - F.col("y.far")) * (num + den) > (den - num) * (F.col("x.n") + F.col("y.n"))
+    far = F.coalesce((F.col("x.cell") == F.col("y.cell")) & far, F.lit(False))
     order = (F.col("x.n") > F.col("y.n")) | (F.col("x.d") > F.col("y.d"))
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.size") == F.col("y.n")) & order & _may_link("x", "y", num, den) & ~settled
-    pairs = larger.join(smaller, on)
-    return pairs.select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.size") == F.col("y.n")) & order & ~_settled() & _may_link("x", "y", num, den) & ~far
+    one = larger.filter("odd").alias("x").join(rows.alias("y"), on)
+    other = larger.filter("NOT odd").alias("x").join(rows.filter("odd").alias("y"), on)
+    return one.union(other).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
 
 
 def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -257,35 +399,29 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tup
     regions = cut(entries.join(shared, "s").select("s", "d", "n", "pos", "c"), "regions")
     together = F.col("na") + F.col("nb") - F.col("common")
 
-    def distances(pairs: DataFrame, used: DataFrame) -> DataFrame:
-        # An id with several texts has no one distance.
-        one = F.when(F.min("far") == F.max("far"), F.min("far"))
-        dist = _common(pairs, used, words).withColumn("linked", den * F.col("common") >= num * together).withColumn("far", 1 - F.col("common") / together)
-        return cut(dist.groupBy("a", "b").agg(F.max("linked").alias("linked"), one.alias("far")), "distances")
-
-    big = cut(regions.filter(F.col("c") > LEAF).drop("c"), "large-regions")
-    leaves = cut(_checked_by_anchors(_pairs_of_leaves(regions.filter(F.col("c") <= LEAF), num, den), anchors, num, den), "pairs")
-    needed = leaves.select(F.col("a").alias("doc_id")).union(leaves.select("b")).union(big.select("d")).distinct()
-    used = cut(texts.join(needed, "doc_id", "left_semi"), "texts")
-    found, pairs = [], leaves
-    if not big.isEmpty():
-        # The row limit holds before the shuffle too.
-        first = F.row_number().over(Window.partitionBy("s").orderBy("d"))
-        pivots = big.select("s", "d").distinct().withColumn("t", first - 1).filter(F.col("t") < PIVOTS).select("s", "t", F.col("d").alias("p"))
-        near = cut(big.select("s", "d").distinct().join(pivots, "s"), "near-pivots")
-        dist = distances(near.filter("d <> p").select(F.col("p").alias("a"), F.col("d").alias("b")).distinct(), used)
-        found.append(dist.filter("linked").select("a", "b"))
-        known = near.join(dist, (near["p"] == dist["a"]) & (near["d"] == dist["b"]), "left")
-        own = F.col("d") == F.col("p")
-        linked, far = F.when(own, True).otherwise(F.col("linked")), F.when(own, 0.0).otherwise(F.col("far"))
-        at = {f"l{t}": F.max(F.when(F.col("t") == t, linked)) for t in range(PIVOTS)} | {f"f{t}": F.max(F.when(F.col("t") == t, far)) for t in range(PIVOTS)}
-        measured = cut(known.groupBy("s", "d").agg(*[c.alias(n) for n, c in at.items()]), "measured")
-        pairs = pairs.union(_checked_by_anchors(_pairs_of_rest(big, measured, num, den), anchors, num, den)).distinct()
-    found.append(distances(pairs, used).filter("linked").select("a", "b"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return cut(out.distinct(), "found"), membership
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(_checked_by_anchors(pairs, anchors, num, den), "pairs")
+        used = _texts_of(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+        return cut(_common(pairs, used, words).filter(den * F.col("common") >= num * together).select("a", "b").distinct(), "linked")
+
+    big = regions.filter(F.col("c") > LEAF)
+    none = F.lit(None).cast("bigint")
+    if big.isEmpty():
+        return linked(_pairs_of_leaves(regions.withColumn("near", none), num, den)), membership
+    used = _texts_of(texts, big.select(F.col("d").alias("doc_id")))
+    members = cut(_cells(big), "cells")
+    measured = cut(_measured(members, cut(_centres(members, used, words), "centres"), used, words), "measured")
+    # An id with several texts has no one distance, and is no near member.
+    one = measured.groupBy("d").agg(F.count("*").alias("_texts"))
+    told = measured.join(one, "d").filter("_texts = 1")
+    near = told.filter("rest IS NOT NULL")
+    stars = _starred(near, num, den).select(F.col("star").alias("a"), F.col("d").alias("b"))
+    found = stars.union(_pairs_of_near(near, num, den))
+    places = told.select("d", "cell", "far", F.when(F.col("rest").isNotNull(), F.col("cell")).alias("near"))
+    known = regions.join(places, "d", "left")
+    pairs = _pairs_of_leaves(known.filter(F.col("c") <= LEAF), num, den)
+    rest = _pairs_of_rest(known.filter(F.col("c") > LEAF).drop("c"), num, den)
+    return cut(found.union(linked(pairs.union(rest).distinct())).distinct(), "found"), membership
 
 
 def components_of(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
