@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_side
 from .buffers import Rolling, TextSlice, mixed, spans_of, text_slices
 from .components import components
 
@@ -164,26 +164,51 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: in
     return docs.mapInArrow(run, _prefix_schema())
 
 
+def _bits(numbers: DataFrame, number: Column) -> DataFrame:
+    """One row (_bucket, _bits) of 4 KB for each 32,768 numbers that has some of ``numbers``: a bit for each."""
+    told = numbers.select(number.alias("_h"))
+    return told.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+
+
+def _looked_up(rows: DataFrame, number: Column, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``_held``: whether the bit of their number is set."""
+    told = rows.withColumn("_h", number).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h").cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at DIV 8 + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0, F.lit(False))
+    return told.join(bits, "_bucket", "left").select(*rows.columns, held.alias("_held"))
+
+
 def _narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id may be among ``ids``: one bit per hash class of an id, looked up before the rows are shuffled.
 
     The bits are at most ``FILTER_BITS / 32768`` rows of 4 KB. An exact join must follow; the more ids there are, the more rows pass.
     """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    return _looked_up(rows, place, F.broadcast(_bits(ids, place))).filter("_held").drop("_held")
 
-    def place(column: Column) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
-    bits = ids.select(place(F.col("doc_id")).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
-    told = rows.withColumn("_h", place(F.col("doc_id"))).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h").cast("int")})
-    byte = F.conv(F.hex(F.expr("substring(_bits, _at DIV 8 + 1, 1)")), 16, 10).cast("int")
-    held = told.join(F.broadcast(bits), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0)
-    return held.select(*rows.columns)
+def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose ``_key`` is among ``keys``, by one bit for each number, so that the rows are not shuffled.
+
+    Numbers run from the first of each partition on, so the bits take about one byte for eight rows. Those of more rows than ``small_side``
+    broadcasts, over 300 million numbers, are joined by shuffle.
+    """
+    return _looked_up(rows, F.col("_key"), small_side(cut(_bits(keys, F.col("_key")), "bits"))).filter("_held").drop("_held")
+
+
+def _representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that stand for their class (doc_id, n, prefix). Only those that may have copies are shuffled: see ``_narrowed``."""
+    place = F.pmod(F.xxhash64("s1", "s2", "n"), F.lit(FILTER_BITS)) + 1
+    told = _looked_up(sets.filter("n > 0"), place, F.broadcast(_bits(classes.filter("copies > 1"), place)))
+    # An inner join, as a semi-join is carried out before the look-up. There is one representative of a class.
+    exact = told.filter("_held").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"])
+    return told.filter("NOT _held").select("doc_id", "n", "prefix").union(exact.select("doc_id", "n", "prefix"))
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of ``ids`` (doc_id), as a table."""
     ids = cut(ids.distinct(), "ids")
-    return cut(_narrowed(texts, ids).join(ids, "doc_id", "left_semi"), "texts")
+    return cut(_narrowed(texts, ids).join(ids, "doc_id"), "texts", "zstd")
 
 
 def _common(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -360,12 +385,18 @@ def _pairs_of_leaves(members: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, on).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
 
 
+def _size_class(n: Column) -> Column:
+    """Small sizes are classes of their own; the larger ones come in 32 classes from each power of two to the next."""
+    return F.when(n < 64, n).otherwise(F.floor(F.log2(n) * 32) - 128).cast("bigint")
+
+
 def _pairs_of_rest(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of large regions that may be linked, and whose distances to a centre don't keep them apart.
 
     In a region the near members of its most usual cell need not meet each other: each pair has one member at least that is not of them.
     Sets of a cell differ by at least the difference of their distances. Members are joined by size: the smaller of a linked pair has
-    one of a few sizes that follow from the larger one and the place of its anchor.
+    one of the sizes that follow from the larger one and the place of its anchor. They are joined by classes of sizes, of which
+    these are few for sets of any size.
     """
     counts = rows.filter("near IS NOT NULL").groupBy("s", "near").agg(F.count("*").alias("_n"))
     usual = counts.groupBy("s").agg(F.max(F.struct("_n", "near")).alias("_u")).select("s", F.col("_u.near").alias("usual"))
@@ -374,11 +405,14 @@ def _pairs_of_rest(rows: DataFrame, num: int, den: int) -> DataFrame:
     most = F.floor((F.col("n") - F.col("pos")) * (num + den) / num).cast("bigint") - F.col("n")
     most = F.least(most, F.col("n"))
     least = F.ceil(F.col("n") * num / den).cast("bigint")
-    larger = rows.filter(least <= most).withColumn("size", F.explode(F.sequence(least, most)))
+    larger = rows.filter(least <= most).withColumns({"least": least, "most": most})
+    larger = larger.withColumn("size", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
+    rows = rows.withColumn("size", _size_class(F.col("n")))
     far = F.abs(F.col("x.far") - F.col("y.far")) * (num + den) > (den - num) * (F.col("x.n") + F.col("y.n"))
     far = F.coalesce((F.col("x.cell") == F.col("y.cell")) & far, F.lit(False))
     order = (F.col("x.n") > F.col("y.n")) | (F.col("x.d") > F.col("y.d"))
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.size") == F.col("y.n")) & order & ~_settled() & _may_link("x", "y", num, den) & ~far
+    sized = (F.col("x.size") == F.col("y.size")) & F.col("y.n").between(F.col("x.least"), F.col("x.most"))
+    on = (F.col("x.s") == F.col("y.s")) & sized & order & ~_settled() & _may_link("x", "y", num, den) & ~far
     one = larger.filter("odd").alias("x").join(rows.alias("y"), on)
     other = larger.filter("NOT odd").alias("x").join(rows.filter("odd").alias("y"), on)
     return one.union(other).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
@@ -391,16 +425,18 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tup
     """
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = cut(_prefixes(texts, frequency_sketch(texts, words, num, den), words, num, den), "sets")
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    membership = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", "rep")
-    anchors = sets.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", "n", "prefix")
+    classes = cut(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    membership = sets.select("doc_id", "n", "s1", "s2").join(classes.drop("copies"), ["s1", "s2", "n"], "left").select("doc_id", "n", "rep")
+    anchors = _representatives(sets, classes)
     entries = anchors.select(F.col("doc_id").alias("d"), "n", F.posexplode("prefix").alias("pos", "s"))
     shared = anchors.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
     regions = cut(entries.join(shared, "s").select("s", "d", "n", "pos", "c"), "regions")
     together = F.col("na") + F.col("nb") - F.col("common")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(_checked_by_anchors(pairs, anchors, num, den), "pairs")
+        pairs = cut(pairs, "candidates")
+        met = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+        pairs = cut(_checked_by_anchors(pairs, _representatives(_narrowed(sets, met), classes), num, den), "pairs")
         used = _texts_of(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         return cut(_common(pairs, used, words).filter(den * F.col("common") >= num * together).select("a", "b").distinct(), "linked")
 
@@ -439,11 +475,11 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     A row whose text has no words is a component of its own.
     """
     # Written once, so that the numbers are the same in every scan.
-    rows = cut(docs.withColumn("_key", F.monotonically_increasing_id()), "rows")
+    rows = cut(docs.withColumn("_key", F.monotonically_increasing_id()), "rows", "zstd")
     comps = components_of(rows.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     # The number decides among equal rows only.
     order = F.struct("doc_id", F.md5("text"), F.md5(F.to_json(F.struct(*rest))) if rest else F.lit(None).cast("string"), "_key")
     places = rows.select("_key", order.alias("_order")).join(comps.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
     kept = places.groupBy("component_id").agg(F.min("_order").alias("_least")).select(F.col("_least._key").alias("_key"))
-    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
+    return _numbered(rows, kept).select(*docs.columns)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .scans import with_prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +57,11 @@ def source_targets(sizes: DataFrame, share: float = SHARE, max_epochs: int = MAX
 
 
 def _planned(docs: DataFrame, keep: list[str], seed: int, share: float, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
-    """One row per row of ``docs``: its columns ``keep`` in the struct ``_row``, and what the mix takes of it."""
+    """One row per row of ``docs``: its columns ``keep`` in the struct ``_row``, and what the mix takes of it.
+
+    If texts are kept, they are shuffled once, to be in order.
+    """
+    texts = "text" in keep
     sized = docs.select(
         F.struct(*keep).alias("_row"),
         F.col("doc_id").alias("_id"),
@@ -66,12 +71,12 @@ def _planned(docs: DataFrame, keep: list[str], seed: int, share: float, max_epoc
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("_key"),
         F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text_key"),
     ).withColumn("_group", F.concat(F.col("_null").cast("int").cast("string"), "_source"))
-    scanned = with_prefix_sums(sized, "_group", ["_key", "_id", "_text_key"], "_size", "_before")
+    scanned = with_prefix_sums(sized, "_group", ["_key", "_id", "_text_key"], "_size", "_before", whole_rows=texts)
     sizes = scanned.groupBy(F.col("_source").alias("source"), F.col("_null").alias("null_source")).agg(F.sum("_size").alias("source_size"))
     targets = source_targets(sizes, share, max_epochs, weights).withColumnsRenamed({"source": "_source", "null_source": "_null", "source_size": "_whole", "target": "_target"})
     budget = F.round("_target").cast("bigint")
     whole = F.when(F.col("_whole") > 0, F.floor(budget / F.col("_whole"))).otherwise(F.lit(0)).cast("bigint")
-    out = scanned.join(targets, ["_source", "_null"]).withColumn("_epochs", whole)
+    out = scanned.join(small_side(targets) if texts else targets, ["_source", "_null"]).withColumn("_epochs", whole)
     out = out.withColumn("_rest", budget - F.col("_epochs") * F.col("_whole") - F.col("_before"))
     return out.withColumn("_partial", F.greatest(F.lit(0).cast("bigint"), F.least("_size", "_rest")))
 
