@@ -8,7 +8,7 @@ from corpus import copied_rows, hard_rows, table, words
 from pyspark.sql import functions as F
 from test_corpora import brute_components, shingle_set
 
-from tunnelscope.llm import jaccard, mixture
+from tunnelscope.llm import jaccard, lookup, mixture, repeats
 
 
 @pytest.fixture
@@ -33,7 +33,7 @@ def test_texts_are_shuffled_once_at_most(spark, no_small_joins):
 @pytest.mark.parametrize(("bits", "broadcast"), [(1 << 23, False), (1, True)])
 def test_one_of_each_however_rows_are_looked_up(spark, monkeypatch, bits, broadcast):
     """All hash classes of ids are one, and numbers of rows are joined by shuffle."""
-    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+    monkeypatch.setattr(lookup, "FILTER_BITS", bits)
     if not broadcast:
         monkeypatch.setattr(jaccard, "small_side", lambda df: df)
     rows = hard_rows() + copied_rows(3, 30)
@@ -69,3 +69,22 @@ def test_large_regions_of_many_sizes(spark, monkeypatch):
     sets = {i: shingle_set(t, 5) for i, t, *_ in rows}
     got = {r["doc_id"]: r["component_id"] for r in jaccard.components_of(table(spark, rows), 5, 97, 100).collect()}
     assert got == brute_components(sets, 97, 100)
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rng = random.Random(12)
+    same = words(rng, 90)
+    rows = [(i, words(rng, 90), "en", "a") for i in range(40)] + [(100 + i, f"{words(rng, 9)} {same}", "en", "a") for i in range(3)] + [(200, None, "en", "a")]
+    out = repeats.without_repeats(table(spark, rows), 240)
+    assert {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] not in (100, 101, 102)} == {i: t for i, t, *_ in rows if i not in (100, 101, 102)}
+    assert all(len(r["text"]) < 90 for r in out.collect() if r["doc_id"] in (100, 101, 102))
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [1 << 23, 1])
+def test_repeats_however_rows_are_looked_up(spark, monkeypatch, bits):
+    monkeypatch.setattr(lookup, "FILTER_BITS", 1 << 23)
+    docs = table(spark, hard_rows() + copied_rows(3, 10))
+    want = sorted(map(repr, repeats.repeat_digests(docs, 99).collect()))
+    monkeypatch.setattr(lookup, "FILTER_BITS", bits)
+    assert sorted(map(repr, repeats.repeat_digests(docs, 99).collect())) == want

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..session import cut, small_side
 from .buffers import Rolling, TextSlice, mixed, spans_of, text_slices
 from .components import components
+from .lookup import bits_of, looked_up, maybe_among
 
 # Counters of the frequency sketch, whatever the corpus.
 SKETCH = 1 << 20
@@ -46,8 +47,6 @@ _CHUNK = 1 << 12
 BATCH = 32
 # A region of at most this many members gets no pivot: its pairs are compared, as far as sizes and anchors let them be linked.
 LEAF = 24
-# Bits of the filter of ids that texts pass before they are shuffled.
-FILTER_BITS = 1 << 23
 # Members of a cell whose shingles make its centre.
 CENTRE_OF = 15
 
@@ -164,27 +163,9 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: in
     return docs.mapInArrow(run, _prefix_schema())
 
 
-def _bits(numbers: DataFrame, number: Column) -> DataFrame:
-    """One row (_bucket, _bits) of 4 KB for each 32,768 numbers that has some of ``numbers``: a bit for each."""
-    told = numbers.select(number.alias("_h"))
-    return told.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
-
-
-def _looked_up(rows: DataFrame, number: Column, bits: DataFrame) -> DataFrame:
-    """``rows`` with ``_held``: whether the bit of their number is set."""
-    told = rows.withColumn("_h", number).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h").cast("int")})
-    byte = F.conv(F.hex(F.expr("substring(_bits, _at DIV 8 + 1, 1)")), 16, 10).cast("int")
-    held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0, F.lit(False))
-    return told.join(bits, "_bucket", "left").select(*rows.columns, held.alias("_held"))
-
-
 def _narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among ``ids``: one bit per hash class of an id, looked up before the rows are shuffled.
-
-    The bits are at most ``FILTER_BITS / 32768`` rows of 4 KB. An exact join must follow; the more ids there are, the more rows pass.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    return _looked_up(rows, place, F.broadcast(_bits(ids, place))).filter("_held").drop("_held")
+    """Rows whose doc_id may be among ``ids``, told before the rows are shuffled. An exact join must follow."""
+    return maybe_among(rows, ids, "doc_id").filter("_held").drop("_held")
 
 
 def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -193,13 +174,12 @@ def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
     Numbers run from the first of each partition on, so the bits take about one byte for eight rows. Those of more rows than ``small_side``
     broadcasts, over 300 million numbers, are joined by shuffle.
     """
-    return _looked_up(rows, F.col("_key"), small_side(cut(_bits(keys, F.col("_key")), "bits"))).filter("_held").drop("_held")
+    return looked_up(rows, F.col("_key"), small_side(cut(bits_of(keys, F.col("_key")), "bits"))).filter("_held").drop("_held")
 
 
 def _representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``sets`` that stand for their class (doc_id, n, prefix). Only those that may have copies are shuffled: see ``_narrowed``."""
-    place = F.pmod(F.xxhash64("s1", "s2", "n"), F.lit(FILTER_BITS)) + 1
-    told = _looked_up(sets.filter("n > 0"), place, F.broadcast(_bits(classes.filter("copies > 1"), place)))
+    """The rows of ``sets`` that stand for their class (doc_id, n, prefix). Only those that may have copies are shuffled."""
+    told = maybe_among(sets.filter("n > 0"), classes.filter("copies > 1"), "s1", "s2", "n")
     # An inner join, as a semi-join is carried out before the look-up. There is one representative of a class.
     exact = told.filter("_held").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"])
     return told.filter("NOT _held").select("doc_id", "n", "prefix").union(exact.select("doc_id", "n", "prefix"))
